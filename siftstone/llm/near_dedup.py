@@ -37,8 +37,43 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _spanning_links(prints: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links within max_bits that join the same fingerprints as all such links do, fewer than there are fingerprints.
+
+    A search from each fingerprint looks only at those not reached yet, so in a dense group one look takes nearly all.
+    """
+    found, left, open_prints = [], prints[1:], [prints[0]]
+    while len(left):
+        if not open_prints:
+            open_prints, left = [left[0]], left[1:]
+        at = open_prints.pop()
+        near = np.bitwise_count(left ^ at) <= max_bits
+        if near.any():
+            reached, left = left[near], left[~near]
+            found.append((np.full(len(reached), at), reached))
+            open_prints.extend(reached)
+    return found
+
+
+def _links_of_groups(keys: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of each run of equal keys."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    two = starts[sizes == 2]
+    two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= max_bits]
+    found = [(prints[two], prints[two + 1])]
+    for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        found += _spanning_links(prints[at : at + n], max_bits)
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return a, b
+
+
 def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """a and b (a < b as signed longs) for every two different fingerprints of the column fp that differ in max_bits bits or fewer."""
+    """a and b (a < b as signed longs): verified links between fingerprints of the column fp that differ in max_bits bits or fewer.
+
+    Two fingerprints are connected by these links just if they are by all such pairs. Each group of
+    one key gives fewer links than it has members: a large group of near copies is not written out pair by pair.
+    """
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the keys guarantee up to {MAX_BITS} bits")
 
@@ -50,10 +85,29 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 rows, keys = golay_keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "fp"])
 
+    def verify(batches):
+        def links(keys, values):
+            a, b = (x.view(np.int64) for x in _links_of_groups(keys, values.view(np.uint64), max_bits))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the key at the end of a batch may go on in the next one
+        for batch in batches:
+            keys, values = (c.to_numpy() for c in batch.columns)
+            if not len(keys):
+                continue
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if held and (cut or held[0][0][0] != keys[0]):
+                held.append((keys[:cut], values[:cut]))
+                yield links(*(np.concatenate(x) for x in zip(*held)))
+                held = []
+            elif cut:
+                yield links(keys[:cut], values[:cut])
+            held.append((keys[cut:], values[cut:]))
+        if held:
+            yield links(*(np.concatenate(x) for x in zip(*held)))
+
     keyed = prints.select("fp").distinct().mapInArrow(explode, "key long, fp long")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = MAX_BITS) -> DataFrame:

@@ -5,7 +5,7 @@ from xxhash import xxh64_intdigest
 
 from siftstone.llm.components import connected_components
 from siftstone.llm.golay import LENGTH, nearby_indices
-from siftstone.llm.near_dedup import deduplicate, golay_keys, near_duplicates
+from siftstone.llm.near_dedup import deduplicate, fingerprint_links, golay_keys, near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, node long"
 
@@ -50,6 +50,27 @@ def test_fingerprints_within_four_bits_share_a_key():
         assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
 
 
+def test_spanning_links_join_what_all_links_join(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 6)
+    prints = {int(b) for b in base}
+    for b in base:
+        for _ in range(60):
+            b = int(b) ^ sum(1 << int(i) for i in rng.choice(63, rng.integers(1, 5), replace=False))
+            prints.add(b)
+    links = [(r.a, r.b) for r in fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()]
+    assert all((a ^ b).bit_count() <= 4 and a < b for a, b in links)
+    def groups(pairs):
+        label = {p: p for p in prints}
+        for _ in range(len(prints)):
+            before = dict(label)
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+    assert groups(links) == groups([(a, b) for a, b in combinations(sorted(prints), 2) if (a ^ b).bit_count() <= 4])
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 3)]
