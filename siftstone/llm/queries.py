@@ -1,22 +1,102 @@
-"""The queries of this package, with production parameters, over whole tables."""
+"""The queries of this package, with production parameters, over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftstone.llm.columns import read
+from siftstone.llm.chat_format import conversation_digests, format_turns
+from siftstone.llm.columns import read, shared_checkpoint
+from siftstone.llm.decontaminate import find_leaks
 from siftstone.llm.near_dedup import near_duplicates
+from siftstone.llm.quality_model import SubwordClassifier
+from siftstone.llm.quality_rules import QualityCascade
+from siftstone.llm.token_pack import read_tokens, shared_path, write_tokens
+from siftstone.llm.url_filter import RULE_SCHEMA, judge_urls
+
+#: Host, path and action of each rule that op4 applies (fixed values).
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+QUALITY_THRESHOLD = 0.7
+
+
+def held_out(parts: int) -> Column:
+    """crc32(doc_id as text) mod parts is 2; false for a null doc_id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == 2, F.lit(False))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return QualityCascade.fit(docs).apply(docs)
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(shared_checkpoint(format_turns(turns.union(control))))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULE_SCHEMA)).drop("component")
+
+
+def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_tokens(spark, path)
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> SubwordClassifier:
+    labels = read(spark, sf_dir, "labels").filter(~held_out(4)).select("doc_id", F.col("quality").alias("label"))
+    return SubwordClassifier.fit(read(spark, sf_dir, "documents"), labels)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model(spark, sf_dir).score(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(24 + length(replace(replace(role, '\', '\\'), chr(10), '\n')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+OP4_SQL = """
+WITH rules(rule_host, rule_path, action) AS (VALUES {rules}),
+cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+parts AS (SELECT page_id,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut)
+SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.action, 'allow') AS verdict
+FROM parts LEFT JOIN LATERAL (
+  SELECT rule_host || rule_path AS rule, action FROM rules
+  WHERE (parts.host = rule_host OR suffix(parts.host, '.' || rule_host)) AND starts_with(parts.path, rule_path)
+  ORDER BY length(rule_host || rule_path) DESC, action, rule DESC LIMIT 1) AS fit ON true
+""".format(rules=", ".join(map(str, URL_RULES)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_chat_format, op4_url_filter, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """op4's SQL has no aliases: it holds for tables whose pages give no redirect and no canonical link."""
+    return {"op3_chat_format": OP3_SQL, "op4_url_filter": OP4_SQL}
