@@ -49,19 +49,28 @@ def unpack(data: bytes, dtype=None):
     return raw if dtype is None else np.frombuffer(raw, dtype)
 
 
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 * MIB) -> DataFrame:
+def _stream(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    return pack(sink.getvalue().to_pybytes())
+
+
+def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 * MIB, carry: bool = False) -> DataFrame:
     """One row for every run of about chunk_bytes of whole texts, as they stand in a partition:
-    chunk_id, n_docs, doc ids, byte lengths and the texts, packed. A text is never cut. Each chunk
+    chunk_id, n_docs, doc ids, byte lengths and the texts, packed, and with carry all other columns
+    (an Arrow stream, packed). A text is never cut. Each chunk
     depends only on its own input split, so a task that is run again makes the same chunks."""
 
     def make(batches):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        ids, lens, texts, size = [], [], [], 0
+        ids, lens, texts, rest, size = [], [], [], [], 0
 
         def emit():
-            nonlocal seq, ids, lens, texts, size
+            nonlocal seq, ids, lens, texts, rest, size
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 24) + seq], pa.int64()),
@@ -69,10 +78,11 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     pa.array([pack(np.concatenate(ids))], pa.binary()),
                     pa.array([pack(np.concatenate(lens))], pa.binary()),
                     pa.array([pack(b"".join(texts))], pa.binary()),
+                    pa.array([_stream(rest) if carry else None], pa.binary()),
                 ],
-                names=["chunk_id", "n_docs", "ids", "lens", "texts"],
+                names=["chunk_id", "n_docs", "ids", "lens", "texts", "rest"],
             )
-            seq, ids, lens, texts, size = seq + 1, [], [], [], 0
+            seq, ids, lens, texts, rest, size = seq + 1, [], [], [], [], 0
             return row
 
         for batch in batches:
@@ -84,16 +94,19 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if size >= chunk_bytes:
                     ids.append(all_ids[start : i + 1]), lens.append(sizes[start : i + 1])
                     texts.extend(all_texts[start : i + 1])
+                    rest.append(batch.slice(start, i + 1 - start))
                     start = i + 1
                     yield emit()
             if start < len(sizes):
                 ids.append(all_ids[start:]), lens.append(sizes[start:])
                 texts.extend(all_texts[start:])
+                rest.append(batch.slice(start))
         if ids:
             yield emit()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        make, "chunk_id long, n_docs long, ids binary, lens binary, texts binary"
+    others = [F.col(c) for c in docs.columns if c != text_col] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *others).mapInArrow(
+        make, "chunk_id long, n_docs long, ids binary, lens binary, texts binary, rest binary"
     )
 
 

@@ -14,6 +14,7 @@ from siftstone.llm.decontaminate import find_leaks
 from siftstone.llm.near_dedup import near_duplicates
 from siftstone.llm.quality_model import SubwordClassifier
 from siftstone.llm.quality_rules import QualityCascade
+from siftstone.llm.suffix_dedup import repeated_bytes
 from siftstone.llm.token_pack import read_tokens, shared_path, write_tokens
 from siftstone.llm.url_filter import RULE_SCHEMA, judge_urls
 
@@ -43,6 +44,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULE_SCHEMA)).drop("component")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(read(spark, sf_dir, "documents"))
+
+
 def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -94,7 +99,7 @@ FROM parts LEFT JOIN LATERAL (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_chat_format, op4_url_filter, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_chat_format, op4_url_filter, op5_suffix_dedup, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
