@@ -110,9 +110,9 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def open_chunk(row) -> tuple[np.ndarray, list[bytes]]:
+def open_chunk(row: dict) -> tuple[np.ndarray, list[bytes]]:
     """Doc ids and texts of a chunk's row."""
-    ids, lens, raw = unpack(row.ids, np.int64), unpack(row.lens, np.int64), unpack(row.texts)
+    ids, lens, raw = unpack(row["ids"], np.int64), unpack(row["lens"], np.int64), unpack(row["texts"])
     ends = np.cumsum(lens)
     return ids, [raw[e - n : e] for e, n in zip(ends.tolist(), lens.tolist())]
 

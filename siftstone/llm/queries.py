@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftstone.llm.chat_format import conversation_digests, format_turns
 from siftstone.llm.columns import read, shared_checkpoint
 from siftstone.llm.decontaminate import find_leaks
+from siftstone.llm.lm_score import score_held_out
 from siftstone.llm.near_dedup import near_duplicates
 from siftstone.llm.quality_model import SubwordClassifier
 from siftstone.llm.quality_rules import QualityCascade
@@ -29,6 +30,11 @@ def held_out(parts: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)) == 2, F.lit(False))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, scored = score_held_out(read(spark, sf_dir, "documents"), held_out(7))
+    return scored.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return QualityCascade.fit(docs).apply(docs)
@@ -99,7 +105,7 @@ FROM parts LEFT JOIN LATERAL (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_chat_format, op4_url_filter, op5_suffix_dedup, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_chat_format, op4_url_filter, op5_suffix_dedup, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
