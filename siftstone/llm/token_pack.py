@@ -20,7 +20,7 @@ from siftstone.llm.columns import NO_ID, id_array, id_column
 
 BLOCK_IDS = 1 << 16
 END_ID = 0
-_MEMO = 1 << 19
+_MEMO, _TEXTS = 1 << 20, 128
 BLOCK_SCHEMA = "part int, block int, first_id long, last_id long, start long, n_ids long, bits int, doc_ids binary, doc_ends binary, payload binary"
 
 
@@ -64,8 +64,10 @@ class Encoder:
     """A byte-level BPE tokenizer with a bounded memo.
 
     Its pre-tokenizer never joins a space before a word to what stands before the space, nor a newline
-    between words to either word. So a text is cut there and each different piece is encoded once. Texts
-    where white space meets white space, or with special tokens, are encoded whole.
+    between words to either word. So texts are cut there and each different piece is encoded once. Pieces
+    new to the memo are encoded together, one text of all that follow a space and one of those that
+    don't, and told apart by the ids that start with a space or are a newline. Texts where white space
+    meets white space, or with special tokens, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -77,26 +79,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        pieces = text.replace("\n", " \0\n \0").split(" ")
-        if "\0" in text or len(pieces) - text.count("\n") != len(text.split()) or any(s in text for s in self.special):
-            return self._whole([text])[0]
-        pieces[0] = "\0" + pieces[0]
-        memo = self.memo
-        fresh = list(set(pieces).difference(memo))
-        if len(memo) + len(fresh) > _MEMO:
-            memo.clear()
-            fresh = list(set(pieces))
+        space, newline = (self.tokenizer.encode(x, add_special_tokens=False).tokens[0] for x in (" ", "\n"))
+        self.spaced, self.newline = np.zeros(self.size, bool), self.tokenizer.token_to_id(newline)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.startswith(space)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.memo = {"\0": b"", "\0\n": np.array([self.newline], "<u4").tobytes()}
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, fresh: list[str]) -> None:
+        after_space = [p for p in fresh if p[0] != "\0"]
+        first = [p for p in fresh if p[0] == "\0"]
+        if after_space:
+            ids = self._whole(" " + " ".join(after_space))
+            cuts = (4 * np.flatnonzero(self.spaced[ids])).tolist() + [4 * len(ids)]
+            data = ids.tobytes()
+            self.memo.update((p, data[a:b]) for p, a, b in zip(after_space, cuts, cuts[1:]))
+        if first:  # a zero byte stands before a piece that had no space before it
+            ids = self._whole("\n".join(p[1:] for p in first))
+            ends = (4 * np.flatnonzero(ids == self.newline)).tolist() + [4 * len(ids)]
+            data = ids.tobytes()
+            self.memo.update((p, data[a:b]) for p, a, b in zip(first, [0] + [e + 4 for e in ends], ends))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut: list[list[str] | None] = []
+        for text in texts:
+            pieces = text.replace("\n", " \0\n \0").split(" ")
+            pieces[0] = "\0" + pieces[0]
+            odd = "\0" in text or len(pieces) - text.count("\n") != len(text.split()) or any(s in text for s in self.special)
+            cut.append(None if odd else pieces)
+        fresh = set().union(*(x for x in cut if x)).difference(self.memo)
+        if len(self.memo) + len(fresh) > _MEMO:
+            self._forget()
+            fresh = set().union(*(x for x in cut if x)).difference(self.memo)
         if fresh:
-            # a zero byte stands before a piece that had no space before it
-            memo.update(zip(fresh, self._whole([p[1:] if p[0] == "\0" else " " + p for p in fresh])))
-        return b"".join(map(memo.__getitem__, pieces))
+            self._learn(list(fresh))
+        look_up = self.memo.__getitem__
+        return [self._whole(t).tobytes() if x is None else b"".join(map(look_up, x)) for t, x in zip(texts, cut)]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
@@ -123,13 +146,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
 
         held = 0
         for batch in batches:
-            for doc, text in zip(id_array(batch.column(0)).tolist(), batch.column(1).to_pylist()):
-                data = encoder(text or "") + end
-                ids.append(doc), parts.append(data), sizes.append(len(data))
-                held += len(data)
-                if held >= 4 * block_ids:
-                    yield emit()
-                    held = 0
+            for at in range(0, batch.num_rows, _TEXTS):
+                part_of = batch.slice(at, _TEXTS)
+                texts = [t or "" for t in part_of.column(1).to_pylist()]
+                for doc, data in zip(id_array(part_of.column(0)).tolist(), encoder(texts)):
+                    ids.append(doc), parts.append(data + end), sizes.append(len(data) + len(end))
+                    held += len(data) + len(end)
+                    if held >= 4 * block_ids:
+                        yield emit()
+                        held = 0
         if ids:
             yield emit()
 
@@ -157,7 +182,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     running = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     before = parts.select("part", F.coalesce(running, F.lit(0)).alias("before"))
-    return blocks.join(before, "part").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.join(F.broadcast(before), "part").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:

@@ -28,8 +28,18 @@ def test_memo_gives_the_library_s_ids(sf_dir):
     import pyarrow.parquet as pq
 
     plain, encoder = Tokenizer.from_file(PATH), Encoder(PATH)
-    for text in ODD + pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist():
-        assert np.frombuffer(encoder(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:80])
+    texts = ODD + pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()
+    for text, ids in zip(texts, encoder(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:80])
+
+
+def test_a_full_memo_is_forgotten(monkeypatch):
+    from siftstone.llm import token_pack
+
+    monkeypatch.setattr(token_pack, "_MEMO", 10)
+    plain, encoder = Tokenizer.from_file(PATH), Encoder(PATH)
+    for text in ["a b c d e", "e f g h\ni j k l", "a b x\ny", " z"] * 2:
+        assert np.frombuffer(encoder([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
 def test_files(spark, tmp_path, sf_dir):
