@@ -15,6 +15,7 @@ from siftstone.llm.lm_score import score_held_out
 from siftstone.llm.near_dedup import near_duplicates
 from siftstone.llm.quality_model import SubwordClassifier
 from siftstone.llm.quality_rules import QualityCascade
+from siftstone.llm.sentencepiece_lattice import MERGES, PieceTable, digests, encode
 from siftstone.llm.suffix_dedup import repeated_bytes
 from siftstone.llm.token_pack import read_tokens, shared_path, write_tokens
 from siftstone.llm.url_filter import RULE_SCHEMA, judge_urls
@@ -74,6 +75,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def pieces() -> PieceTable:
+    return PieceTable.load(public_tokenizers.path("piece_bpe_32k.model"), MERGES)
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = pieces()
+    return digests(encode(read(spark, sf_dir, "documents"), table), table)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -105,7 +115,7 @@ FROM parts LEFT JOIN LATERAL (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_chat_format, op4_url_filter, op5_suffix_dedup, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_chat_format, op4_url_filter, op5_suffix_dedup, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
