@@ -6,14 +6,14 @@ import json
 from collections.abc import Iterator
 from urllib.request import urlopen
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "molecule_chembl_id string, canonical_smiles string, standard_value string, standard_units string, standard_type string"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 class ActivityPages(DataSource):
-    """Options: url (with {offset} and {limit}; filters are added to its query), pages, limit, records (the field with the rows)."""
+    """Options: url (with {offset} and {limit}), query (added to each url: what the server is to filter by), pages, limit, records (the field with the rows)."""
 
     @classmethod
     def name(cls) -> str:
@@ -29,23 +29,14 @@ class ActivityPages(DataSource):
 class ActivityReader(DataSourceReader):
     def __init__(self, options):
         self.url, self.pages, self.limit, self.records = options["url"], int(options.get("pages", 1)), int(options.get("limit", 1000)), options.get("records", "activities")
-        self.equal: dict[str, str] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality on one of the columns goes to the server, and is still checked here."""
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in NAMES:
-                self.equal[f.attribute[0]] = str(f.value)
-            yield f
+        self.query = options.get("query", "")
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(k) for k in range(self.pages)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         url = self.url.format(offset=partition.value * self.limit, limit=self.limit)
-        if self.equal and url.startswith("http"):
-            url += "".join(f"&{k}={v}" for k, v in self.equal.items())
-        with urlopen(url, timeout=60) as answer:
+        with urlopen(url + self.query, timeout=60) as answer:
             rows = json.load(answer).get(self.records) or []
         for row in rows:
             yield tuple(None if row.get(c) is None else str(row[c]) for c in NAMES)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftstone.operators.docking import parse_results
 from siftstone.operators.ranking import rank_candidates
 
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def rank_stream(rows: DataFrame) -> DataFrame:
     return rank_candidates(rows)
@@ -17,10 +20,8 @@ def rank_stream(rows: DataFrame) -> DataFrame:
 
 def result_stream(spark: SparkSession, path: str, pattern: str = "*_dock.pdbqt") -> DataFrame:
     """Scores of result files as they arrive in a folder."""
-    from pyspark.sql import functions as F
-
-    files = spark.readStream.option("pathGlobFilter", pattern).option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
-    return parse_results(files)
+    files = spark.readStream.format("binaryFile").schema(FILE).option("pathGlobFilter", pattern).load(path)
+    return parse_results(files.select("path", F.col("content").cast("string").alias("value")))
 
 
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str) -> StreamingQuery:
