@@ -61,13 +61,13 @@ def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path)
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> SubwordClassifier:
-    labels = read(spark, sf_dir, "labels").filter(~held_out(4)).select("doc_id", F.col("quality").alias("label"))
-    return SubwordClassifier.fit(read(spark, sf_dir, "documents"), labels)
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "labels").filter(~held_out(4)).select("doc_id", F.col("quality").alias("label"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_model(spark, sf_dir).score(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    scored = SubwordClassifier.fit(docs, training_labels(spark, sf_dir)).score(docs)
     return scored.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
