@@ -37,9 +37,9 @@ UNKNOWN_PENALTY = 10.0
 BEST_PATH, MERGES = "best_path", "merges"
 #: Longer units are folded where they stand: their lattice is no small group, and their cuts are no bits of one number.
 UNIT_BYTES = 60
-CHUNK_BYTES = 16 * MIB
+CHUNK_BYTES = 8 * MIB
 _UNITS = re.compile(rb" *[^ \n\t]+|[\n\t]| +")
-_ROWS, _ANSWER_ROWS, _GATHER = 1 << 15, 1 << 19, 1 << 20
+_ROWS, _ANSWER_ROWS, _GATHER = 1 << 15, 1 << 17, 1 << 18
 
 
 @dataclass(frozen=True)
