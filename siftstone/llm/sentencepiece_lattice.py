@@ -10,8 +10,8 @@ MERGES, for BPE models, whose scores are ranks of merges and no log-probabilitie
 another cut of half of all words): edges come by score and then place, and an edge is taken if the pieces
 so far cut it exactly once. One pass gives what merging the best pair again and again does, as long as
 each piece is made of two pieces of higher scores (a test goes through all of them). Pieces of spaces only
-have one and the same lowest score and no such order: they are left out of the lattice, and the spaces
-that are single when all else is merged, which lead a unit, get the cut of a run of that length.
+have one and the same lowest score and no such order: they are left out of the lattice, and units with two
+spaces or more in front, which are few, are folded where they stand.
 
 Documents are read in chunks. A chunk keeps numbers instead of its units, and asks for the ids of each of
 its different units once; answers come back packed, and a chunk's ids are gathered from them.
@@ -23,9 +23,11 @@ import hashlib
 import re
 import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ class PieceTable:
             raise ValueError(f"{path} has pieces that cross words or lines, such as {crossing[0]!r}")
         return PieceTable(pieces, tuple(plain), tuple(float(model.get_score(i)) for i in plain), tuple(byte_ids[b] for b in range(256)), fold)
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.pieces))
 
@@ -84,10 +86,14 @@ class PieceTable:
             out.append(1)
             while len(out) > 1 and out[-2] + out[-1] in known:
                 out[-2:] = [out[-2] + out[-1]]
-        return [known[k] for k in out]
+        return [known[k] for k in out] if 1 in known else []
+
+    def single(self) -> dict[str, list[int]]:
+        """Ids of the characters that are pieces."""
+        return {p: [i] for p, i in zip(self.pieces, self.ids) if len(p) == 1}
 
     def lattice(self) -> list[tuple[str, int, float]]:
-        """The pieces that edges are made of."""
+        """The pieces that edges are made of. MERGES needs none of single characters."""
         every = list(zip(self.pieces, self.ids, self.scores))
         if self.fold == BEST_PATH:
             return every
@@ -95,7 +101,7 @@ class PieceTable:
         others = [x for x in every if x[0].strip(" ")]
         if runs and max(runs) >= min(s for p, _, s in others if len(p) > 1):
             raise ValueError("pieces of spaces only must have the lowest scores")
-        return others + [x for x in every if x[0] == " "]
+        return [x for x in others if len(x[0]) > 1]
 
     def texts(self) -> dict[int, bytes]:
         return {i: p.encode() for i, p in zip(self.ids, self.pieces)} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
@@ -123,7 +129,7 @@ def best_path(unit: str, known: dict[str, tuple[int, float]], longest: int, unkn
 
 
 def merges(unit: str, known: dict[str, tuple[int, float]], longest: int) -> list[int | str]:
-    """MERGES over one long unit, its leading spaces as they are."""
+    """MERGES over one long unit: ids, and the characters that stay single. known: pieces of two characters or more."""
     edges = []
     for start in range(len(unit) - 1):
         for end in range(start + 2, min(len(unit), start + longest) + 1):
@@ -137,24 +143,24 @@ def merges(unit: str, known: dict[str, tuple[int, float]], longest: int) -> list
     out, at = [], 0
     while at < len(unit):
         part = unit[at : until[at]]
-        out.append(known[part][0] if part in known else part)
+        out.append(known[part][0] if len(part) > 1 else part)
         at = until[at]
     return out
 
 
 def fold_unit(unit: str, table: PieceTable, known: dict[str, tuple[int, float]]) -> list[int | str]:
-    """The table's fold over one unit of any length, in memory that its length bounds. known: the table's lattice."""
+    """The table's fold over one unit of any length, in memory that its length bounds: ids, and single characters. known: the table's lattice."""
     if table.fold == BEST_PATH:
         return best_path(unit, known, table.longest, table.unknown_score)
     path = merges(unit, known, table.longest)
-    lead = path.count(known[" "][0]) if " " in known else 0
+    lead = path.count(" ")
     return table.merged_run(lead) + path[lead:] if lead > 1 else path
 
 
 def encode_units(units: DataFrame, table: PieceTable, unit_col: str = "unit") -> DataFrame:
-    """unit and path (array of int) for each row of units, which must be different texts: ids of pieces, -1 - start for a character (from 0) that no piece has.
+    """unit and path (array of int) for units, which must be different texts: ids of pieces, -1 - start for single characters (from 0) that are no edge.
 
-    BEST_PATH: of equal sums, the one whose last piece is longest at each place. MERGES takes units of up
+    MERGES leaves out units without edges: all their characters are single; its units have one space in front at most. BEST_PATH: of equal sums, the one whose last piece is longest at each place. MERGES takes units of up
     to UNIT_BYTES characters; of equal scores, the first place. If units are dealt by unit already,
     nothing is dealt again. The piece table is broadcast: it has as many rows as the vocabulary, whatever
     the corpus.
@@ -162,12 +168,15 @@ def encode_units(units: DataFrame, table: PieceTable, unit_col: str = "unit") ->
     spark = units.sparkSession
     pieces = F.broadcast(spark.createDataFrame(table.lattice(), "piece string, id int, score double"))
     n, start, size = F.length("unit"), F.col("start"), F.col("size")
-    spans = units.select(F.col(unit_col).alias("unit"), F.explode(F.sequence(F.lit(1), n)).alias("start")).select(
-        "unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - start + 1))).alias("size")
+    least = 1 if table.fold == BEST_PATH else 2
+    spans = units.select(F.col(unit_col).alias("unit"), F.explode(F.when(n >= least, F.sequence(F.lit(1), n - least + 1))).alias("start")).select(
+        "unit", "start", F.explode(F.sequence(F.lit(least), F.least(F.lit(table.longest), n - start + 1))).alias("size")
     )
-    edges = spans.withColumn("piece", F.substring(F.col("unit"), start, size)).join(pieces, "piece", "left").filter(F.col("id").isNotNull() | (size == 1))
-    score, piece_id = F.coalesce("score", F.lit(table.unknown_score)), F.coalesce("id", -start).cast("int")
-    return _fold_merges(edges, start, size, score, piece_id, table) if table.fold == MERGES else _fold_best(edges, start, size, score, piece_id)
+    spans = spans.withColumn("piece", F.substring(F.col("unit"), start, size))
+    if table.fold == MERGES:
+        return _fold_merges(spans.join(pieces, "piece"), start, size)
+    edges = spans.join(pieces, "piece", "left").filter(F.col("id").isNotNull() | (size == 1))
+    return _fold_best(edges, start, size, F.coalesce("score", F.lit(table.unknown_score)), F.coalesce("id", -start).cast("int"))
 
 
 def _fold_best(edges: DataFrame, start: Column, size: Column, score: Column, piece_id: Column) -> DataFrame:
@@ -183,26 +192,24 @@ def _fold_best(edges: DataFrame, start: Column, size: Column, score: Column, pie
     return grouped.select("unit", F.expr(fold).alias("best")).select("unit", F.expr(walk).alias("path"))
 
 
-def _fold_merges(edges: DataFrame, start: Column, size: Column, score: Column, piece_id: Column, table: PieceTable) -> DataFrame:
+def _fold_merges(edges: DataFrame, start: Column, size: Column) -> DataFrame:
     """Cuts are bits of one long: bit k is the cut before character k. An edge needs the cuts at its ends (outer) and one of those within (inner)."""
     one = F.lit(1).cast("long")
     bit = lambda k: F.call_function("shiftleft", one, k.cast("int"))
     outer, inner = bit(start - 1).bitwiseOR(bit(start - 1 + size)), bit(start - 1 + size) - bit(start)
-    edge = F.struct((-score).alias("cost"), start.cast("int").alias("start"), outer.alias("outer"), inner.alias("inner"), piece_id.alias("id"))
+    edge = F.struct((-F.col("score")).alias("cost"), start.cast("int").alias("start"), outer.alias("outer"), inner.alias("inner"), "id")
     grouped = edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
     fold = """aggregate(edges, shiftleft(1L, length(unit) + 1) - 1,
         (cuts, e) -> if(cuts & e.outer = e.outer AND bit_count(cuts & e.inner) = 1, cuts & ~e.inner, cuts))"""
-    path = "transform(array_sort(transform(filter(edges, e -> cuts & e.outer = e.outer AND cuts & e.inner = 0), e -> named_struct('start', e.start, 'id', e.id))), e -> e.id)"
-    space = dict(zip(table.pieces, table.ids)).get(" ", -1)
-    runs = F.array(*(F.array(*map(F.lit, table.merged_run(n) if space >= 0 else [])).cast("array<int>") for n in range(UNIT_BYTES + 1)))
-    lead = F.size(F.filter("path", lambda x: x == space))  # single spaces stand before all else
-    mended = F.when(lead < 2, F.col("path")).otherwise(F.concat(F.get(runs, lead), F.slice("path", lead + 1, F.size("path") - lead)))
-    return grouped.select("unit", "edges", F.expr(fold).alias("cuts")).select("unit", F.expr(path).alias("path")).select("unit", mended.alias("path"))
+    path = """transform(array_sort(concat(
+        transform(filter(edges, e -> cuts & e.outer = e.outer AND cuts & e.inner = 0), e -> named_struct('start', e.start - 1, 'id', e.id)),
+        transform(filter(sequence(0, length(unit) - 1), k -> shiftright(cuts, k) & 3 = 3), k -> named_struct('start', k, 'id', -1 - k)))), e -> e.id)"""
+    return grouped.select("unit", "edges", F.expr(fold).alias("cuts")).select("unit", F.expr(path).alias("path"))
 
 
 _ASKED = pa.schema([("chunk_id", pa.int64()), ("unit", pa.string()), ("number", pa.int32())])
 _ANSWER = pa.schema([("chunk_id", pa.int64()), ("numbers", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])
-_STREAM = pa.schema([("chunk_id", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary()), ("n_units", pa.int32()), ("long_units", pa.list_(pa.binary()))])
+_STREAM = pa.schema([("chunk_id", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary()), ("n_units", pa.int32()), ("own_units", pa.list_(pa.binary()))])
 
 
 def _units(text: bytes) -> list[bytes]:
@@ -210,8 +217,13 @@ def _units(text: bytes) -> list[bytes]:
     return _UNITS.findall(b" " + text) if text else []
 
 
+def _local(unit: bytes) -> bool:
+    """Is this unit folded where it stands?"""
+    return len(unit) > UNIT_BYTES or unit[:2] == b"  "
+
+
 def _ask(chunks: DataFrame) -> DataFrame:
-    """chunk_id, unit and number of the different units of each chunk, numbered by their first place. Long ones are not asked for."""
+    """chunk_id, unit and number of the different units of each chunk, numbered by their first place. Those to be folded where they stand are not asked for."""
 
     def run(batches):
         for batch in batches:
@@ -219,7 +231,7 @@ def _ask(chunks: DataFrame) -> DataFrame:
                 number: dict[bytes, None] = {}
                 for text in open_chunk(row)[1]:
                     number.update(dict.fromkeys(_units(text)))
-                asked = [(u, k) for k, u in enumerate(number) if len(u) <= UNIT_BYTES]
+                asked = [(u, k) for k, u in enumerate(number) if not _local(u)]
                 for at in range(0, len(asked), _ROWS):
                     units, numbers = zip(*asked[at : at + _ROWS])
                     yield pa.RecordBatch.from_arrays([pa.array([row["chunk_id"]] * len(units), pa.int64()), pa.array(units, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int32())], schema=_ASKED)
@@ -228,7 +240,7 @@ def _ask(chunks: DataFrame) -> DataFrame:
 
 
 def _streams(chunks: DataFrame) -> DataFrame:
-    """Each chunk's documents as numbers of its units, and its long units."""
+    """Each chunk's documents as numbers of its units, and its units to be folded here."""
 
     def run(batches):
         for batch in batches:
@@ -240,32 +252,53 @@ def _streams(chunks: DataFrame) -> DataFrame:
                     units = _units(text)
                     streams.append(np.fromiter((number.setdefault(u, len(number)) for u in units), np.int32, len(units)))
                     counts.append(len(units))
-                long = [x for u, k in number.items() if len(u) > UNIT_BYTES for x in (str(k).encode(), u)]
-                data = [row["chunk_id"], pack(ids), pack(np.array(counts, np.int64)), pack(np.concatenate(streams)), len(number), long]
+                own = [x for u, k in number.items() if _local(u) for x in (str(k).encode(), u)]
+                data = [row["chunk_id"], pack(ids), pack(np.array(counts, np.int64)), pack(np.concatenate(streams)), len(number), own]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(data, _STREAM)], schema=_STREAM)
 
-    return chunks.mapInArrow(run, "chunk_id long, doc_ids binary, counts binary, stream binary, n_units int, long_units array<binary>")
+    return chunks.mapInArrow(run, "chunk_id long, doc_ids binary, counts binary, stream binary, n_units int, own_units array<binary>")
 
 
-def _pack_answers(answers: DataFrame, byte_ids: tuple[int, ...]) -> DataFrame:
+def _pack_answers(answers: DataFrame, table: PieceTable) -> DataFrame:
     """Ids of each chunk's units, a row for each chunk and run of rows of a partition."""
-
-    def emit(tables):
-        table = pa.Table.from_batches(tables).sort_by("chunk_id")
+    single, byte_ids = table.single(), table.byte_ids
+
+    def char_table() -> np.ndarray:
+        ids = np.full(0x110000, -1, np.int32)
+        for char, (number,) in single.items():
+            ids[ord(char)] = number
+        return ids
+
+    def characters(unit: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all characters, and the place of each unit's first one."""
+        codes = np.frombuffer("".join(unit.to_pylist()).encode("utf-32-le"), np.uint32)
+        chars = pc.utf8_length(unit).to_numpy()
+        return codes, np.cumsum(chars, dtype=np.int64) - chars
+
+    def emit(batches, char_ids):
+        table = pa.Table.from_batches(batches).sort_by("chunk_id")
         chunk, number, unit, path = (c.combine_chunks() for c in table.columns)
-        lens, ids = np.diff(path.offsets.to_numpy()).astype(np.int32), path.flatten().to_numpy()
+        codes, first = characters(unit)
+        none = path.is_null().to_numpy(zero_copy_only=False)  # no edges: all characters are single
+        chars = np.diff(np.r_[first, len(codes)])
+        lens = np.where(none, chars, pc.fill_null(pc.list_value_length(path), 0).to_numpy()).astype(np.int32)
         ends = np.cumsum(lens, dtype=np.int64)
-        odd = np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), side="right"))
-        if len(odd):  # units with characters that no piece has
-            parts, at = [], 0
-            for k in odd.tolist():
-                own = ids[ends[k] - lens[k] : ends[k]]
-                text = unit[k].as_py()
-                new = [i for p in own.tolist() for i in ([p] if p >= 0 else [byte_ids[b] for b in text[-1 - p].encode()])]
-                parts += [ids[at : ends[k] - lens[k]], np.array(new, np.int32)]
-                at, lens[k] = ends[k], len(new)
-            ids = np.concatenate([*parts, ids[at:]])
+        owner = np.repeat(np.arange(len(lens)), lens)
+        ids = -1 - (np.arange(len(owner), dtype=np.int64) - (ends - lens)[owner])  # as if all were single
+        ids[~none[owner]] = path.drop_null().flatten().to_numpy()
+        alone = np.flatnonzero(ids < 0)
+        code = codes[first[owner[alone]] - 1 - ids[alone]]
+        ids[alone] = char_ids[code]
+        odd = alone[char_ids[code] < 0]
+        if len(odd):  # characters that no piece has: each is as many ids as it has bytes
+            raw = [chr(c).encode() for c in code[char_ids[code] < 0].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[odd] = [len(x) for x in raw]
+            lens = np.bincount(owner, times, len(lens)).astype(np.int32)
+            ids = np.repeat(ids, times)
+            ids[ids < 0] = np.array(byte_ids)[np.frombuffer(b"".join(raw), np.uint8)]
             ends = np.cumsum(lens, dtype=np.int64)
+        ids = ids.astype(np.int32)
         chunk, number = chunk.to_numpy(), number.to_numpy()
         starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
         stops = np.r_[starts[1:], len(chunk)]
@@ -273,16 +306,16 @@ def _pack_answers(answers: DataFrame, byte_ids: tuple[int, ...]) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ANSWER)], schema=_ANSWER)
 
     def run(batches):
-        held, size = [], 0
+        held, size, char_ids = [], 0, char_table()
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
             if size >= _ANSWER_ROWS:
-                yield emit(held)
+                yield emit(held, char_ids)
                 held, size = [], 0
         if held:
-            yield emit(held)
+            yield emit(held, char_ids)
 
     return answers.select("chunk_id", "number", "unit", "path").mapInArrow(run, "chunk_id long, numbers binary, lens binary, ids binary")
 
@@ -303,8 +336,8 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     chunks = chunk_documents(docs, id_col, text_col, chunk_bytes)
     asked = _ask(chunks)
     encoded = encode_units(asked.select("unit").distinct(), table)
-    answers = _pack_answers(asked.join(encoded, "unit"), table.byte_ids)
-    known, byte_ids = {p: (i, s) for p, i, s in table.lattice()}, table.byte_ids
+    answers = _pack_answers(asked.join(encoded, "unit", "left"), table)
+    known, single, byte_ids = {p: (i, s) for p, i, s in table.lattice()}, table.single(), table.byte_ids
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -317,9 +350,9 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
                 lens[number], starts[number] = n, at + np.cumsum(n, dtype=np.int64) - n
                 parts.append(ids)
                 at += len(ids)
-            for k, unit in zip(row["long_units"][::2], row["long_units"][1::2]):
+            for k, unit in zip(row["own_units"][::2], row["own_units"][1::2]):
                 path = fold_unit(unit.decode(), table, known)
-                ids = np.array([i for p in path for i in ([p] if isinstance(p, int) else [byte_ids[b] for b in p.encode()])], np.int32)
+                ids = np.array([i for p in path for i in ([p] if isinstance(p, int) else single.get(p) or [byte_ids[b] for b in p.encode()])], np.int32)
                 lens[int(k)], starts[int(k)] = len(ids), at
                 parts.append(ids)
                 at += len(ids)

@@ -28,16 +28,18 @@ def test_each_piece_is_made_of_two_of_higher_scores(table):
     for piece, (number, score) in known.items():
         if len(piece) > 1:
             parts = {piece[k:m] for k in range(len(piece)) for m in range(k + 1, len(piece) + 1)}
-            higher = {p: known[p] for p in parts if p in known and (len(p) == 1 or known[p][1] > score)}
+            higher = {p: known[p] for p in parts if p in known and known[p][1] > score}
             assert len(merges(piece, higher, table.longest)) == 2, piece
             assert merges(piece, known, table.longest) == [number]
 
 
 def test_runs_of_spaces(table, library):
+    single = table.single()
     known = {p: (i, s) for p, i, s in table.lattice()}
     for n in range(1, 200):
         for word in ("a", "the", "9", "x1,"):
-            assert fold_unit(" " * n + word, table, known) == library.encode(" " * (n - 1) + word)
+            path = [i for p in fold_unit(" " * n + word, table, known) for i in (single[p] if isinstance(p, str) else [p])]
+            assert path == library.encode(" " * (n - 1) + word)
 
 
 TEXTS = ["The quick  brown fox", "", None, " leading", "trailing   ", "\n\n a\tb\r\nc", "naïve café — ﬁﬂ½ 日本語テキスト", "🙂🙃 x🙂", "don't \"quote\" <|im_end|>", "a" * 300, "x" * (UNIT_BYTES + 50) + "🙂 end", "   ", " " * 17 + "x" + " " * 40 + "🙂" + " " * 31, "\x01\x02", "der die das ñandú"]
