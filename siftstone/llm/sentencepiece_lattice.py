@@ -20,10 +20,9 @@ its different units once; answers come back packed, and a chunk's ids are gather
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftstone.llm.anchors import _mix as mix
+from siftstone.llm.anchors import _powers as powers
 from siftstone.llm.columns import MIB, chunk_documents, id_column, open_chunk, pack, unpack
 
 SPACE = "▁"
@@ -40,7 +41,7 @@ BEST_PATH, MERGES = "best_path", "merges"
 #: Longer units are folded where they stand: their lattice is no small group, and their cuts are no bits of one number.
 UNIT_BYTES = 60
 CHUNK_BYTES = 8 * MIB
-_UNITS = re.compile(rb" *[^ \n\t]+|[\n\t]| +")
+_PIECE = 1 << 19
 _ROWS, _ANSWER_ROWS, _GATHER = 1 << 15, 1 << 17, 1 << 18
 
 
@@ -212,9 +213,61 @@ _ANSWER = pa.schema([("chunk_id", pa.int64()), ("numbers", pa.binary()), ("lens"
 _STREAM = pa.schema([("chunk_id", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary()), ("n_units", pa.int32()), ("own_units", pa.list_(pa.binary()))])
 
 
-def _units(text: bytes) -> list[bytes]:
-    """A text gets a space before it; an empty one stays empty."""
-    return _UNITS.findall(b" " + text) if text else []
+class ChunkUnits:
+    """The units of a chunk's texts, each text with a space before it (an empty one stays empty): a run of spaces with what follows up to the next space, line end or tab; those two by themselves.
+
+    number: of each unit, by the first place of its text in the chunk. Units are equal if their lengths
+    and two sums of 64 bits over their bytes are.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = b"".join(x for t in texts if t for x in (b" ", t))
+        sizes = np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts))
+        text = np.frombuffer(self.raw, np.uint8)
+        if not len(text):
+            self.number, self.counts, self.first, self.lens = np.empty(0, np.int32), np.zeros(len(texts), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+            return
+        space, line = text == 32, (text == 10) | (text == 9)
+        begins = line | space
+        begins[1:] &= ~space[:-1] | line[1:]
+        begins[1:] |= line[:-1]
+        begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(begins)
+        lens = np.diff(np.r_[starts, len(text)])
+        cuts = np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])
+        _, first, inverse = np.unique(self._keys(text, starts, lens), return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.number, self.counts, self.first, self.lens = rank[inverse], np.diff(cuts), starts[first[order]], lens[first[order]]
+
+    @staticmethod
+    def _keys(text: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        numbers = np.random.default_rng(5).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):  # whole units of about _PIECE bytes
+            stop = max(at + 1, int(np.searchsorted(starts, starts[at] + _PIECE)))
+            low, high = starts[at], starts[stop - 1] + lens[stop - 1]
+            up, down = _unit_powers(max(_PIECE + 4096, int(high - low)))
+            piece, place = text[low:high], starts[at:stop] - low
+            ends, key = place + lens[at:stop], lens[at:stop].astype(np.uint64)
+            for table in numbers:
+                sums = np.concatenate(([np.uint64(0)], np.cumsum(table[piece] * up[: len(piece)])))
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + (sums[ends] - sums[place]) * down[place])
+            out[at:stop] = key
+            at = stop
+        return out
+
+    def texts(self) -> list[bytes]:
+        """The different units, by number."""
+        return [self.raw[a : a + n] for a, n in zip(self.first.tolist(), self.lens.tolist())]
+
+
+@lru_cache(1)
+def _unit_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    base = 0xD1342543DE82EF95
+    return powers(base, n), powers(pow(base, -1, 1 << 64), n)
 
 
 def _local(unit: bytes) -> bool:
@@ -228,10 +281,7 @@ def _ask(chunks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                number: dict[bytes, None] = {}
-                for text in open_chunk(row)[1]:
-                    number.update(dict.fromkeys(_units(text)))
-                asked = [(u, k) for k, u in enumerate(number) if not _local(u)]
+                asked = [(u, k) for k, u in enumerate(ChunkUnits(open_chunk(row)[1]).texts()) if not _local(u)]
                 for at in range(0, len(asked), _ROWS):
                     units, numbers = zip(*asked[at : at + _ROWS])
                     yield pa.RecordBatch.from_arrays([pa.array([row["chunk_id"]] * len(units), pa.int64()), pa.array(units, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int32())], schema=_ASKED)
@@ -246,14 +296,9 @@ def _streams(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, texts = open_chunk(row)
-                number: dict[bytes, int] = {}
-                streams, counts = [np.empty(0, np.int32)], []
-                for text in texts:
-                    units = _units(text)
-                    streams.append(np.fromiter((number.setdefault(u, len(number)) for u in units), np.int32, len(units)))
-                    counts.append(len(units))
-                own = [x for u, k in number.items() if _local(u) for x in (str(k).encode(), u)]
-                data = [row["chunk_id"], pack(ids), pack(np.array(counts, np.int64)), pack(np.concatenate(streams)), len(number), own]
+                units = ChunkUnits(texts)
+                own = [x for k, u in enumerate(units.texts()) if _local(u) for x in (str(k).encode(), u)]
+                data = [row["chunk_id"], pack(ids), pack(units.counts), pack(units.number), len(units.first), own]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(data, _STREAM)], schema=_STREAM)
 
     return chunks.mapInArrow(run, "chunk_id long, doc_ids binary, counts binary, stream binary, n_units int, own_units array<binary>")

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 
 from siftstone.llm.queries import op9_sentencepiece
-from siftstone.llm.sentencepiece_lattice import MERGES, UNIT_BYTES, PieceTable, best_path, decode, digests, encode, encode_units, fold_unit, merges
+from siftstone.llm.sentencepiece_lattice import MERGES, UNIT_BYTES, ChunkUnits, PieceTable, best_path, decode, digests, encode, encode_units, fold_unit, merges
 
 SCHEMA = "doc_id long, text string, lang string, unit string, path string, number int"
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -56,6 +57,17 @@ def test_ids_are_those_of_the_library_and_texts_come_back(spark, table, library)
     assert texts == sorted((r[0] is None, r[0], r[1] or "") for r in rows)
 
 
+def test_units_of_a_chunk():
+    texts = [(t or "").encode() for t in TEXTS] * 2 + [b"y" * (1 << 20) + b" z\n\n  end"]
+    units = ChunkUnits(texts)
+    every, at = units.texts(), 0
+    for text, n in zip(texts, units.counts.tolist()):
+        own = [every[k] for k in units.number[at : at + n].tolist()]
+        assert own == (re.findall(rb"[\n\t]| *[^ \n\t]+| +", b" " + text) if text else [])
+        at += n
+    assert at == len(units.number) and len(set(every)) == len(every) and len(ChunkUnits([b"", b""]).number) == 0
+
+
 def test_literal_space_signs_come_back(spark, table):
     texts = ["a▁b", "▁", "▁▁ x"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
