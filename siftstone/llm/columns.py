@@ -57,11 +57,12 @@ def _stream(batches: list[pa.RecordBatch]) -> bytes:
     return pack(sink.getvalue().to_pybytes())
 
 
-def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 * MIB, carry: bool = False) -> DataFrame:
+def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 * MIB, carry: bool = False, then=None, schema: str | None = None) -> DataFrame:
     """One row for every run of about chunk_bytes of whole texts, as they stand in a partition:
     chunk_id, n_docs, doc ids, byte lengths and the texts, packed, and with carry all other columns
     (an Arrow stream, packed). A text is never cut. Each chunk
-    depends only on its own input split, so a task that is run again makes the same chunks."""
+    depends only on its own input split, so a task that is run again makes the same chunks. then, if
+    given, maps the chunks' batches to batches of schema in the same Python worker."""
 
     def make(batches):
         from pyspark import TaskContext
@@ -105,9 +106,10 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield emit()
 
     others = [F.col(c) for c in docs.columns if c != text_col] if carry else []
-    return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *others).mapInArrow(
-        make, "chunk_id long, n_docs long, ids binary, lens binary, texts binary, rest binary"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *others)
+    if then is not None:
+        return rows.mapInArrow(lambda batches: then(make(batches)), schema)
+    return rows.mapInArrow(make, "chunk_id long, n_docs long, ids binary, lens binary, texts binary, rest binary")
 
 
 def open_chunk(row: dict) -> tuple[np.ndarray, list[bytes]]:

@@ -40,7 +40,7 @@ UNKNOWN_PENALTY = 10.0
 BEST_PATH, MERGES = "best_path", "merges"
 #: Longer units are folded where they stand: their lattice is no small group, and their cuts are no bits of one number.
 UNIT_BYTES = 60
-CHUNK_BYTES = 8 * MIB
+CHUNK_BYTES = 6 * MIB
 _PIECE = 1 << 19
 _ROWS, _ANSWER_ROWS, _GATHER = 1 << 15, 1 << 17, 1 << 18
 
@@ -275,7 +275,7 @@ def _local(unit: bytes) -> bool:
     return len(unit) > UNIT_BYTES or unit[:2] == b"  "
 
 
-def _ask(chunks: DataFrame) -> DataFrame:
+def _ask(docs: DataFrame, *columns) -> DataFrame:
     """chunk_id, unit and number of the different units of each chunk, numbered by their first place. Those to be folded where they stand are not asked for."""
 
     def run(batches):
@@ -286,10 +286,10 @@ def _ask(chunks: DataFrame) -> DataFrame:
                     units, numbers = zip(*asked[at : at + _ROWS])
                     yield pa.RecordBatch.from_arrays([pa.array([row["chunk_id"]] * len(units), pa.int64()), pa.array(units, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int32())], schema=_ASKED)
 
-    return chunks.mapInArrow(run, "chunk_id long, unit string, number int")
+    return chunk_documents(docs, *columns, then=run, schema="chunk_id long, unit string, number int")
 
 
-def _streams(chunks: DataFrame) -> DataFrame:
+def _streams(docs: DataFrame, *columns) -> DataFrame:
     """Each chunk's documents as numbers of its units, and its units to be folded here."""
 
     def run(batches):
@@ -301,7 +301,7 @@ def _streams(chunks: DataFrame) -> DataFrame:
                 data = [row["chunk_id"], pack(ids), pack(units.counts), pack(units.number), len(units.first), own]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(data, _STREAM)], schema=_STREAM)
 
-    return chunks.mapInArrow(run, "chunk_id long, doc_ids binary, counts binary, stream binary, n_units int, own_units array<binary>")
+    return chunk_documents(docs, *columns, then=run, schema="chunk_id long, doc_ids binary, counts binary, stream binary, n_units int, own_units array<binary>")
 
 
 def _pack_answers(answers: DataFrame, table: PieceTable) -> DataFrame:
@@ -378,8 +378,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     gives every text back, byte for byte: what no piece has, a literal U+2581 too, is written as bytes. An
     empty table gives an empty table.
     """
-    chunks = chunk_documents(docs, id_col, text_col, chunk_bytes)
-    asked = _ask(chunks)
+    asked = _ask(docs, id_col, text_col, chunk_bytes)
     encoded = encode_units(asked.select("unit").distinct(), table)
     answers = _pack_answers(asked.join(encoded, "unit", "left"), table)
     known, single, byte_ids = {p: (i, s) for p, i, s in table.lattice()}, table.single(), table.byte_ids
@@ -414,7 +413,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
                 first = last
         return pa.concat_tables(out)
 
-    return _streams(chunks).groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(finish, "doc_id long, ids array<int>")
+    return _streams(docs, id_col, text_col, chunk_bytes).groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(finish, "doc_id long, ids array<int>")
 
 
 def _decoder(table: PieceTable):
