@@ -15,7 +15,7 @@ from siftstone.llm.lm_score import score_held_out
 from siftstone.llm.near_dedup import near_duplicates
 from siftstone.llm.quality_model import SubwordClassifier
 from siftstone.llm.quality_rules import QualityCascade
-from siftstone.llm.sentencepiece_lattice import MERGES, PieceTable, digests, encode
+from siftstone.llm.sentencepiece_lattice import MERGES, PieceTable, encode_digests
 from siftstone.llm.suffix_dedup import repeated_bytes
 from siftstone.llm.token_pack import read_tokens, shared_path, write_tokens
 from siftstone.llm.url_filter import RULE_SCHEMA, judge_urls
@@ -80,8 +80,7 @@ def pieces() -> PieceTable:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = pieces()
-    return digests(encode(read(spark, sf_dir, "documents"), table), table)
+    return encode_digests(read(spark, sf_dir, "documents"), pieces())
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

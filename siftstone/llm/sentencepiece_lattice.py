@@ -40,7 +40,7 @@ UNKNOWN_PENALTY = 10.0
 BEST_PATH, MERGES = "best_path", "merges"
 #: Longer units are folded where they stand: their lattice is no small group, and their cuts are no bits of one number.
 UNIT_BYTES = 60
-CHUNK_BYTES = 6 * MIB
+CHUNK_BYTES = 4 * MIB
 _PIECE = 1 << 19
 _ROWS, _ANSWER_ROWS, _GATHER = 1 << 15, 1 << 17, 1 << 18
 
@@ -371,8 +371,8 @@ def _gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
     return values[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id and ids (array of int), one row for each row of docs.
+def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, then=None, then_schema: str | None = None) -> DataFrame:
+    """doc_id and ids (array of int), one row for each row of docs; then, if given, maps Arrow batches of them to batches of then_schema where they are made.
 
     Null and empty texts have no ids. Rows that repeat a doc_id, and null ids, keep a row each. decode()
     gives every text back, byte for byte: what no piece has, a literal U+2581 too, is written as bytes. An
@@ -385,7 +385,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        out, said = [schema.empty_table()], right.to_pylist()
+        out, said, empty = [], right.to_pylist(), pa.RecordBatch.from_pylist([], schema=schema)
         for row in left.to_pylist():
             doc_ids, counts, stream = unpack(row["doc_ids"], np.int64), unpack(row["counts"], np.int64), unpack(row["stream"], np.int32)
             lens, starts, parts, at = np.zeros(row["n_units"], np.int64), np.zeros(row["n_units"], np.int64), [np.empty(0, np.int32)], 0
@@ -409,11 +409,12 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
                 sums = np.concatenate(([0], np.cumsum(n)))
                 cuts = sums[np.concatenate(([0], np.cumsum(counts[first:last])))]
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(_gather(flat, starts[own], n), pa.int32()))
-                out.append(pa.Table.from_arrays([id_column(doc_ids[first:last]), lists], schema=schema))
+                made = pa.RecordBatch.from_arrays([id_column(doc_ids[first:last]), lists], schema=schema)
+                out.append(then(made) if then else made)
                 first = last
-        return pa.concat_tables(out)
+        return pa.Table.from_batches(out or [then(empty) if then else empty])
 
-    return _streams(docs, id_col, text_col, chunk_bytes).groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(finish, "doc_id long, ids array<int>")
+    return _streams(docs, id_col, text_col, chunk_bytes).groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(finish, then_schema if then else "doc_id long, ids array<int>")
 
 
 def _decoder(table: PieceTable):
@@ -438,16 +439,23 @@ def decode(encoded: DataFrame, table: PieceTable, id_col: str = "doc_id", ids_co
     return encoded.select(F.col(id_col).cast("long"), F.col(ids_col).cast("array<int>")).mapInArrow(run, "doc_id long, text string")
 
 
-def digests(encoded: DataFrame, table: PieceTable) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) and text_sha256 of the decoded text."""
+DIGESTS = "doc_id long, n_tokens long, ids_crc32 long, text_sha256 string"
+
+
+def digest(table: PieceTable):
+    """Maps a batch of doc_id and ids to doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) and text_sha256 of the decoded text."""
+    text_of = _decoder(table)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values, offsets = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+        own = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in own]
+        columns = [batch.column(0), pa.array(map(len, own), pa.int64()), pa.array(sums, pa.int64()), pa.array([hashlib.sha256(text_of(x)).hexdigest() for x in own], pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "text_sha256"])
+
+    return run
 
-    def run(batches):
-        text_of = _decoder(table)
-        for batch in batches:
-            lists = batch.column(1)
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            own = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            columns = [batch.column(0), pa.array(map(len, own), pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()), pa.array([hashlib.sha256(text_of(x)).hexdigest() for x in own], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "text_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text_sha256 string")
+def encode_digests(docs: DataFrame, table: PieceTable, **options) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 and text_sha256 of what decoding the ids gives, one row for each row of docs."""
+    return encode(docs, table, then=digest(table), then_schema=DIGESTS, **options)

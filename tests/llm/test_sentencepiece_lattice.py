@@ -8,7 +8,7 @@ import pytest
 from sentencepiece import SentencePieceProcessor
 
 from siftstone.llm.queries import op9_sentencepiece
-from siftstone.llm.sentencepiece_lattice import MERGES, UNIT_BYTES, ChunkUnits, PieceTable, best_path, decode, digests, encode, encode_units, fold_unit, merges
+from siftstone.llm.sentencepiece_lattice import MERGES, UNIT_BYTES, ChunkUnits, PieceTable, best_path, decode, encode, encode_digests, encode_units, fold_unit, merges
 
 SCHEMA = "doc_id long, text string, lang string, unit string, path string, number int"
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -98,7 +98,7 @@ def test_fold_equals_trying_all_paths(spark):
 
 
 def test_empty_table(spark, table):
-    assert digests(encode(spark.createDataFrame([], SCHEMA), table), table).collect() == []
+    assert encode_digests(spark.createDataFrame([], SCHEMA), table).collect() == []
 
 
 def test_query(spark, sf_dir, library):
