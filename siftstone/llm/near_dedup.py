@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siftstone.llm.columns import shared_checkpoint
 from siftstone.llm.components import connected_components
 from siftstone.llm.golay import INDEX_BITS, nearby_indices
+from siftstone.llm.near_copies import LEAST, WIDTH, near_copies
 from siftstone.llm.simhash import fingerprints
 
 #: (lowest bit, bits) of each segment; four errors at most can be guaranteed with three of them.
@@ -127,8 +128,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(joined, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, width: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs whose doc_id names its component: one document of each group. Rows that repeat a doc_id stay or go together; rows without one stay."""
-    groups = near_duplicates(docs, width=width, max_bits=max_bits)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+def deduplicate(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """The rows of docs whose doc_id names its component: one document of each group of texts linked by a Jaccard similarity of least or more of their shingles. Rows that repeat a doc_id stay or go together; rows without one stay."""
+    gone = near_copies(docs, width=width, least=least).filter("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")
