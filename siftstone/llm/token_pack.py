@@ -8,6 +8,7 @@ ascending order of doc_id over the files; part numbers the files' tasks and star
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -21,6 +22,8 @@ from siftstone.llm.columns import NO_ID, id_array, id_column
 BLOCK_IDS = 1 << 16
 END_ID = 0
 _MEMO, _TEXTS = 1 << 20, 128
+#: White space at either end, beside other white space, or other than a space and a newline; an empty text.
+_ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z|\A\Z")
 BLOCK_SCHEMA = "part int, block int, first_id long, last_id long, start long, n_ids long, bits int, doc_ids binary, doc_ends binary, payload binary"
 
 
@@ -110,7 +113,7 @@ class Encoder:
         for text in texts:
             pieces = text.replace("\n", " \0\n \0").split(" ")
             pieces[0] = "\0" + pieces[0]
-            odd = "\0" in text or len(pieces) - text.count("\n") != len(text.split()) or any(s in text for s in self.special)
+            odd = "\0" in text or _ODD.search(text) is not None or any(s in text for s in self.special)
             cut.append(None if odd else pieces)
         fresh = set().union(*(x for x in cut if x)).difference(self.memo)
         if len(self.memo) + len(fresh) > _MEMO:

@@ -42,6 +42,18 @@ def test_a_full_memo_is_forgotten(monkeypatch):
         assert np.frombuffer(encoder([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+MIXED = ["x y\tz", "x  y\tz", "y\tz\tv w\n\n", "x  y\u00a0z", " a\tb", "a\tb ", "a\n\nb\u2003c", "\na\x0bb", "a\u0085b  c", "a \nb\x1cc", "x  y\tz\nq  r\u3000s", "\x1f", "\t", "\n\t\n"]
+
+
+def test_deviations_that_cancel_out():
+    plain, encoder = Tokenizer.from_file(PATH), Encoder(PATH)
+    rng = np.random.default_rng(4)
+    made = ["".join(rng.choice(["a", "bc", "'s", "12", ",", " ", " ", "\n", "\t", "\u00a0", "\u200b", "\x1c", "\u180e", "\ufeff"], rng.integers(1, 12))) for _ in range(5000)]
+    for text in MIXED + made:
+        assert np.frombuffer(encoder([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    assert len(encoder(MIXED + made)) == len(MIXED) + len(made)
+
+
 def test_files(spark, tmp_path, sf_dir):
     rows = [(i * 7 % 29, t, None) for i, t in enumerate(ODD)] + [(3, "again", None), (None, "no id", None), (50, None, None), (51, "long text " * 30000, None)]
     path = str(tmp_path / "tokens")
