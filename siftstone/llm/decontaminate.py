@@ -4,13 +4,15 @@ Fixed masks pick five of seven tokens and ignore the others, so a seed matches i
 token under its holes. Seeds of test items and of documents meet in an equality test on their hashes; each
 hit puts an item beside a document at one shift, and the tokens of both are then compared there. An item
 is found if a run of SPAN aligned tokens (the whole item if it is shorter) has at least four equal tokens
-in five. Any such run with up to two substitutions in 12 tokens has a seed in full (test_decontaminate
-tries all of them).
+in five. Any such run with up to two substitutions in 12 tokens has a seed in full; shorter items get
+masks of all their tokens for the substitutions that hit every seed (test_decontaminate tries all of them).
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +59,20 @@ def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+@cache
+def short_masks(n: int, masks: tuple[str, ...] = MASKS, span: int = SPAN, share: float = SHARE) -> tuple[str, ...]:
+    """Masks of n tokens for an item of n < span tokens, one for each choice of allowed substitutions that leaves no seed of masks in full."""
+    if n >= span:
+        return ()
+    seeds = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(n - len(m) + 1)]
+    lost = (set(gone) for gone in combinations(range(n), n - math.ceil(share * n)) if all(s & set(gone) for s in seeds))
+    return tuple("".join("0" if i in gone else "1" for i in range(n)) for gone in lost)
+
+
 class ItemIndex:
     """Seeds of a bounded block of items. Items with equal tokens are one, named by the smallest id; items without tokens are left out."""
 
-    def __init__(self, items: list[tuple[int, bytes]], masks: tuple[str, ...] = MASKS):
+    def __init__(self, items: list[tuple[int, bytes]], masks: tuple[str, ...] = MASKS, span: int = SPAN, share: float = SHARE):
         by_tokens: dict[tuple[bytes, ...], int] = {}
         for item, raw in sorted(items):
             by_tokens.setdefault(tuple(tokens(raw)), item)
@@ -68,12 +80,11 @@ class ItemIndex:
         self.ids = np.array(list(by_tokens.values()), np.int64)
         self.tokens = [np.array([_token_hash(t) for t in x], np.uint64) for x in by_tokens]
         self.masks = masks
-        shortest = max(map(len, masks))
-        # an item shorter than a mask is one seed of all its tokens
-        self.all_masks = list(masks) + ["1" * n for n in sorted({len(t) for t in self.tokens if len(t) < shortest})]
+        extra = lambda n: short_masks(n, masks, span, share)
+        self.all_masks = list(masks) + [m for n in sorted({len(t) for t in self.tokens}) for m in extra(n)]
         hashes, items_at, places = [], [], []
         for number, t in enumerate(self.tokens):
-            for mask in masks if len(t) >= shortest else ["1" * len(t)]:
+            for mask in masks + extra(len(t)):
                 found = seed_hashes(t, mask)
                 hashes.append(found)
                 items_at.append(np.full(len(found), number))
@@ -119,7 +130,7 @@ class LeakFinder:
     """Finds the best item of a block for a text; token hashes are kept in a bounded memo."""
 
     def __init__(self, items: list[tuple[int, bytes]], span: int, share: float):
-        self.index, self.span, self.share = ItemIndex(items), span, share
+        self.index, self.span, self.share = ItemIndex(items, span=span, share=share), span, share
         self.known: dict[bytes, int] = {}
 
     def __call__(self, text: bytes) -> tuple:

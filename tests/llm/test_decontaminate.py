@@ -2,7 +2,7 @@ from itertools import combinations
 
 import numpy as np
 
-from siftstone.llm.decontaminate import MASKS, SPAN, drop_leaks, find_leaks, tokens
+from siftstone.llm.decontaminate import MASKS, SPAN, LeakFinder, drop_leaks, find_leaks, tokens
 
 SCHEMA = "doc_id long, text string, item_id long, matched string"
 
@@ -29,6 +29,16 @@ def test_masks_find_twelve_tokens_with_any_two_substitutions():
     assert all(any(not s & {a, b} for s in spans) for a, b in combinations(range(SPAN), 2))
 
 
+def test_items_up_to_twelve_tokens_are_found_with_any_allowed_substitutions():
+    for n in range(1, SPAN + 1):
+        item = [f"w{i}" for i in range(n)]
+        find = LeakFinder([(7, " ".join(item).encode())], SPAN, 0.8)
+        for k in range(n + 1):
+            for gone in combinations(range(n), min(k, 3)):
+                text = " ".join(["a", "b"] + ["zz" if i in gone else w for i, w in enumerate(item)] + ["c"])
+                assert (find(text.encode())[0] == 1) == (n - len(gone) >= 0.8 * n), (n, gone)
+
+
 def test_real_documents_match_brute_force(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     texts = [(r.doc_id, r.text) for r in docs.collect()]
