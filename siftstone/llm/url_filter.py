@@ -38,13 +38,36 @@ def url_node(url: Column) -> Column:
     return F.concat(url_host(url), F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root, its . and .. segments resolved."""
+    parts = F.split(path, "/", -1)
+    parts = F.slice(parts, 2, F.size(parts))
+    empty = F.slice(parts, 1, 0)
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    kept = F.aggregate(parts, empty, lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    slash = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(slash, "/").otherwise(""))
+
+
 def _target(url: Column, href: Column) -> Column:
-    """The absolute url of a link on a page; null if it is neither absolute nor from the root of its host."""
+    """The absolute url of a link on a page; null if it has another scheme without // or is relative on a url without ://.
+
+    Relative links are resolved against the page's url: a query against its path, other ones against
+    the directory of it; . and .. are resolved in the path of a relative link. A base element is not looked at.
+    """
     href = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
+    path, tail = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(url_path(url), r"^/.*", 0)
+    own = F.when(own == "", "/").otherwise(own)
+    merged = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_extract(own, r"^.*/", 0), path))
+    site = F.concat(F.lit("http://"), url_host(url))
     return (
-        F.when(F.locate("://", href) > 0, href)
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
         .when(href.startswith("//"), F.concat(F.lit("http:"), href))
-        .when(href.startswith("/") & (F.locate("://", url) > 0), F.concat(F.lit("http://"), url_host(url), href))
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (F.locate("://", url) == 0), F.lit(None))
+        .when(href.startswith("#"), url)
+        .when(path == "", F.concat(site, own, tail))
+        .otherwise(F.concat(site, _without_dots(merged), tail))
     )
 
 

@@ -1,5 +1,5 @@
 from siftstone.llm.queries import URL_RULES
-from siftstone.llm.url_filter import RULE_SCHEMA, judge_urls
+from siftstone.llm.url_filter import RULE_SCHEMA, html_edges, judge_urls
 
 
 def judged(spark, urls, redirects=None, html=None):
@@ -31,6 +31,21 @@ def test_decisions_pass_over_aliases_and_allow_goes_first(spark):
     assert got[3] == got[4] == (None, "allow") and got[5] == (None, "allow") and got[6] == ("example.com/en/7", "allow")
 
 
+def test_relative_links(spark):
+    page = "http://H.org/a/b/page1?q=1#t"
+    want = {
+        "page2.html": "http://h.org/a/b/page2.html", "?id=3": "http://h.org/a/b/page1?id=3", "../a/b": "http://h.org/a/a/b", "./x": "http://h.org/a/b/x", "../../../x?y=../z": "http://h.org/x?y=../z",
+        "..": "http://h.org/a/", ".": "http://h.org/a/b/", "../..": "http://h.org/", "/login?next=https://other.org/x": "http://h.org/login?next=https://other.org/x", "x?next=http://o.org/": "http://h.org/a/b/x?next=http://o.org/",
+        "/c/../d/": "http://h.org/d/", "//o.org/x": "http://o.org/x", "HTTPS://o.org/x": "HTTPS://o.org/x", "#top": page, "mailto:a@o.org": None,
+    }
+    rows = [(page, f'<link rel="canonical" href="{href}">') for href in want] + [("http://h.org", '<meta http-equiv=refresh content="0; url=x">'), ("no-scheme", '<link rel="canonical" href="x">')]
+    got = [(r.src, r.dst) for r in html_edges(spark.createDataFrame(rows, "url string, html string")).collect()]
+    assert sorted(got) == sorted([(page, x) for x in want.values() if x] + [("http://h.org", "http://h.org/x")])
+    urls = ["http://p.org/fr/1", "http://p.org/es/2", "http://q.org/fr/1"]
+    found = judged(spark, urls, None, {0: "<meta http-equiv=refresh content='0; url=../es/2'>", 2: "<link rel=canonical href='/x?next=http://p.org/es/2'>"})
+    assert [found[i][3] for i in range(3)] == ["block", "block", "allow"]
+
+
 def test_many_aliases_of_one_blocked_page(spark):
     urls = [f"http://h{i}.org/fr/{i}" for i in range(300)]
     got = judged(spark, urls, [(u, "http://t.org/es/0") for u in urls[:200]])
