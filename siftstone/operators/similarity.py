@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from siftstone.functions.similarity import bit_total, set_bits, tanimoto
 from siftstone.operators.frames import hash_sample
 
-#: Query vectors that one pass holds in each task.
+#: Vectors in a block.
 BLOCK_ROWS = 4096
 
 
@@ -60,39 +58,31 @@ def diversity(df: DataFrame, key: str, bits: str = "bits", sample: int = 500, se
 def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, row_id and similarity of the row with the highest cosine similarity (6 places; then the smallest id).
 
-    Queries go in blocks of a bounded size against all rows, where those are; each task keeps the best of
-    each of its batches, and the bests are combined. Null vectors and those of length zero are left out.
+    Queries and rows are packed in blocks of a bounded size where they are; each block of queries meets each
+    block of rows in a task, which keeps the best of them, and the bests are combined. No vector goes
+    through the driver. Null ids, null vectors and those of length zero are left out.
     """
-    clean = lambda df, i: df.select(F.col(i).cast("long").alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
-    asked, held = clean(queries, query_id), clean(rows, row_id)
-    n_blocks = max(1, math.ceil(asked.count() / (block_rows / 2)))  # hashed blocks are uneven
-    found = None
-    for number in range(n_blocks):
-        block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == number).toPandas()
-        if not len(block):
-            continue
-        ids, matrix = block["id"].to_numpy(np.int64), np.stack(block["v"]).astype(np.float64)
-        length = np.linalg.norm(matrix, axis=1)
-        ids, matrix = ids[length > 0], matrix[length > 0] / length[length > 0, None]
-
-        def best(batches, ids=ids, matrix=matrix):
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own = batch.column(0).to_numpy()
-                vectors = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, block_rows):
+                part = batch.slice(at, block_rows)
+                ids, vectors = part.column(0).to_numpy(), np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
                 size = np.linalg.norm(vectors, axis=1)
-                own, vectors = own[size > 0], vectors[size > 0] / size[size > 0, None]
-                if not len(own):
-                    continue
-                order = np.argsort(own, kind="stable")
-                own, alike = own[order], np.round(matrix @ vectors[order].T, 6)
+                ids, vectors = ids[size > 0], vectors[size > 0] / size[size > 0, None]
+                order = np.argsort(ids, kind="stable")
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids[order], vectors[order])], names=["ids", "vectors"])
+
+    def best(batches):
+        for batch in batches:
+            for q, x, r, y in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, own = np.frombuffer(q, np.int64), np.frombuffer(r, np.int64)
+                alike = np.round(np.frombuffer(x).reshape(len(ids), -1) @ np.frombuffer(y).reshape(len(own), -1).T, 6)
                 at = alike.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own[at]), pa.array(alike[np.arange(len(ids)), at])], names=["q", "r", "s"])
 
-        part = held.mapInArrow(best, "q long, r long, s double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], "q long, r long, s double")
-    top = found.groupBy("q").agg(F.max(F.struct("s", (-F.col("r")).alias("r"))).alias("x"))
+    blocks = lambda df, i: df.select(F.col(i).cast("long").alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL").mapInArrow(pack, "ids binary, vectors binary")
+    met = blocks(queries, query_id).toDF("q", "x").crossJoin(blocks(rows, row_id).toDF("r", "y"))
+    top = met.mapInArrow(best, "q long, r long, s double").groupBy("q").agg(F.max(F.struct("s", (-F.col("r")).alias("r"))).alias("x"))
     return top.select(F.col("q").alias(query_id), (-F.col("x.r")).alias(row_id), F.col("x.s").alias("similarity"))

@@ -121,6 +121,17 @@ def test_similar_pairs_lose_none(spark):
     assert spark.createDataFrame(rows[:1], "i int, bits array<long>").select(similarity.tanimoto(F.col("bits"), F.col("bits"))).first()[0] == 0.0
 
 
+def test_nearest_brings_no_vectors_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "id long, v array<double>")
+    for name in ("toPandas", "collect", "toLocalIterator"):
+        monkeypatch.setattr(DataFrame, name, lambda *_: 1 / 0)
+    found = search.nearest(df.withColumnRenamed("id", "q"), df, "q", "id", "v", block_rows=8)
+    monkeypatch.undo()
+    assert sorted((r.q, r.id, r.similarity) for r in found.collect()) == [(i, i % 21, 1.0) for i in range(40)]
+
+
 def test_nearest_in_blocks(spark):
     rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(40)] + [(40, [0.0, 0.0, 0.0]), (41, None)]
     df = spark.createDataFrame(rows, "id long, v array<float>")
