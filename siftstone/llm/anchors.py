@@ -39,6 +39,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def hash_rows(rows: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each row of bytes."""
+    up, _, numbers = _tables()
+    return _mix((numbers[rows] * up[: rows.shape[1]]).sum(axis=1) + np.uint64(salt))
+
+
 def _of_piece(text: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     up, down, numbers = _tables()
     n = len(text)

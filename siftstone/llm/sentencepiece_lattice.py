@@ -13,8 +13,9 @@ each piece is made of two pieces of higher scores (a test goes through all of th
 have one and the same lowest score and no such order: they are left out of the lattice, and units with two
 spaces or more in front, which are few, are folded where they stand.
 
-Documents are read in chunks. A chunk keeps numbers instead of its units, and asks for the ids of each of
-its different units once; answers come back packed, and a chunk's ids are gathered from them.
+Documents are read in chunks, and the different units of all chunks are counted first. The ids of the
+commonest ones, a bounded table, go to every task; a chunk keeps numbers instead of its units, and asks only
+for the ids of its other units, each once. A chunk's ids are gathered from both.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.anchors import _mix as mix
 from siftstone.llm.anchors import _powers as powers
-from siftstone.llm.columns import MIB, chunk_documents, id_column, open_chunk, pack, unpack
+from siftstone.llm.columns import MIB, chunk_documents, id_column, open_chunk, pack, shared_checkpoint, unpack
 
 SPACE = "▁"
 #: Added to the smallest score for a character that no piece has.
@@ -41,8 +42,11 @@ BEST_PATH, MERGES = "best_path", "merges"
 #: Longer units are folded where they stand: their lattice is no small group, and their cuts are no bits of one number.
 UNIT_BYTES = 60
 CHUNK_BYTES = 4 * MIB
+#: Units, of up to UNIT_BYTES bytes, that the table of the commonest ones holds at most, whatever the corpus.
+COMMON = 1 << 18
+_LEVELS, _COMMON_BLOCKS = 8, 16
 _PIECE = 1 << 19
-_ROWS, _ANSWER_ROWS, _GATHER = 1 << 15, 1 << 17, 1 << 18
+_ROWS, _ANSWER_ROWS, _GATHER, _COUNTED = 1 << 15, 1 << 17, 1 << 18, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -209,6 +213,8 @@ def _fold_merges(edges: DataFrame, start: Column, size: Column) -> DataFrame:
 
 
 _ASKED = pa.schema([("chunk_id", pa.int64()), ("unit", pa.string()), ("number", pa.int32())])
+_COUNTS = pa.schema([("unit", pa.string()), ("n", pa.int64())])
+_KNOWN = pa.schema([("unit", pa.string()), ("n", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _ANSWER = pa.schema([("chunk_id", pa.int64()), ("numbers", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])
 _STREAM = pa.schema([("chunk_id", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary()), ("n_units", pa.int32()), ("own_units", pa.list_(pa.binary()))])
 
@@ -275,37 +281,32 @@ def _local(unit: bytes) -> bool:
     return len(unit) > UNIT_BYTES or unit[:2] == b"  "
 
 
-def _ask(docs: DataFrame, *columns) -> DataFrame:
-    """chunk_id, unit and number of the different units of each chunk, numbered by their first place. Those to be folded where they stand are not asked for."""
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                asked = [(u, k) for k, u in enumerate(ChunkUnits(open_chunk(row)[1]).texts()) if not _local(u)]
-                for at in range(0, len(asked), _ROWS):
-                    units, numbers = zip(*asked[at : at + _ROWS])
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk_id"]] * len(units), pa.int64()), pa.array(units, pa.binary()).cast(pa.string()), pa.array(numbers, pa.int32())], schema=_ASKED)
-
-    return chunk_documents(docs, *columns, then=run, schema="chunk_id long, unit string, number int")
+def _count(docs: DataFrame, *columns) -> DataFrame:
+    """unit and n for all units but those to be folded where they stand, counted within partitions."""
 
-
-def _streams(docs: DataFrame, *columns) -> DataFrame:
-    """Each chunk's documents as numbers of its units, and its units to be folded here."""
+    def emit(counts: dict[bytes, int]):
+        units, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+        for at in range(0, len(units), _ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(units[at : at + _ROWS], pa.binary()).cast(pa.string()), pa.array(n[at : at + _ROWS])], schema=_COUNTS)
 
     def run(batches):
+        counts: dict[bytes, int] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                ids, texts = open_chunk(row)
-                units = ChunkUnits(texts)
-                own = [x for k, u in enumerate(units.texts()) if _local(u) for x in (str(k).encode(), u)]
-                data = [row["chunk_id"], pack(ids), pack(units.counts), pack(units.number), len(units.first), own]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(data, _STREAM)], schema=_STREAM)
+                units = ChunkUnits(open_chunk(row)[1])
+                for unit, n in zip(units.texts(), np.bincount(units.number).tolist()):
+                    if not _local(unit):
+                        counts[unit] = counts.get(unit, 0) + n
+                if len(counts) > _COUNTED:
+                    yield from emit(counts)
+                    counts = {}
+        yield from emit(counts)
 
-    return chunk_documents(docs, *columns, then=run, schema="chunk_id long, doc_ids binary, counts binary, stream binary, n_units int, own_units array<binary>")
+    return chunk_documents(docs, *columns, then=run, schema="unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def _pack_answers(answers: DataFrame, table: PieceTable) -> DataFrame:
-    """Ids of each chunk's units, a row for each chunk and run of rows of a partition."""
+def _known_units(counted: DataFrame, table: PieceTable) -> DataFrame:
+    """unit, n and ids of each counted unit."""
     single, byte_ids = table.single(), table.byte_ids
 
     def char_table() -> np.ndarray:
@@ -314,20 +315,14 @@ def _pack_answers(answers: DataFrame, table: PieceTable) -> DataFrame:
             ids[ord(char)] = number
         return ids
 
-    def characters(unit: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all characters, and the place of each unit's first one."""
+    def resolve(batch, char_ids):
+        unit, n, path = batch.columns
         codes = np.frombuffer("".join(unit.to_pylist()).encode("utf-32-le"), np.uint32)
-        chars = pc.utf8_length(unit).to_numpy()
-        return codes, np.cumsum(chars, dtype=np.int64) - chars
-
-    def emit(batches, char_ids):
-        table = pa.Table.from_batches(batches).sort_by("chunk_id")
-        chunk, number, unit, path = (c.combine_chunks() for c in table.columns)
-        codes, first = characters(unit)
+        chars = pc.utf8_length(unit).to_numpy().astype(np.int64)
+        first = np.cumsum(chars) - chars
         none = path.is_null().to_numpy(zero_copy_only=False)  # no edges: all characters are single
-        chars = np.diff(np.r_[first, len(codes)])
-        lens = np.where(none, chars, pc.fill_null(pc.list_value_length(path), 0).to_numpy()).astype(np.int32)
-        ends = np.cumsum(lens, dtype=np.int64)
+        lens = np.where(none, chars, pc.fill_null(pc.list_value_length(path), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(lens)
         owner = np.repeat(np.arange(len(lens)), lens)
         ids = -1 - (np.arange(len(owner), dtype=np.int64) - (ends - lens)[owner])  # as if all were single
         ids[~none[owner]] = path.drop_null().flatten().to_numpy()
@@ -339,30 +334,122 @@ def _pack_answers(answers: DataFrame, table: PieceTable) -> DataFrame:
             raw = [chr(c).encode() for c in code[char_ids[code] < 0].tolist()]
             times = np.ones(len(ids), np.int64)
             times[odd] = [len(x) for x in raw]
-            lens = np.bincount(owner, times, len(lens)).astype(np.int32)
+            lens = np.bincount(owner, times, len(lens)).astype(np.int64)
             ids = np.repeat(ids, times)
             ids[ids < 0] = np.array(byte_ids)[np.frombuffer(b"".join(raw), np.uint8)]
-            ends = np.cumsum(lens, dtype=np.int64)
-        ids = ids.astype(np.int32)
-        chunk, number = chunk.to_numpy(), number.to_numpy()
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([unit, n, lists], schema=_KNOWN)
+
+    def run(batches):
+        char_ids = char_table()
+        for batch in batches:
+            if batch.num_rows:
+                yield resolve(batch, char_ids)
+
+    paths = encode_units(counted.select("unit"), table)
+    return counted.join(paths, "unit", "left").select("unit", "n", "path").mapInArrow(run, "unit string, n long, ids array<int>")
+
+
+@dataclass(frozen=True)
+class CommonUnits:
+    """The commonest units and their ids, packed; units that occur least times or more are among them."""
+
+    units: bytes
+    lens: bytes
+    ids: bytes
+    n: int
+    least: int
+
+    @staticmethod
+    def of(known: DataFrame, most: int = COMMON) -> CommonUnits:
+        """At most so many units: those with so many occurrences that they are not too many."""
+        level = F.floor(_LEVELS * F.log2("n")).cast("int")
+        least, total = np.inf, 0
+        for row in known.groupBy(level.alias("level")).agg(F.count("*").alias("units"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():  # some rows for each power of two
+            if total + row.units > most:
+                break
+            least, total = row.least, total + row.units
+        if not total:
+            return CommonUnits(pack(b""), pack(b""), pack(b""), 0, 1 << 62)
+        schema = pa.schema([("block", pa.int32()), ("units", pa.binary()), ("n", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])
+
+        def blocks(table: pa.Table) -> pa.Table:
+            lists = table["ids"].combine_chunks()
+            data = [pack("\n".join(table["unit"].to_pylist()).encode()), pack(table["n"].to_numpy()), pack(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)), pack(lists.flatten().to_numpy().astype(np.int32))]
+            return pa.Table.from_arrays([table["block"][:1].combine_chunks(), *[pa.array([x], pa.binary()) for x in data]], schema=schema)
+
+        common = known.filter(F.col("n") >= int(least)).withColumn("block", F.pmod(F.xxhash64("unit"), F.lit(_COMMON_BLOCKS)).cast("int"))
+        rows = sorted(common.groupBy("block").applyInArrow(blocks, "block int, units binary, n binary, lens binary, ids binary").collect())
+        units = [u for r in rows for u in unpack(r.units).split(b"\n")]
+        n, lens, ids = (np.concatenate([unpack(r[c], kind) for r in rows]) for c, kind in (("n", np.int64), ("lens", np.int32), ("ids", np.int32)))
+        order = np.argsort(-n, kind="stable")
+        starts = (np.cumsum(lens, dtype=np.int64) - lens)[order]
+        return CommonUnits(pack(b"\n".join([units[i] for i in order.tolist()])), pack(lens[order]), pack(_gather(ids, starts, lens[order])), len(units), int(least))
+
+    def numbers(self) -> dict[bytes, int]:
+        return {u: i for i, u in enumerate(unpack(self.units).split(b"\n"))} if self.n else {}
+
+
+def _ask(docs: DataFrame, common: CommonUnits, *columns) -> DataFrame:
+    """chunk_id, unit and number of the units of each chunk that are neither common nor folded where they stand."""
+
+    def run(batches):
+        numbers = common.numbers()
+        for batch in batches:
+            for row in batch.to_pylist():
+                asked = [(u, k) for k, u in enumerate(ChunkUnits(open_chunk(row)[1]).texts()) if u not in numbers and not _local(u)]
+                for at in range(0, len(asked), _ROWS):
+                    units, own = zip(*asked[at : at + _ROWS])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk_id"]] * len(units), pa.int64()), pa.array(units, pa.binary()).cast(pa.string()), pa.array(own, pa.int32())], schema=_ASKED)
+
+    return chunk_documents(docs, *columns, then=run, schema="chunk_id long, unit string, number int")
+
+
+def _streams(docs: DataFrame, common: CommonUnits, *columns) -> DataFrame:
+    """Each chunk's documents as numbers of units, those of the common ones before its own, and its units to be folded here."""
+
+    def run(batches):
+        numbers = common.numbers()
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, texts = open_chunk(row)
+                units = ChunkUnits(texts)
+                every = units.texts()
+                number = np.fromiter((numbers.get(u, common.n + k) for k, u in enumerate(every)), np.int32, len(every))
+                own = [x for k, u in enumerate(every) if _local(u) for x in (str(k).encode(), u)]
+                data = [row["chunk_id"], pack(ids), pack(units.counts), pack(number[units.number]), len(every), own]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(data, _STREAM)], schema=_STREAM)
+
+    return chunk_documents(docs, *columns, then=run, schema="chunk_id long, doc_ids binary, counts binary, stream binary, n_units int, own_units array<binary>")
+
+
+def _pack_answers(answers: DataFrame) -> DataFrame:
+    """Ids of each chunk's units, a row for each chunk and run of rows of a partition."""
+
+    def emit(batches):
+        table = pa.Table.from_batches(batches).sort_by("chunk_id")
+        chunk, number = table["chunk_id"].to_numpy(), table["number"].to_numpy()
+        lists = table["ids"].combine_chunks()
+        lens, ids = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32), lists.flatten().to_numpy()
+        ends = np.cumsum(lens, dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
         stops = np.r_[starts[1:], len(chunk)]
         rows = [(chunk[a], pack(number[a:b]), pack(lens[a:b]), pack(ids[ends[a] - lens[a] : ends[b - 1]])) for a, b in zip(starts.tolist(), stops.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ANSWER)], schema=_ANSWER)
 
     def run(batches):
-        held, size, char_ids = [], 0, char_table()
+        held, size = [], 0
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
             if size >= _ANSWER_ROWS:
-                yield emit(held, char_ids)
+                yield emit(held)
                 held, size = [], 0
         if held:
-            yield emit(held, char_ids)
+            yield emit(held)
 
-    return answers.select("chunk_id", "number", "unit", "path").mapInArrow(run, "chunk_id long, numbers binary, lens binary, ids binary")
+    return answers.select("chunk_id", "number", "ids").mapInArrow(run, "chunk_id long, numbers binary, lens binary, ids binary")
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -371,33 +458,38 @@ def _gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
     return values[np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, then=None, then_schema: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, most_common: int = COMMON, then=None, then_schema: str | None = None) -> DataFrame:
     """doc_id and ids (array of int), one row for each row of docs; then, if given, maps Arrow batches of them to batches of then_schema where they are made.
 
     Null and empty texts have no ids. Rows that repeat a doc_id, and null ids, keep a row each. decode()
     gives every text back, byte for byte: what no piece has, a literal U+2581 too, is written as bytes. An
-    empty table gives an empty table.
+    empty table gives an empty table. Documents are read three times, to count units, to ask and to answer.
     """
-    asked = _ask(docs, id_col, text_col, chunk_bytes)
-    encoded = encode_units(asked.select("unit").distinct(), table)
-    answers = _pack_answers(asked.join(encoded, "unit", "left"), table)
+    columns = id_col, text_col, chunk_bytes
+    known = shared_checkpoint(_known_units(shared_checkpoint(_count(docs, *columns)), table))
+    common = CommonUnits.of(known, most_common)
+    rare = known.filter(F.col("n") < common.least).select("unit", "ids")
+    answers = _pack_answers(_ask(docs, common, *columns).join(rare, "unit"))
     known, single, byte_ids = {p: (i, s) for p, i, s in table.lattice()}, table.single(), table.byte_ids
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out, said, empty = [], right.to_pylist(), pa.RecordBatch.from_pylist([], schema=schema)
+        common_lens, common_ids = unpack(common.lens, np.int32).astype(np.int64), unpack(common.ids, np.int32)
         for row in left.to_pylist():
             doc_ids, counts, stream = unpack(row["doc_ids"], np.int64), unpack(row["counts"], np.int64), unpack(row["stream"], np.int32)
-            lens, starts, parts, at = np.zeros(row["n_units"], np.int64), np.zeros(row["n_units"], np.int64), [np.empty(0, np.int32)], 0
+            lens, starts = np.zeros((2, common.n + row["n_units"]), np.int64)
+            lens[: common.n], starts[: common.n] = common_lens, np.cumsum(common_lens) - common_lens
+            parts, at = [common_ids], len(common_ids)
             for answer in said:
-                number, n, ids = unpack(answer["numbers"], np.int32), unpack(answer["lens"], np.int32), unpack(answer["ids"], np.int32)
+                number, n, ids = common.n + unpack(answer["numbers"], np.int32), unpack(answer["lens"], np.int32), unpack(answer["ids"], np.int32)
                 lens[number], starts[number] = n, at + np.cumsum(n, dtype=np.int64) - n
                 parts.append(ids)
                 at += len(ids)
             for k, unit in zip(row["own_units"][::2], row["own_units"][1::2]):
                 path = fold_unit(unit.decode(), table, known)
                 ids = np.array([i for p in path for i in ([p] if isinstance(p, int) else single.get(p) or [byte_ids[b] for b in p.encode()])], np.int32)
-                lens[int(k)], starts[int(k)] = len(ids), at
+                lens[common.n + int(k)], starts[common.n + int(k)] = len(ids), at
                 parts.append(ids)
                 at += len(ids)
             flat, ends = np.concatenate(parts), np.cumsum(counts)
@@ -414,7 +506,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
                 first = last
         return pa.Table.from_batches(out or [then(empty) if then else empty])
 
-    return _streams(docs, id_col, text_col, chunk_bytes).groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(finish, then_schema if then else "doc_id long, ids array<int>")
+    return _streams(docs, common, *columns).groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(finish, then_schema if then else "doc_id long, ids array<int>")
 
 
 def _decoder(table: PieceTable):

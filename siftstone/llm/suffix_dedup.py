@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftstone.llm.anchors import K, WIDTH, find_anchors
+from siftstone.llm.anchors import K, WIDTH, find_anchors, hash_rows
 from siftstone.llm.bwt import repeated_windows
 from siftstone.llm.columns import MIB, bucket_count, chunk_documents, id_column, pack, text_volume, unpack
 
@@ -31,7 +31,10 @@ RIGHT = (WIDTH - K) // 2
 #: An anchor with more different surroundings is dealt window by window.
 HOT = 20_000
 #: Shards of a merge, and bytes of strings in one.
-SHARDS, BATCH_BYTES = 8, 2 * MIB
+SHARDS, BATCH_BYTES = 8, MIB // 2
+#: Bytes of text in a chunk, and those whose anchors and edges make a bucket of about the same size.
+CHUNK_BYTES, BUCKET_BYTES, EDGE_BUCKET_BYTES = 4 * MIB, 6 * MIB, 3 * MIB
+_SLICE = 1 << 14
 _EDGE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("anchor", "<u4"), ("base", "u1"), ("size", "u1")])
 _PART = np.dtype([("anchor", "<u4"), ("base", "u1"), ("mask", "<u8")])
 
@@ -77,18 +80,26 @@ def _blobs(rows: list[tuple]) -> pa.Table:
     return _table(dict(zip(_BLOB.names, zip(*rows))) if rows else {n: [] for n in _BLOB.names}, _BLOB)
 
 
+def _runs(bucket: np.ndarray):
+    """(bucket, slice) of each run of equal buckets."""
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+    for a, b in zip(starts.tolist(), np.r_[starts[1:], len(bucket)].tolist()):
+        yield int(bucket[a]), slice(a, b)
+
+
+def _bucket(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Buckets by ranges of the key, of which the lowest bits beyond 32 don't count."""
+    return (key >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
+
+
 def _classes(table: pa.Table, buckets: int) -> pa.Table:
-    """The classes of a chunk, a row for each bucket."""
+    """The classes of a chunk, a row for each bucket that has some."""
     rows = []
     for row in table.to_pylist():
         c = ChunkAnchors(row)
-        bucket = (c.key >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        for b in range(buckets):
-            s = slice(cuts[b], cuts[b + 1])
-            if s.start < s.stop:
-                data = [_planes(np.diff(c.key[s], prepend=np.uint64(0))), _planes(c.whole[s]), _planes(c.least[s]), _planes(c.most[s] - c.least[s])]
-                rows.append((b, row["chunk_id"], _DECIDED, data))
+        for b, s in _runs(_bucket(c.key, 48, buckets)):
+            data = [_planes(np.diff(c.key[s], prepend=np.uint64(0))), _planes(c.whole[s]), _planes(c.least[s]), _planes(c.most[s] - c.least[s])]
+            rows.append((b, row["chunk_id"], _DECIDED, data))
     return _blobs(rows)
 
 
@@ -124,48 +135,59 @@ def _decisions(chunk: ChunkAnchors, rows: list[dict]) -> tuple[np.ndarray, np.nd
     return chunk.least - less, what
 
 
-def _edges(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
-    """Surroundings to compare, dealt by what their windows have in common; the decisions go along to the end."""
-    from xxhash import xxh64_intdigest
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of runs of the given sizes, one run after the other."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _hashes(text: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.ndarray:
+    """A hash of the size bytes at each place; equal hashes of different bytes only bring edges together that share nothing."""
+    out = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), _SLICE):
+        out[i : i + _SLICE] = hash_rows(text[at[i : i + _SLICE, None] + np.arange(size)], salt)
+    return out
 
+
+def _edge_table(c: ChunkAnchors, text: np.ndarray, picked: np.ndarray, todo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of the picked anchors, and where each one's text begins."""
+    at, lo, hi = c.at[picked], c.lo[picked], c.hi[picked]
+    cut = np.maximum(lo, at - RIGHT)
+    end = np.minimum(hi, cut - 1)
+    right = np.flatnonzero((todo == 1) & (cut <= hi))  # these windows have the bytes up to WIDTH - RIGHT from the anchor
+    left = np.flatnonzero((todo == 1) & (lo <= end))  # these have more than RIGHT bytes before it
+    hot = np.flatnonzero(todo == 2)
+    window, hot = _spread(lo[hot], hi[hot] - lo[hot] + 1), np.repeat(hot, hi[hot] - lo[hot] + 1)
+    of, begin = np.concatenate((right, left, hot)), np.concatenate((cut[right], lo[left], window))
+    edges = np.empty(len(of), _EDGE)
+    edges["key"] = np.concatenate((_hashes(text, at[right], WIDTH - RIGHT, 1), _hashes(text, at[left] - RIGHT - 1, RIGHT + 1 + K, 2), _hashes(text, window, WIDTH, 3)))
+    edges["doc"], edges["anchor"], edges["base"] = c.ids[c.doc[picked[of]]], picked[of], begin - lo[of]
+    edges["size"] = np.concatenate((hi[right], end[left], window)) + WIDTH - begin
+    return edges, begin
+
+
+def _edges(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
+    """Surroundings to compare, dealt by what their windows have in common; a bit for each anchor that is repeated as a whole goes along to the end."""
     rows, decided = [], right.to_pylist()
     for row in left.to_pylist():
         c = ChunkAnchors(row)
         smallest, what = _decisions(c, decided)
-        picked = np.flatnonzero((what[c.cls] > 0) & (c.ids[c.doc] == smallest[c.cls]))
-        edges, texts, raw = [], [], c.raw
-        for j, doc, at, lo, hi, todo in zip(picked.tolist(), c.ids[c.doc[picked]].tolist(), c.at[picked].tolist(), c.lo[picked].tolist(), c.hi[picked].tolist(), what[c.cls[picked]].tolist()):
-            if todo == 2:
-                for i in range(lo, hi + 1):
-                    text = raw[i : i + WIDTH]
-                    edges.append((xxh64_intdigest(text, 3), doc, j, i - lo, WIDTH))
-                    texts.append(text)
-                continue
-            cut = max(lo, at - RIGHT)
-            if cut <= hi:  # these windows have the bytes up to WIDTH - RIGHT from the anchor
-                edges.append((xxh64_intdigest(raw[at : at + WIDTH - RIGHT], 1), doc, j, cut - lo, hi + WIDTH - cut))
-                texts.append(raw[cut : hi + WIDTH])
-            end = min(hi, cut - 1)
-            if lo <= end:  # these have more than RIGHT bytes before it
-                edges.append((xxh64_intdigest(raw[at - RIGHT - 1 : at + K], 2), doc, j, 0, end + WIDTH - lo))
-                texts.append(raw[lo : end + WIDTH])
-        table = np.array(edges, _EDGE)
-        bucket = (table["key"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        for b in range(buckets):
-            mine = order[cuts[b] : cuts[b + 1]]
-            if len(mine):
-                rows.append((b, row["chunk_id"], _EDGES, [pack(table[mine]), pack(b"".join([texts[i] for i in mine.tolist()]))]))
-        for r in decided:
-            rows.append((r["bucket"] % buckets, row["chunk_id"], _DECIDED, [r["data"][0], r["data"][1], str(r["bucket"]).encode()]))
+        owner, least = c.ids[c.doc], smallest[c.cls]
+        todo = np.where(owner == least, what[c.cls], 0)
+        rows.append((row["chunk_id"] % buckets, row["chunk_id"], _DECIDED, [pack(np.packbits(owner > least))]))
+        text, picked = np.frombuffer(c.raw, np.uint8), np.flatnonzero(todo)
+        edges, begin = _edge_table(c, text, picked, todo[picked])
+        order = np.argsort(edges["key"], kind="stable")
+        edges, begin = edges[order], begin[order]
+        for b, s in _runs(_bucket(edges["key"], 64, buckets)):
+            rows.append((b, row["chunk_id"], _EDGES, [pack(edges[s]), pack(text[_spread(begin[s], edges["size"][s].astype(np.int64))])]))
     return _blobs(rows)
 
 
 def _compare(table: pa.Table) -> pa.Table:
     """Which windows of each edge are repeats, from merged transforms of the edges of one bucket."""
     rows = table.to_pylist()
-    out = [(int(r["data"][2]), r["chunk_id"], _DECIDED, r["data"][:2]) for r in rows if r["kind"] == _DECIDED]
+    out = [(r["bucket"], r["chunk_id"], _DECIDED, r["data"]) for r in rows if r["kind"] == _DECIDED]
     rows = [r for r in rows if r["kind"] == _EDGES]
     if not rows:
         return _blobs(out)
@@ -233,6 +255,14 @@ class _Finished:
         ends = np.cumsum(self.chunk.lens - self.removed())
         return [left[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())] if len(ends) else []
 
+    def of_whole_characters(self) -> _Finished:
+        """The same with all bytes of a character covered if one is: what is left is whole characters."""
+        text = np.frombuffer(self.chunk.raw, np.uint8)
+        first = np.flatnonzero(text & 0xC0 != 0x80)
+        if not len(first):
+            return self
+        return _Finished(self.chunk, np.repeat(np.logical_or.reduceat(self.covered, first), np.diff(np.r_[first, len(text)])))
+
     def _by_doc(self, x: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
         ends = np.cumsum(self.chunk.lens)
@@ -252,12 +282,12 @@ class _Finished:
 
 def _finish(row: dict, said: list[dict]) -> _Finished:
     c = ChunkAnchors(row)
-    smallest, _ = _decisions(c, said)
-    change = np.zeros(len(c.raw) + 1, np.int64)
-    whole = np.flatnonzero(c.ids[c.doc] > smallest[c.cls])
-    np.add.at(change, c.lo[whole], 1)
-    np.add.at(change, c.hi[whole] + WIDTH, -1)
+    change = np.zeros(len(c.raw) + 1, np.int32)
     for r in said:
+        if r["kind"] == _DECIDED:
+            whole = np.flatnonzero(np.unpackbits(unpack(r["data"][0], np.uint8), count=len(c.doc)))
+            np.add.at(change, c.lo[whole], 1)
+            np.add.at(change, c.hi[whole] + WIDTH, -1)
         if r["kind"] == _PARTS:
             part = unpack(r["data"][0], _PART)
             first = c.lo[part["anchor"]] + part["base"]
@@ -265,13 +295,13 @@ def _finish(row: dict, said: list[dict]) -> _Finished:
                 at = first[(part["mask"] >> np.uint64(bit)) & np.uint64(1) > 0] + bit
                 np.add.at(change, at, 1)
                 np.add.at(change, at + WIDTH, -1)
-    return _Finished(c, np.cumsum(change[:-1]) > 0)
+    return _Finished(c, np.cumsum(change[:-1], dtype=np.int32) > 0)
 
 
 def _repeats(docs: DataFrame, finish, schema, id_col: str, text_col: str, carry: bool) -> DataFrame:
     volume = text_volume(docs, text_col)
-    buckets, edge_buckets = bucket_count(volume, 16 * MIB), bucket_count(volume, 8 * MIB)
-    chunks = chunk_documents(docs, id_col, text_col, carry=carry)
+    buckets, edge_buckets = bucket_count(volume, BUCKET_BYTES), bucket_count(volume, EDGE_BUCKET_BYTES)
+    chunks = chunk_documents(docs, id_col, text_col, CHUNK_BYTES, carry=carry)
     by_chunk = chunks.groupBy("chunk_id")
     classes = by_chunk.applyInArrow(lambda t: _classes(t, buckets), _BLOB_SQL)
     decided = classes.groupBy("bucket").applyInArrow(_decide, _BLOB_SQL)
@@ -307,9 +337,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            f = _finish(row, right.to_pylist())
+            f = _finish(row, right.to_pylist()).of_whole_characters()
             rest = pa.ipc.open_stream(unpack(row["rest"])).read_all()
-            texts = pa.array([x.decode("utf-8", "ignore") for x in f.kept()], pa.string())
+            texts = pa.array([x.decode("utf-8", "replace") for x in f.kept()], pa.string())
             out.append(pa.Table.from_arrays([texts if n == text_col else rest[n] for n in names], names=names))
         return pa.concat_tables(out) if out else None
 

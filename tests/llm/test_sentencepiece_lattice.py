@@ -57,6 +57,14 @@ def test_ids_are_those_of_the_library_and_texts_come_back(spark, table, library)
     assert texts == sorted((r[0] is None, r[0], r[1] or "") for r in rows)
 
 
+def test_a_small_table_of_common_units_changes_nothing(spark, table, library):
+    rows = list(enumerate(TEXTS + ["the quick fox the fox", "the dog the end"])) + [(1, "the the the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = sorted((i, library.encode(t or "")) for i, t in rows)
+    for most in (0, 1, 3, 10):
+        assert sorted((r.doc_id, r.ids) for r in encode(docs, table, chunk_bytes=100, most_common=most).collect()) == wanted
+
+
 def test_units_of_a_chunk():
     texts = [(t or "").encode() for t in TEXTS] * 2 + [b"y" * (1 << 20) + b" z\n\n  end"]
     units = ChunkUnits(texts)
