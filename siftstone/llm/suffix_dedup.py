@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftstone.llm.anchors import K, WIDTH, find_anchors, hash_rows
+from siftstone.llm.anchors import _mix as mix
 from siftstone.llm.bwt import repeated_windows
 from siftstone.llm.columns import MIB, bucket_count, chunk_documents, id_column, pack, text_volume, unpack
 
@@ -54,7 +55,7 @@ class ChunkAnchors:
     def __init__(self, row: dict):
         self.ids, self.lens, self.raw = unpack(row["ids"], np.int64), unpack(row["lens"], np.int64), unpack(row["texts"])
         self.doc, self.at, self.lo, self.hi, key, whole = find_anchors(self.raw, self.lens)
-        key, whole = key >> np.uint64(16), whole >> np.uint64(16)
+        key, whole = mix(key) >> np.uint64(16), whole >> np.uint64(16)  # anchors have the least hashes: mixed anew, they are spread evenly
         order = np.lexsort((whole, key))
         key, whole = key[order], whole[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])] if len(key) else np.empty(0, bool)
@@ -174,7 +175,7 @@ def _edges(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
         smallest, what = _decisions(c, decided)
         owner, least = c.ids[c.doc], smallest[c.cls]
         todo = np.where(owner == least, what[c.cls], 0)
-        rows.append((row["chunk_id"] % buckets, row["chunk_id"], _DECIDED, [pack(np.packbits(owner > least))]))
+        rows.append((row["chunk_id"] * 2654435761 % 4294967291 % buckets, row["chunk_id"], _DECIDED, [pack(np.packbits(owner > least))]))
         text, picked = np.frombuffer(c.raw, np.uint8), np.flatnonzero(todo)
         edges, begin = _edge_table(c, text, picked, todo[picked])
         order = np.argsort(edges["key"], kind="stable")
