@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MIB = 1 << 20
 #: A null doc_id sorts after every other one.
 NO_ID = np.iinfo(np.int64).max
+#: Rows of an Arrow batch that are turned into Python texts at a time.
+_ROWS = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,7 +88,7 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             seq, ids, lens, texts, rest, size = seq + 1, [], [], [], [], 0
             return row
 
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             all_ids, all_texts = id_array(batch.column(0)), text_bytes(batch.column(1))
             sizes = np.fromiter(map(len, all_texts), np.int64, len(all_texts))
             start = 0

@@ -13,7 +13,7 @@ each piece is made of two pieces of higher scores (a test goes through all of th
 have one and the same lowest score and no such order: they are left out of the lattice, and units with two
 spaces or more in front, which are few, are folded where they stand.
 
-Documents are read in chunks, and the different units of all chunks are counted first. The ids of the
+Documents are read in chunks, and units that come again and again are counted first. The ids of the
 commonest ones, a bounded table, go to every task; a chunk keeps numbers instead of its units, and asks only
 for the ids of its other units, each once. A chunk's ids are gathered from both.
 """
@@ -44,9 +44,11 @@ UNIT_BYTES = 60
 CHUNK_BYTES = 4 * MIB
 #: Units, of up to UNIT_BYTES bytes, that the table of the commonest ones holds at most, whatever the corpus.
 COMMON = 1 << 18
+#: A unit is common only if one partition has it so many times.
+AGAIN = 4
 _LEVELS, _COMMON_BLOCKS = 8, 16
 _PIECE = 1 << 19
-_ROWS, _ANSWER_ROWS, _GATHER, _COUNTED = 1 << 15, 1 << 17, 1 << 18, 1 << 19
+_ROWS, _ANSWER_ROWS, _GATHER, _COUNTED = 1 << 15, 1 << 17, 1 << 18, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -212,9 +214,8 @@ def _fold_merges(edges: DataFrame, start: Column, size: Column) -> DataFrame:
     return grouped.select("unit", "edges", F.expr(fold).alias("cuts")).select("unit", F.expr(path).alias("path"))
 
 
-_ASKED = pa.schema([("chunk_id", pa.int64()), ("unit", pa.string()), ("number", pa.int32())])
+_ASKED = pa.schema([("ref", pa.int64()), ("unit", pa.string())])
 _COUNTS = pa.schema([("unit", pa.string()), ("n", pa.int64())])
-_KNOWN = pa.schema([("unit", pa.string()), ("n", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _ANSWER = pa.schema([("chunk_id", pa.int64()), ("numbers", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])
 _STREAM = pa.schema([("chunk_id", pa.int64()), ("doc_ids", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary()), ("n_units", pa.int32()), ("own_units", pa.list_(pa.binary()))])
 
@@ -282,10 +283,11 @@ def _local(unit: bytes) -> bool:
 
 
 def _count(docs: DataFrame, *columns) -> DataFrame:
-    """unit and n for all units but those to be folded where they stand, counted within partitions."""
+    """unit and n of the units that a partition has AGAIN times or more, but for those to be folded where they stand."""
 
     def emit(counts: dict[bytes, int]):
-        units, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+        units = [u for u, n in counts.items() if n >= AGAIN]
+        n = np.fromiter(map(counts.__getitem__, units), np.int64, len(units))
         for at in range(0, len(units), _ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(units[at : at + _ROWS], pa.binary()).cast(pa.string()), pa.array(n[at : at + _ROWS])], schema=_COUNTS)
 
@@ -305,104 +307,119 @@ def _count(docs: DataFrame, *columns) -> DataFrame:
     return chunk_documents(docs, *columns, then=run, schema="unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def _known_units(counted: DataFrame, table: PieceTable) -> DataFrame:
-    """unit, n and ids of each counted unit."""
+def _resolver(table: PieceTable):
+    """Makes a function that gives the ids of units (list of int32), from the units and their paths; a null path has no edges."""
     single, byte_ids = table.single(), table.byte_ids
 
-    def char_table() -> np.ndarray:
-        ids = np.full(0x110000, -1, np.int32)
+    def make():
+        char_ids = np.full(0x110000, -1, np.int32)
         for char, (number,) in single.items():
-            ids[ord(char)] = number
-        return ids
-
-    def resolve(batch, char_ids):
-        unit, n, path = batch.columns
-        codes = np.frombuffer("".join(unit.to_pylist()).encode("utf-32-le"), np.uint32)
-        chars = pc.utf8_length(unit).to_numpy().astype(np.int64)
-        first = np.cumsum(chars) - chars
-        none = path.is_null().to_numpy(zero_copy_only=False)  # no edges: all characters are single
-        lens = np.where(none, chars, pc.fill_null(pc.list_value_length(path), 0).to_numpy(zero_copy_only=False))
-        ends = np.cumsum(lens)
-        owner = np.repeat(np.arange(len(lens)), lens)
-        ids = -1 - (np.arange(len(owner), dtype=np.int64) - (ends - lens)[owner])  # as if all were single
-        ids[~none[owner]] = path.drop_null().flatten().to_numpy()
-        alone = np.flatnonzero(ids < 0)
-        code = codes[first[owner[alone]] - 1 - ids[alone]]
-        ids[alone] = char_ids[code]
-        odd = alone[char_ids[code] < 0]
-        if len(odd):  # characters that no piece has: each is as many ids as it has bytes
-            raw = [chr(c).encode() for c in code[char_ids[code] < 0].tolist()]
-            times = np.ones(len(ids), np.int64)
-            times[odd] = [len(x) for x in raw]
-            lens = np.bincount(owner, times, len(lens)).astype(np.int64)
-            ids = np.repeat(ids, times)
-            ids[ids < 0] = np.array(byte_ids)[np.frombuffer(b"".join(raw), np.uint8)]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(ids, pa.int32()))
-        return pa.RecordBatch.from_arrays([unit, n, lists], schema=_KNOWN)
-
-    def run(batches):
-        char_ids = char_table()
-        for batch in batches:
-            if batch.num_rows:
-                yield resolve(batch, char_ids)
-
-    paths = encode_units(counted.select("unit"), table)
-    return counted.join(paths, "unit", "left").select("unit", "n", "path").mapInArrow(run, "unit string, n long, ids array<int>")
+            char_ids[ord(char)] = number
+
+        def resolve(unit: pa.Array, path: pa.Array) -> pa.ListArray:
+            codes = np.frombuffer("".join(unit.to_pylist()).encode("utf-32-le"), np.uint32)
+            chars = pc.utf8_length(unit).to_numpy().astype(np.int64)
+            first = np.cumsum(chars) - chars
+            none = path.is_null().to_numpy(zero_copy_only=False)  # all characters are single
+            lens = np.where(none, chars, pc.fill_null(pc.list_value_length(path), 0).to_numpy(zero_copy_only=False))
+            ends = np.cumsum(lens)
+            owner = np.repeat(np.arange(len(lens)), lens)
+            ids = -1 - (np.arange(len(owner), dtype=np.int64) - (ends - lens)[owner])  # as if all were single
+            ids[~none[owner]] = path.drop_null().flatten().to_numpy()
+            alone = np.flatnonzero(ids < 0)
+            code = codes[first[owner[alone]] - 1 - ids[alone]]
+            ids[alone] = char_ids[code]
+            odd = alone[char_ids[code] < 0]
+            if len(odd):  # characters that no piece has: each is as many ids as it has bytes
+                raw = [chr(c).encode() for c in code[char_ids[code] < 0].tolist()]
+                times = np.ones(len(ids), np.int64)
+                times[odd] = [len(x) for x in raw]
+                lens = np.bincount(owner, times, len(lens)).astype(np.int64)
+                ids = np.repeat(ids, times)
+                ids[ids < 0] = np.array(byte_ids)[np.frombuffer(b"".join(raw), np.uint8)]
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(ids, pa.int32()))
+
+        return resolve
+
+    return make
 
 
 @dataclass(frozen=True)
 class CommonUnits:
-    """The commonest units and their ids, packed; units that occur least times or more are among them."""
+    """The commonest units, the most frequent one first, and their ids, packed."""
 
     units: bytes
+    sizes: bytes
     lens: bytes
     ids: bytes
     n: int
-    least: int
 
     @staticmethod
-    def of(known: DataFrame, most: int = COMMON) -> CommonUnits:
-        """At most so many units: those with so many occurrences that they are not too many."""
+    def of(counted: DataFrame, table: PieceTable, most: int = COMMON) -> CommonUnits:
+        """At most so many units of unit and n: those with so many occurrences that they are not too many."""
+        counted = shared_checkpoint(counted)
         level = F.floor(_LEVELS * F.log2("n")).cast("int")
-        least, total = np.inf, 0
-        for row in known.groupBy(level.alias("level")).agg(F.count("*").alias("units"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():  # some rows for each power of two
+        least, total = 0, 0
+        for row in counted.groupBy(level.alias("level")).agg(F.count("*").alias("units"), F.min("n").alias("least")).orderBy(F.desc("level")).collect():  # some rows for each power of two
             if total + row.units > most:
                 break
             least, total = row.least, total + row.units
         if not total:
-            return CommonUnits(pack(b""), pack(b""), pack(b""), 0, 1 << 62)
-        schema = pa.schema([("block", pa.int32()), ("units", pa.binary()), ("n", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary())])
+            return CommonUnits(pack(b""), pack(b""), pack(b""), pack(b""), 0)
+        names = ("units", "sizes", "n", "lens", "ids")
+        schema, make = pa.schema([("block", pa.int32()), *((n, pa.binary()) for n in names)]), _resolver(table)
 
         def blocks(table: pa.Table) -> pa.Table:
-            lists = table["ids"].combine_chunks()
-            data = [pack("\n".join(table["unit"].to_pylist()).encode()), pack(table["n"].to_numpy()), pack(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)), pack(lists.flatten().to_numpy().astype(np.int32))]
+            lists = make()(table["unit"].combine_chunks(), table["path"].combine_chunks())
+            units = table["unit"].cast(pa.binary()).to_pylist()
+            data = [pack(b"".join(units)), pack(np.array([len(u) for u in units], np.int32)), pack(table["n"].to_numpy()), pack(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)), pack(lists.flatten().to_numpy().astype(np.int32))]
             return pa.Table.from_arrays([table["block"][:1].combine_chunks(), *[pa.array([x], pa.binary()) for x in data]], schema=schema)
 
-        common = known.filter(F.col("n") >= int(least)).withColumn("block", F.pmod(F.xxhash64("unit"), F.lit(_COMMON_BLOCKS)).cast("int"))
-        rows = sorted(common.groupBy("block").applyInArrow(blocks, "block int, units binary, n binary, lens binary, ids binary").collect())
-        units = [u for r in rows for u in unpack(r.units).split(b"\n")]
-        n, lens, ids = (np.concatenate([unpack(r[c], kind) for r in rows]) for c, kind in (("n", np.int64), ("lens", np.int32), ("ids", np.int32)))
+        common = counted.filter(F.col("n") >= least)
+        paths = common.join(encode_units(common.select("unit"), table), "unit", "left").withColumn("block", F.pmod(F.xxhash64("unit"), F.lit(_COMMON_BLOCKS)).cast("int"))
+        rows = sorted(paths.groupBy("block").applyInArrow(blocks, "block int, " + ", ".join(f"{n} binary" for n in names)).collect())
+        text, sizes, n, lens, ids = (np.concatenate([unpack(r[c], kind) for r in rows]) for c, kind in zip(names, (np.uint8, np.int32, np.int64, np.int32, np.int32)))
         order = np.argsort(-n, kind="stable")
-        starts = (np.cumsum(lens, dtype=np.int64) - lens)[order]
-        return CommonUnits(pack(b"\n".join([units[i] for i in order.tolist()])), pack(lens[order]), pack(_gather(ids, starts, lens[order])), len(units), int(least))
+        ordered = lambda values, lens: pack(_gather(values, (np.cumsum(lens, dtype=np.int64) - lens)[order], lens[order]))
+        return CommonUnits(ordered(text, sizes), pack(sizes[order]), pack(lens[order]), ordered(ids, lens), len(n))
 
     def numbers(self) -> dict[bytes, int]:
-        return {u: i for i, u in enumerate(unpack(self.units).split(b"\n"))} if self.n else {}
+        raw, sizes = unpack(self.units), unpack(self.sizes, np.int32)
+        ends = np.cumsum(sizes)
+        return {raw[a:b]: i for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist()))}
+
+
+def _pack_planes(x: np.ndarray) -> bytes:
+    """Numbers of 32 bits with their bytes sorted by place, which packs better."""
+    return pack(x.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _unpack_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(unpack(data, np.uint8).reshape(4, -1).T).reshape(-1).view("<i4")
+
+
+def _reference(chunk_id: int) -> int:
+    """A chunk in the upper 33 bits of one number: its partition, and its place there in 13 bits; the lower 30 are for a unit."""
+    part, seq = chunk_id >> 24, chunk_id & (1 << 24) - 1
+    if part >> 20 or seq >> 13:
+        raise ValueError("a partition of over 8192 chunks, or over a million partitions: make partitions smaller or chunk_bytes larger")
+    return (part << 13 | seq) << 30
 
 
 def _ask(docs: DataFrame, common: CommonUnits, *columns) -> DataFrame:
-    """chunk_id, unit and number of the units of each chunk that are neither common nor folded where they stand."""
+    """unit, for the units of each chunk that are neither common nor folded where they stand, and ref, the chunk and the unit's number in it."""
 
     def run(batches):
         numbers = common.numbers()
         for batch in batches:
             for row in batch.to_pylist():
-                asked = [(u, k) for k, u in enumerate(ChunkUnits(open_chunk(row)[1]).texts()) if u not in numbers and not _local(u)]
+                ref = _reference(row["chunk_id"])
+                asked = [(u, ref + k) for k, u in enumerate(ChunkUnits(open_chunk(row)[1]).texts()) if u not in numbers and not _local(u)]
                 for at in range(0, len(asked), _ROWS):
-                    units, own = zip(*asked[at : at + _ROWS])
-                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk_id"]] * len(units), pa.int64()), pa.array(units, pa.binary()).cast(pa.string()), pa.array(own, pa.int32())], schema=_ASKED)
+                    units, refs = zip(*asked[at : at + _ROWS])
+                    yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(units, pa.binary()).cast(pa.string())], schema=_ASKED)
 
-    return chunk_documents(docs, *columns, then=run, schema="chunk_id long, unit string, number int")
+    return chunk_documents(docs, *columns, then=run, schema="ref long, unit string")
 
 
 def _streams(docs: DataFrame, common: CommonUnits, *columns) -> DataFrame:
@@ -417,19 +434,21 @@ def _streams(docs: DataFrame, common: CommonUnits, *columns) -> DataFrame:
                 every = units.texts()
                 number = np.fromiter((numbers.get(u, common.n + k) for k, u in enumerate(every)), np.int32, len(every))
                 own = [x for k, u in enumerate(every) if _local(u) for x in (str(k).encode(), u)]
-                data = [row["chunk_id"], pack(ids), pack(units.counts), pack(number[units.number]), len(every), own]
+                data = [row["chunk_id"], pack(ids), pack(units.counts), _pack_planes(number[units.number]), len(every), own]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(data, _STREAM)], schema=_STREAM)
 
     return chunk_documents(docs, *columns, then=run, schema="chunk_id long, doc_ids binary, counts binary, stream binary, n_units int, own_units array<binary>")
 
 
-def _pack_answers(answers: DataFrame) -> DataFrame:
+def _pack_answers(answers: DataFrame, table: PieceTable) -> DataFrame:
     """Ids of each chunk's units, a row for each chunk and run of rows of a partition."""
+    make = _resolver(table)
 
-    def emit(batches):
-        table = pa.Table.from_batches(batches).sort_by("chunk_id")
-        chunk, number = table["chunk_id"].to_numpy(), table["number"].to_numpy()
-        lists = table["ids"].combine_chunks()
+    def emit(batches, resolve):
+        table = pa.Table.from_batches(batches).sort_by("ref")
+        ref = table["ref"].to_numpy()
+        chunk, number = ref >> 43 << 24 | ref >> 30 & (1 << 13) - 1, (ref & (1 << 30) - 1).astype(np.int32)
+        lists = resolve(table["unit"].combine_chunks(), table["path"].combine_chunks())
         lens, ids = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32), lists.flatten().to_numpy()
         ends = np.cumsum(lens, dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
@@ -438,18 +457,18 @@ def _pack_answers(answers: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ANSWER)], schema=_ANSWER)
 
     def run(batches):
-        held, size = [], 0
+        held, size, resolve = [], 0, make()
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
             if size >= _ANSWER_ROWS:
-                yield emit(held)
+                yield emit(held, resolve)
                 held, size = [], 0
         if held:
-            yield emit(held)
+            yield emit(held, resolve)
 
-    return answers.select("chunk_id", "number", "ids").mapInArrow(run, "chunk_id long, numbers binary, lens binary, ids binary")
+    return answers.select("ref", "unit", "path").mapInArrow(run, "chunk_id long, numbers binary, lens binary, ids binary")
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -466,10 +485,9 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     empty table gives an empty table. Documents are read three times, to count units, to ask and to answer.
     """
     columns = id_col, text_col, chunk_bytes
-    known = shared_checkpoint(_known_units(shared_checkpoint(_count(docs, *columns)), table))
-    common = CommonUnits.of(known, most_common)
-    rare = known.filter(F.col("n") < common.least).select("unit", "ids")
-    answers = _pack_answers(_ask(docs, common, *columns).join(rare, "unit"))
+    common = CommonUnits.of(_count(docs, *columns), table, most_common)
+    asked = _ask(docs, common, *columns)
+    answers = _pack_answers(asked.join(encode_units(asked.select("unit").distinct(), table), "unit", "left"), table)
     known, single, byte_ids = {p: (i, s) for p, i, s in table.lattice()}, table.single(), table.byte_ids
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -477,7 +495,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
         out, said, empty = [], right.to_pylist(), pa.RecordBatch.from_pylist([], schema=schema)
         common_lens, common_ids = unpack(common.lens, np.int32).astype(np.int64), unpack(common.ids, np.int32)
         for row in left.to_pylist():
-            doc_ids, counts, stream = unpack(row["doc_ids"], np.int64), unpack(row["counts"], np.int64), unpack(row["stream"], np.int32)
+            doc_ids, counts, stream = unpack(row["doc_ids"], np.int64), unpack(row["counts"], np.int64), _unpack_planes(row["stream"])
             lens, starts = np.zeros((2, common.n + row["n_units"]), np.int64)
             lens[: common.n], starts[: common.n] = common_lens, np.cumsum(common_lens) - common_lens
             parts, at = [common_ids], len(common_ids)
