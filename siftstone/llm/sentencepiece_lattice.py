@@ -173,7 +173,10 @@ def encode_units(units: DataFrame, table: PieceTable, unit_col: str = "unit") ->
     the corpus.
     """
     spark = units.sparkSession
-    pieces = F.broadcast(spark.createDataFrame(table.lattice(), "piece string, id int, score double"))
+    if table.fold == MERGES:
+        pieces = F.broadcast(spark.createDataFrame(_edge_codes(table), "piece string, code long"))
+    else:
+        pieces = F.broadcast(spark.createDataFrame(table.lattice(), "piece string, id int, score double"))
     n, start, size = F.length("unit"), F.col("start"), F.col("size")
     least = 1 if table.fold == BEST_PATH else 2
     spans = units.select(F.col(unit_col).alias("unit"), F.explode(F.when(n >= least, F.sequence(F.lit(1), n - least + 1))).alias("start")).select(
@@ -199,19 +202,29 @@ def _fold_best(edges: DataFrame, start: Column, size: Column, score: Column, pie
     return grouped.select("unit", F.expr(fold).alias("best")).select("unit", F.expr(walk).alias("path"))
 
 
+def _edge_codes(table: PieceTable) -> list[tuple[str, int]]:
+    """An edge of MERGES is one number: how many different scores are higher than its piece's, from bit 32 on, six bits each for its start and size, and 20 for the id."""
+    every = table.lattice()
+    rank = {score: n for n, score in enumerate(sorted({s for _, _, s in every}, reverse=True))}
+    if max((i for _, i, _ in every), default=0) >> 20:
+        raise ValueError("ids of a piece table have 20 bits at most")
+    return [(p, rank[s] << 32 | i) for p, i, s in every]
+
+
 def _fold_merges(edges: DataFrame, start: Column, size: Column) -> DataFrame:
     """Cuts are bits of one long: bit k is the cut before character k. An edge needs the cuts at its ends (outer) and one of those within (inner)."""
-    one = F.lit(1).cast("long")
-    bit = lambda k: F.call_function("shiftleft", one, k.cast("int"))
-    outer, inner = bit(start - 1).bitwiseOR(bit(start - 1 + size)), bit(start - 1 + size) - bit(start)
-    edge = F.struct((-F.col("score")).alias("cost"), start.cast("int").alias("start"), outer.alias("outer"), inner.alias("inner"), "id")
-    grouped = edges.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    edge = F.col("code") + (start.cast("long") - 1) * (1 << 26) + size.cast("long") * (1 << 20)
+    grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    at, wide = "cast(shiftright(e, 26) & 63 AS int)", "cast(shiftright(e, 20) & 63 AS int)"
+    marked = f"transform(edges, e -> named_struct('edge', e, 'outer', shiftleft(shiftleft(1L, {wide}) + 1, {at}), 'inner', shiftleft(shiftleft(1L, {wide}) - 2, {at})))"
     fold = """aggregate(edges, shiftleft(1L, length(unit) + 1) - 1,
         (cuts, e) -> if(cuts & e.outer = e.outer AND bit_count(cuts & e.inner) = 1, cuts & ~e.inner, cuts))"""
-    path = """transform(array_sort(concat(
-        transform(filter(edges, e -> cuts & e.outer = e.outer AND cuts & e.inner = 0), e -> named_struct('start', e.start - 1, 'id', e.id)),
-        transform(filter(sequence(0, length(unit) - 1), k -> shiftright(cuts, k) & 3 = 3), k -> named_struct('start', k, 'id', -1 - k)))), e -> e.id)"""
-    return grouped.select("unit", "edges", F.expr(fold).alias("cuts")).select("unit", F.expr(path).alias("path"))
+    path = """transform(sort_array(concat(
+        transform(filter(edges, e -> cuts & e.outer = e.outer AND cuts & e.inner = 0), e -> (shiftright(e.edge, 26) & 63) * 4294967296 + (e.edge & 1048575)),
+        transform(filter(sequence(0, length(unit) - 1), k -> shiftright(cuts, k) & 3 = 3), k -> k * 4294967297 + 2147483648))),
+        x -> cast(if(x & 2147483648 = 0, x & 2147483647, -1 - shiftright(x, 32)) AS int))"""
+    marks = grouped.select("unit", F.expr(marked).alias("edges"))
+    return marks.select("unit", "edges", F.expr(fold).alias("cuts")).select("unit", F.expr(path).alias("path"))
 
 
 _ASKED = pa.schema([("ref", pa.int64()), ("unit", pa.string())])
