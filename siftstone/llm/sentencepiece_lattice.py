@@ -466,7 +466,7 @@ def _pack_answers(answers: DataFrame, table: PieceTable) -> DataFrame:
         ends = np.cumsum(lens, dtype=np.int64)
         starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
         stops = np.r_[starts[1:], len(chunk)]
-        rows = [(chunk[a], pack(number[a:b]), pack(lens[a:b]), pack(ids[ends[a] - lens[a] : ends[b - 1]])) for a, b in zip(starts.tolist(), stops.tolist())]
+        rows = [(chunk[a], _pack_planes(np.diff(number[a:b], prepend=0)), pack(lens[a:b]), _pack_planes(ids[ends[a] - lens[a] : ends[b - 1]])) for a, b in zip(starts.tolist(), stops.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _ANSWER)], schema=_ANSWER)
 
     def run(batches):
@@ -499,8 +499,10 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     """
     columns = id_col, text_col, chunk_bytes
     common = CommonUnits.of(_count(docs, *columns), table, most_common)
-    asked = _ask(docs, common, *columns)
-    answers = _pack_answers(asked.join(encode_units(asked.select("unit").distinct(), table), "unit", "left"), table)
+    asked = _ask(docs, common, *columns).repartition("unit")
+    # units and what asks for them are dealt once: as ref is looked at here too (it is never negative), the exchange is the same
+    units = asked.groupBy("unit").agg(F.min("ref").alias("ref")).filter("ref >= 0").select("unit")
+    answers = _pack_answers(asked.join(encode_units(units, table), "unit", "left"), table)
     known, single, byte_ids = {p: (i, s) for p, i, s in table.lattice()}, table.single(), table.byte_ids
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -513,7 +515,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
             lens[: common.n], starts[: common.n] = common_lens, np.cumsum(common_lens) - common_lens
             parts, at = [common_ids], len(common_ids)
             for answer in said:
-                number, n, ids = common.n + unpack(answer["numbers"], np.int32), unpack(answer["lens"], np.int32), unpack(answer["ids"], np.int32)
+                number, n, ids = common.n + np.cumsum(_unpack_planes(answer["numbers"])), unpack(answer["lens"], np.int32), _unpack_planes(answer["ids"])
                 lens[number], starts[number] = n, at + np.cumsum(n, dtype=np.int64) - n
                 parts.append(ids)
                 at += len(ids)
