@@ -117,15 +117,21 @@ class Gru:
         """One pass over words (texts one after the other, each with its end); starts marks the first word of each text.
 
         The words are cut into streams that advance side by side. Errors go back through one window; the
-        state goes on to the next one, and starts anew with each text. Returns the mean loss of a word.
+        state goes on to the next one, and starts anew with each text. Words that fill no row of all
+        streams are learned from in fewer streams. Returns the mean loss of a word.
         """
-        streams = max(1, min(streams, len(words) // (4 * window)))
+        before, done, loss = np.where(starts, self.end, np.roll(words, 1)), 0, 0.0
+        while done < len(words):
+            beside = max(1, min(streams, (len(words) - done) // (4 * window)))
+            end = done + (len(words) - done) // beside * beside
+            loss += self._pass(before[done:end], words[done:end], starts[done:end], rate if not done else last_rate, last_rate, beside, window)
+            done = end
+        return loss / max(1, len(words))
+
+    def _pass(self, before, words, starts, rate: float, last_rate: float, streams: int, window: int) -> float:
+        """train() on words that fill their streams; returns the sum of losses."""
         steps = len(words) // streams
-        if not steps:
-            return 0.0
-        grid, fresh = words[: streams * steps].reshape(streams, steps), starts[: streams * steps].reshape(streams, steps)
-        before = np.roll(words, 1)[: streams * steps].reshape(streams, steps)
-        before = np.where(fresh, self.end, before)
+        grid, fresh, before = (x.reshape(streams, steps) for x in (words, starts, before))
         state, loss, n_windows = np.zeros((streams, self.hidden), np.float32), 0.0, -(-steps // window)
         if self.moments is None:
             self.moments = {n: [np.zeros_like(getattr(self, n)) for _ in range(2)] for n in self.NAMES}
@@ -134,7 +140,7 @@ class Gru:
             cut = slice(k * window, min(steps, (k + 1) * window))
             state, window_loss = self._learn(before[:, cut].T, grid[:, cut].T, fresh[:, cut].T, state, rate + (last_rate - rate) * k / n_windows)
             loss += window_loss
-        return loss / (streams * steps)
+        return loss
 
     def _learn(self, before, after, fresh, state, rate) -> tuple[np.ndarray, float]:
         h, tape = self.hidden, []

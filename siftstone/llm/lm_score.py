@@ -31,6 +31,8 @@ STREAMS, RATES = 512, (3e-3, 2e-4)
 #: The token at the end of each text; no word has a newline.
 END = b"\n"
 _HELD = 1 << 20
+#: Weights are averaged so many rows at a time, in so many levels: for up to a million partitions.
+_FAN, _LEVELS = 32, 4
 _COUNTS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 
 
@@ -268,22 +270,23 @@ def _learn(texts: DataFrame, network, words: list[bytes], start: bytes | None, p
                 model.train(flat, begins, a, b, streams)
             seen += len(flat)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 256], pa.int32()), pa.array([float(seen)]), pa.array([pack(model.weights().astype(np.float64) * seen)], pa.binary())], names=["part", "n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(seen)]), pa.array([pack(model.weights().astype(np.float64) * seen)], pa.binary())], names=["part", "n", "weights"])
 
     return texts.mapInArrow(run, "part int, n double, weights binary")
 
 
 def _average(learned: DataFrame) -> bytes | None:
-    """Mean of the rows' weights, added up in two steps of bounded groups."""
+    """Mean of the rows' weights, added up as a tree: _FAN neighbours at a time, so that no task holds more than a few rows."""
 
     def add(table: pa.Table) -> pa.Table:
         total, n = 0.0, 0.0
-        for i in range(table.num_rows):
-            total, n = total + unpack(table["weights"][i].as_py(), np.float64), n + table["n"][i].as_py()
-        return pa.Table.from_pydict({"part": pa.array([0], pa.int32()), "n": [n], "weights": pa.array([pack(total)], pa.binary())})
+        for row in sorted(table.to_pylist(), key=lambda r: r["part"]):
+            total, n = total + unpack(row["weights"], np.float64), n + row["n"]
+        return pa.Table.from_pydict({"part": pa.array([row["part"] // _FAN], pa.int32()), "n": [n], "weights": pa.array([pack(total)], pa.binary())})
 
-    schema = "part int, n double, weights binary"
-    row = learned.groupBy("part").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).first()
+    for _ in range(_LEVELS):
+        learned = learned.groupBy(F.floor(F.col("part") / _FAN)).applyInArrow(add, "part int, n double, weights binary")
+    row = learned.first()
     return pack((unpack(row.weights, np.float64) / row.n).astype(np.float32)) if row else None
 
 
