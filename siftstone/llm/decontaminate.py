@@ -11,7 +11,8 @@ masks of all their tokens for the substitutions that hit every seed (test_decont
 from __future__ import annotations
 
 import math
-from functools import cache
+from collections.abc import Iterator
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.columns import NO_ID, pack, text_bytes, unpack
+from siftstone.llm.columns import NO_ID, pack, shared_checkpoint, text_bytes, unpack
 
 #: The masks: 1 picks a token, 0 ignores it.
 MASKS = ("1111001", "1101011")
@@ -151,13 +152,24 @@ class LeakFinder:
         return (len(found), best[1], best[2], best[3], -best[0]) if best else (0, None, None, None, None)
 
 
-def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, share: float = SHARE, block_tokens: int = BLOCK_TOKENS) -> list:
-    """A maker of a LeakFinder for each block of items. A block has about block_tokens tokens, however large the table: its size is summed up before, and only one block at a time is fetched."""
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, share: float = SHARE, block_tokens: int = BLOCK_TOKENS) -> tuple[int, Iterator]:
+    """The number of blocks of items, and one after the other a maker of a LeakFinder for each.
+
+    A block has about block_tokens tokens, however large the table: its size is summed up before, and
+    one block at a time is fetched. Items with equal tokens are in one block.
+    """
     size = F.coalesce(F.octet_length(F.col(item_text_col)) / 2 + 1, F.lit(1))
     n_blocks = max(1, math.ceil((benchmark.agg(F.sum(size)).first()[0] or 0) / block_tokens))
 
+    def deal(batches):
+        for batch in batches:
+            keys = [_token_hash(b" ".join(tokens(x))) % n_blocks for x in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["item", "text", "block"])
+
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).mapInArrow(deal, "item long, text string, block long")
+
     def fetch(number: int):
-        rows = benchmark.filter(F.pmod(F.xxhash64(item_col), F.lit(n_blocks)) == number).select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).collect()
+        rows = items.filter(F.col("block") == number).select("item", "text").collect()
         texts = [(t or "").encode() for _, t in rows]
         packed = pack(b"".join(texts)), pack(np.array([len(t) for t in texts], np.int64)), pack(np.array([NO_ID if i is None else i for i, _ in rows], np.int64))
 
@@ -168,12 +180,13 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col:
 
         return make
 
-    return [fetch(number) for number in range(n_blocks)]
+    return n_blocks, map(fetch, range(n_blocks))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: float = SHARE) -> DataFrame:
-    """The rows of docs in whose text no item is found, with all their columns. Rows are judged in place, block after block: nothing is joined or shuffled."""
-    for finder in item_blocks(benchmark, span=span, share=share):
+    """The rows of docs in whose text no item is found, with all their columns. Rows are judged in place: nothing is joined or shuffled. Of several blocks of items, each one's result is checkpointed before the next is fetched."""
+    n_blocks, finders = item_blocks(benchmark, span=span, share=share)
+    for finder in finders:
 
         def run(batches, finder=finder):
             find = finder()
@@ -182,6 +195,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: f
                 yield batch.filter(pa.array([find(x)[0] == 0 for x in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        docs = shared_checkpoint(docs) if n_blocks > 1 else docs
     return docs
 
 
@@ -190,14 +204,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     The best item has the most equal tokens, then the smallest id. start and length count tokens of the
     document. Null and empty texts and items have no tokens and match nothing. Items come in blocks of
-    a bounded size; with several blocks documents are read once for each and results are put together
-    by row. An empty table on either side finds nothing.
+    a bounded size, of which the driver holds one at a time; with several, documents are read once for
+    each and results are put together by row: n_items and the best item do not depend on the blocks. An empty table on either side finds nothing.
     """
-    finders = item_blocks(benchmark, item_col, item_text_col, span, share, block_tokens)
-    n_blocks = len(finders)
+    n_blocks, finders = item_blocks(benchmark, item_col, item_text_col, span, share, block_tokens)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if n_blocks > 1:
-        plain = plain.withColumn("row", F.monotonically_increasing_id())
+        plain = shared_checkpoint(plain.withColumn("row", F.monotonically_increasing_id()))  # a row keeps its number in every scan
     else:
         plain = plain.withColumn("row", F.lit(0).cast("long"))
     schema = "doc_id long, row long, n_items int, item_id long, start int, length int, matched int"
@@ -212,11 +225,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         return run
 
-    results = [plain.mapInArrow(scan(finder), schema) for finder in finders]
-    found = results[0]
-    if n_blocks > 1:
-        for more in results[1:]:
-            found = found.union(more)
-        best = F.max(F.struct(F.coalesce("matched", F.lit(0)).alias("m"), (-F.col("item_id")).alias("i"), (-F.col("start")).alias("s"), "item_id", "start", "length", "matched")).alias("best")
-        found = found.groupBy("doc_id", "row").agg(F.sum("n_items").cast("int").alias("n_items"), best).select("doc_id", "n_items", "best.item_id", "best.start", "best.length", "best.matched")
+    if n_blocks == 1:
+        found = plain.mapInArrow(scan(next(finders)), schema)
+    else:
+        hits = [shared_checkpoint(plain.mapInArrow(scan(finder), schema).filter("n_items > 0")) for finder in finders]
+        best = F.max(F.struct("matched", -F.col("item_id"), -F.col("start"), "item_id", "start", "length")).alias("best")
+        united = reduce(DataFrame.union, hits).groupBy("row").agg(F.sum("n_items").cast("int").alias("n_items"), best)
+        united = united.select("row", "n_items", "best.item_id", "best.start", "best.length", "best.matched")
+        found = plain.select("doc_id", "row").join(united, "row", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
     return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "start", "length", "matched")

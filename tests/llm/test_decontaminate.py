@@ -74,3 +74,12 @@ def test_substitutions_and_short_items(spark):
     assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 4, 200]
     assert not any(r.contaminated for r in find_leaks(rows, bench.filter("false")).collect())
     assert find_leaks(rows.filter("false"), bench).collect() == []
+
+
+def test_blocks_of_items_change_nothing(spark):
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(words[20 * (i % 10) : 20 * (i % 10) + 15])) for i in range(30)]
+    docs = [(i, " ".join(words[7 * i : 7 * i + 60])) for i in range(40)] + [(1, "again"), (None, items[3][1]), (50, None)]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, find_leaks(docs, bench).collect()))
+    assert sorted(map(str, find_leaks(docs, bench, block_tokens=60).collect())) == whole and any("contaminated=True, n_items=2" in r for r in whole)
