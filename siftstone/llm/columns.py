@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that setCheckpointDir or spark.checkpoint.dir names. Only a session on one machine may leave it out: a folder of one machine would tear data apart on a cluster."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or "/tmp/siftstone-checkpoints"
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the folder that spark.checkpoint.dir names; sets a folder only where none is set."""
+    """Cuts the lineage with a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/siftstone-checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

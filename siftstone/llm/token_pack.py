@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.columns import NO_ID, id_array, id_column
+from siftstone.llm.columns import NO_ID, id_array, id_column, shared_folder
 
 BLOCK_IDS = 1 << 16
 END_ID = 0
@@ -199,6 +199,5 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarra
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/siftstone-checkpoints"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
