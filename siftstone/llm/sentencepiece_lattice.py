@@ -499,8 +499,8 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     """
     columns = id_col, text_col, chunk_bytes
     common = CommonUnits.of(_count(docs, *columns), table, most_common)
-    asked = _ask(docs, common, *columns).repartition("unit")
-    # units and what asks for them are dealt once: as ref is looked at here too (it is never negative), the exchange is the same
+    asked = _ask(docs, common, *columns).filter("unit is not null").repartition("unit")
+    # units and what asks for them are dealt once: filters that never fail make both sides of the join read one exchange
     units = asked.groupBy("unit").agg(F.min("ref").alias("ref")).filter("ref >= 0").select("unit")
     answers = _pack_answers(asked.join(encode_units(units, table), "unit", "left"), table)
     known, single, byte_ids = {p: (i, s) for p, i, s in table.lattice()}, table.single(), table.byte_ids
