@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftstone.functions import cleaning, reporting, scoring, similarity
 from siftstone.operators import clean, docking, frames, linear, ranking, stats, tokens
 from siftstone.operators import similarity as search
+from siftstone.plans.lineage import shared_folder
 from siftstone.plans.oracle import LINE, PART
 from siftstone.sources import tables
 
@@ -47,8 +48,7 @@ def _parts(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/siftstone-checkpoints"
-    return f"{base}/{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 @query
