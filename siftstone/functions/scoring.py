@@ -149,6 +149,25 @@ def difficulty_by_share(atoms: Column, rings: Column, hetero: Column, stereo: Co
     return F.coalesce(clamp(total, 1.0, 6.0), F.lit(10.0))
 
 
+#: The score of a fragment that the table of fragments lacks (fixed value).
+RARE_FRAGMENT = -4.0
+
+
+def published_difficulty(fragments: Column, atoms: Column, kinds: Column, stereo: Column, spiro: Column, bridges: Column, macrocycles: Column) -> Column:
+    """Difficulty of a synthesis from 1 to 10 by the published formula.
+
+    fragments: the mean score of a molecule's fragments; kinds: how many different ones it has; the
+    others are counts. Penalties for size and rare structures are taken off, symmetry (more atoms than
+    kinds) is added, and the sum is put on the scale, its upper end smoothed. Null if a value is null
+    or there is no atom or no fragment.
+    """
+    penalties = (F.pow(atoms.cast("double"), F.lit(1.005)) - atoms) + F.log10(stereo + F.lit(1.0)) + F.log10(spiro + F.lit(1.0)) + F.log10(bridges + F.lit(1.0)) + F.when(macrocycles > 0, F.log10(F.lit(2.0))).when(macrocycles <= 0, 0.0)
+    symmetry = F.when(atoms > kinds, F.ln(atoms / kinds) * 0.5).when(atoms <= kinds, 0.0)
+    scaled = F.lit(11.0) - (fragments - penalties + symmetry + 5.0) / 6.5 * 9.0
+    smooth = F.when(scaled > 8, F.lit(8.0) + F.ln(scaled - 8.0)).otherwise(scaled)
+    return F.when((atoms > 0) & (kinds > 0) & scaled.isNotNull(), clamp(smooth, 1.0, 10.0))
+
+
 #: The score of rows that cannot be scored.
 INVALID = -1000.0
 

@@ -143,6 +143,15 @@ def rename_clashes(df: DataFrame, taken: set[str], prefix: str, key: str) -> Dat
     return df.withColumnsRenamed({c: prefix + c for c in df.columns if c in taken and c != key})
 
 
+def first_of(df: DataFrame, name: str, *alternatives: str) -> DataFrame:
+    """df with name, filled from the columns of other names that it has, the first that is not null; these are dropped."""
+    there = [c for c in (name, *alternatives) if c in df.columns]
+    if not there:
+        raise ValueError(f"the table has none of {', '.join((name, *alternatives))}")
+    value = F.coalesce(*there) if len(there) > 1 else F.col(there[0])
+    return df.withColumn("__value", value).drop(*there).withColumnRenamed("__value", name)
+
+
 def drop_present(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*(c for c in names if c in df.columns))
 

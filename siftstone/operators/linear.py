@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.operators.stats import regression_metrics
+
 
 @dataclass(frozen=True)
 class LinearModel:
@@ -39,6 +43,51 @@ class LinearModel:
         return LinearModel(tuple(row.features), tuple(row.weights), row.bias)
 
 
+@dataclass(frozen=True)
+class BoostedModel:
+    """Boosted trees with the names of their features."""
+
+    features: tuple[str, ...]
+    trees: GBTRegressionModel
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.trees.write().overwrite().save(f"{path}/trees")
+        spark.createDataFrame([(list(self.features),)], "features array<string>").write.mode("overwrite").parquet(f"{path}/features")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> BoostedModel:
+        return BoostedModel(tuple(spark.read.parquet(f"{path}/features").first().features), GBTRegressionModel.load(f"{path}/trees"))
+
+
+def load_model(spark: SparkSession, boosted: str, linear: str) -> BoostedModel | LinearModel:
+    """The boosted model if its folder is there, else the linear one."""
+    try:
+        return BoostedModel.load(spark, boosted)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return LinearModel.load(spark, linear)
+
+
+def predict(df: DataFrame, model: BoostedModel | LinearModel, name: str = "predicted") -> DataFrame:
+    """df with a prediction for each row, NaN for a row in which a feature is null or NaN. No row is left out."""
+    bad = F.lit(False)
+    for c in model.features:
+        bad = bad | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    if isinstance(model, LinearModel):
+        return df.withColumn(name, F.when(bad, float("nan")).otherwise(model.column()))
+    filled = df.withColumn("__x", array_to_vector(F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in model.features))))
+    out = model.trees.setFeaturesCol("__x").setPredictionCol("__y").transform(filled)
+    return out.withColumn(name, F.when(bad, float("nan")).otherwise(F.col("__y"))).drop("__x", "__y")
+
+
+def fit_and_judge(train: DataFrame, test: DataFrame, features: Sequence[str], label: str) -> tuple[LinearModel, DataFrame]:
+    """A linear model of train, and its n, rmse and r2 on train and on test (column part)."""
+    model = fit_linear(train, features, label)
+    judged = [regression_metrics(part, F.col(label), model.column()).withColumn("part", F.lit(name)) for name, part in (("train", train), ("test", test))]
+    return model, judged[0].unionByName(judged[1])
+
+
 def _assembled(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     ready = df.filter(F.col(label).isNotNull())
     return VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="skip").transform(ready)

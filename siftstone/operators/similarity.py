@@ -19,7 +19,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 
     Prefix filtering, without loss: with bits in one order for both sides, two sets this similar share
     one of their first n - ceil(least * n) + 1 bits. Bits are ordered by how many of the right rows have
-    them, so rows meet on rare bits. Different fingerprints meet once; ids of equal ones are joined
+    them, so rows meet on rare bits. Where two meet on their first common bit, all others that they share
+    stand behind it in both: a pair with too few bits left there is passed over. Different fingerprints meet once; ids of equal ones are joined
     after that. Rows without bits are similar to nothing.
     """
     if not 0 < least <= 1:
@@ -34,17 +35,19 @@ def similar_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     def prefixes(df: DataFrame) -> DataFrame:
         ranked = F.array_sort(F.transform(set_bits(F.col("fp")), lambda x: F.struct(F.coalesce(F.element_at("rare", x), F.lit(0)).alias("c"), x.alias("bit"))))
         size = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
-        return df.crossJoin(rare).select("fp", "n", F.explode(F.slice(ranked, F.lit(1), size)).alias("x")).select("fp", "n", F.col("x.bit").alias("bit"))
+        return df.crossJoin(rare).select("fp", "n", F.posexplode(F.slice(ranked, F.lit(1), size)).alias("at", "x")).select("fp", "n", (F.col("n") - F.col("at")).alias("left"), F.col("x.bit").alias("bit"))
 
-    x, y = prefixes(da).toDF("fa", "na", "bit"), prefixes(db).toDF("fb", "nb", "bit")
+    x, y = prefixes(da).toDF("fa", "na", "la", "bit"), prefixes(db).toDF("fb", "nb", "lb", "bit")
+    enough = F.least("la", "lb") >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9
     sizes = F.col("nb").between(F.ceil(F.col("na") * least - 1e-9), F.floor(F.col("na") / least + 1e-9))
-    found = x.join(y, "bit").filter(sizes).select("fa", "fb", tanimoto(F.col("fa"), F.col("fb")).alias("similarity")).filter(F.col("similarity") >= least - 1e-12).distinct()
+    found = x.join(y, "bit").filter(sizes & enough).select("fa", "fb", tanimoto(F.col("fa"), F.col("fb")).alias("similarity")).filter(F.col("similarity") >= least - 1e-12).distinct()
     return a.join(found, F.col("fp") == F.col("fa")).select("l", "fb", "similarity").join(b, F.col("fp") == F.col("fb")).select(F.col("l").alias(left_id), F.col("r").alias(right_id), "similarity")
 
 
-def novel(left: DataFrame, right: DataFrame, left_id: str, right_id: str, bits: str = "bits", most: float = 0.9) -> DataFrame:
-    """Rows of left without a row of right at a similarity of most or more."""
-    known = similar_pairs(left, right, left_id, right_id, bits, most).select(left_id).distinct()
+def novel(left: DataFrame, right: DataFrame, left_id: str, right_id: str, bits: str = "bits", most: float = 0.9, skip_same: bool = False) -> DataFrame:
+    """Rows of left without a row of right at a similarity of most or more; skip_same: a row of the same id does not count."""
+    pairs = similar_pairs(left, right, left_id, right_id, bits, most)
+    known = (pairs.filter(F.col(left_id) != F.col(right_id)) if skip_same else pairs).select(left_id).distinct()
     return left.join(known, left_id, "left_anti")
 
 
@@ -55,12 +58,13 @@ def diversity(df: DataFrame, key: str, bits: str = "bits", sample: int = 500, se
     return few.join(other, F.col("k") < F.col("k2")).agg(F.count("*").alias("n_pairs"), F.coalesce(F.avg(tanimoto(F.col("fp"), F.col("fp2"))), F.lit(0.0)).alias("mean_similarity"))
 
 
-def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, block_rows: int = BLOCK_ROWS, skip_same: bool = False) -> DataFrame:
     """query_id, row_id and similarity of the row with the highest cosine similarity (6 places; then the smallest id).
 
     Queries and rows are packed in blocks of a bounded size where they are; each block of queries meets each
     block of rows in a task, which keeps the best of them, and the bests are combined. No vector goes
-    through the driver. Null ids, null vectors and those of length zero are left out.
+    through the driver. Null ids, null vectors and those of length zero are left out. skip_same: a row
+    of the query's own id is no answer to it; a query without another row has none.
     """
 
     def pack(batches):
@@ -79,8 +83,12 @@ def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vec
             for q, x, r, y in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, own = np.frombuffer(q, np.int64), np.frombuffer(r, np.int64)
                 alike = np.round(np.frombuffer(x).reshape(len(ids), -1) @ np.frombuffer(y).reshape(len(own), -1).T, 6)
+                if skip_same:
+                    alike[ids[:, None] == own] = -np.inf
                 at = alike.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own[at]), pa.array(alike[np.arange(len(ids)), at])], names=["q", "r", "s"])
+                top = alike[np.arange(len(ids)), at]
+                ok = top > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(own[at][ok]), pa.array(top[ok])], names=["q", "r", "s"])
 
     blocks = lambda df, i: df.select(F.col(i).cast("long").alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL").mapInArrow(pack, "ids binary, vectors binary")
     met = blocks(queries, query_id).toDF("q", "x").crossJoin(blocks(rows, row_id).toDF("r", "y"))

@@ -121,6 +121,19 @@ def score_summary(df: DataFrame, score: Column, cut: float = -7.0) -> DataFrame:
     return df.agg(F.count(score).alias("n"), F.avg(score).alias("mean_score"), F.min(score).alias("best_score"), F.count_if(score <= cut).alias("at_cut"))
 
 
+def outcome_counts(df: DataFrame, ok: Column, *groups: str) -> DataFrame:
+    """total, succeeded and failed, for each group if any are named. A null outcome is a failure."""
+    good = F.coalesce(ok, F.lit(False))
+    return df.groupBy(*groups).agg(F.count("*").alias("total"), F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"))
+
+
+def kept_percent(rows: DataFrame, kept: DataFrame, value: str) -> DataFrame:
+    """total rows, the different values among those kept, and these in percent of the total (0 of nothing)."""
+    different = kept.filter(F.col(value).isNotNull()).select(value).distinct().agg(F.count("*").alias("kept"))
+    one = rows.agg(F.count("*").alias("total")).crossJoin(F.broadcast(different))  # one row each
+    return one.select("total", "kept", (share(F.col("kept"), F.col("total")) * 100).alias("percent"))
+
+
 def centroid(df: DataFrame, group: str, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
     return df.groupBy(group).agg(F.avg(x).alias("cx"), F.avg(y).alias("cy"), F.avg(z).alias("cz"), F.count("*").alias("n"))
 

@@ -154,8 +154,24 @@ SELECT p_partkey, '1,' || s || ',2' || repeat(',0', (4 - n)::INT) AS ids FROM w"
     "histogram": "SELECT floor((p_retailprice - 900) / 10)::BIGINT AS bucket, count(*) AS n FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1",
     "report_format": "WITH t AS (SELECT p_partkey, p_size, p_partkey % 7 AS hbd FROM part ORDER BY p_size DESC, p_partkey LIMIT 5) SELECT p_partkey, 'p_size' AS parameter, printf('%.1f', p_size::DOUBLE) AS text, CASE WHEN p_size <= 45 THEN 'green' WHEN p_size > 49 THEN 'red' ELSE 'black' END AS colour FROM t UNION ALL SELECT p_partkey, 'hbd', hbd::VARCHAR, CASE WHEN hbd <= 3 THEN 'green' WHEN hbd > 5 THEN 'red' ELSE 'black' END FROM t",
     "metrics_union": "SELECT 'orders' AS model, count(*) AS n_train, round(avg(o_totalprice), 4) AS rmse_train, NULL::DOUBLE AS r2_test FROM orders UNION ALL SELECT 'part', count(*), NULL, round(avg(p_retailprice), 4) FROM part UNION ALL SELECT 'supplier', count(*), round(avg(s_acctbal), 4), round(max(s_acctbal), 4) FROM supplier",
+    "cosine_nearest_whole": "SELECT query_id, arg_max(row_id, (s, -row_id)) AS row_id, max(s) AS similarity FROM (SELECT a.vec_id AS query_id, c.vec_id AS row_id, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id) GROUP BY 1",
+    "novelty_filter_whole": f"SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0 AND vec_id NOT IN (SELECT a.vec_id FROM {_BITS} a JOIN {_BITS} c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id WHERE {_TANIMOTO} >= 0.6)",
+    "valid_novel_percent": f"WITH k AS (SELECT count(DISTINCT label) AS kept FROM embeddings WHERE embedding[1] > 0 AND vec_id NOT IN (SELECT a.vec_id FROM {_BITS} a JOIN {_BITS} c ON c.vec_id % 50 = 0 WHERE {_TANIMOTO} >= 0.5)) SELECT (SELECT count(*) FROM embeddings) AS total, kept, round(100.0::DOUBLE * kept / (SELECT count(*) FROM embeddings), 6) AS percent FROM k",
+    "sa_published": """WITH c AS (SELECT l_orderkey, l_partkey, sum(l_quantity)::DOUBLE AS n FROM lineitem GROUP BY 1, 2),
+f AS (SELECT l_orderkey, count(*) AS kinds, sum(coalesce(p_size / 10.0::DOUBLE - 2, -4) * n) / sum(n) AS s FROM c LEFT JOIN (SELECT * FROM part WHERE p_size <= 40) ON p_partkey = l_partkey GROUP BY 1),
+p AS (SELECT *, (l_orderkey % 60)::DOUBLE AS a, s - (power(l_orderkey % 60, 1.005::DOUBLE) - l_orderkey % 60) - log10(l_orderkey % 4 + 1) - log10(l_orderkey % 3 + 1) - log10(l_orderkey % 2 + 1) - CASE WHEN l_orderkey % 5 > 0 THEN log10(2) ELSE 0 END AS raw FROM f),
+r AS (SELECT *, 11 - (raw + CASE WHEN a > kinds THEN 0.5::DOUBLE * ln(a / kinds) ELSE 0 END + 5) / 6.5::DOUBLE * 9 AS x FROM p WHERE a > 0)
+SELECT l_orderkey, f.kinds, CASE WHEN x IS NOT NULL THEN round(greatest(1, least(10, CASE WHEN x > 8 THEN 8 + ln(x - 8) ELSE x END)), 6) END AS sa FROM f LEFT JOIN r USING (l_orderkey)""",
+    "tier_counts": "SELECT metric, tier, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CASE WHEN {x} {c} {best} THEN 'best' WHEN {x} {c} {good} THEN 'good' WHEN {x} {c} {fair} THEN 'fair' ELSE 'low' END AS tier FROM part WHERE p_size IS NOT NULL" for m, x, c, fair, good, best in (("pIC50", "p_size / 6.0", ">=", 5, 6, 7), ("qed", "p_size / 50.0", ">=", 0.3, 0.5, 0.7), ("sa", "p_size / 6.0", "<=", 6, 4, 3), ("bbb", "p_size / 50.0", ">=", 0.3, 0.5, 0.7), ("docking", "-(p_size / 5.0)", "<=", -6, -7, -8))) + ") GROUP BY 1, 2",
+    "outcome_counts": "SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS succeeded, count(*) FILTER (o_orderstatus IS DISTINCT FROM 'F') AS failed FROM orders GROUP BY 1",
+    "alternative_names": "SELECT n_nationkey AS id, n_name AS smiles FROM nation UNION ALL SELECT r_regionkey, r_name FROM region",
+    "mean_vectors": "SELECT label, round(avg(embedding[1]::DOUBLE), 6) AS m0, round(avg(embedding[2]::DOUBLE), 6) AS m1, round(avg(embedding[3]::DOUBLE), 6) AS m2 FROM embeddings GROUP BY 1",
+    "bulk_predict": "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber = 3 AS invalid, CASE WHEN l_linenumber <> 3 THEN round(4 + l_quantity::DOUBLE * 2 - l_discount::DOUBLE * 30 + l_tax::DOUBLE * 10 + l_linenumber * 0.5::DOUBLE, 6) END AS predicted FROM lineitem",
+    "cached_scores": "SELECT p_partkey, p_size * 2 AS twice FROM part",
+    "cache_inventory": "SELECT * FROM (VALUES ('names', 2::BIGINT, true), ('sizes', 1, true)) AS t(kind, entries, has_bytes)",
     "csv_roundtrip": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "text_roundtrip": "SELECT n_name AS smiles FROM nation",
     "json_roundtrip": "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region",
     "annealing_schedule": "SELECT range AS step, round(least((range % 250) / 250.0::DOUBLE / 0.5, 1), 6) AS cyclical, round(least(range / 500.0::DOUBLE, 1), 6) AS monotonic, round(1 / (1 + exp(-10 * (range / 1000.0::DOUBLE - 0.5))), 6) AS logistic FROM range(1000)",
 }
+SQL["group_split_fit"] = f"""WITH g AS ({SQL["group_budget_split"]}) SELECT CASE WHEN in_test THEN 'test' ELSE 'train' END AS part, sum(n)::BIGINT AS n FROM g GROUP BY 1"""

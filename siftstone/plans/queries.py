@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import cleaning, reporting, scoring, similarity
-from siftstone.operators import clean, docking, frames, linear, ranking, stats, tokens
+from siftstone.operators import clean, docking, fragments, frames, linear, ranking, stats, tokens
 from siftstone.operators import similarity as search
 from siftstone.plans.lineage import shared_folder
 from siftstone.plans.oracle import LINE, PART
 from siftstone.sources import tables
+from siftstone.sources.cache import TableCache
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -231,6 +232,14 @@ def sa_heuristic_b(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", r6(scoring.difficulty_by_share(F.col("p_size"), k % 9, k % 6, k % 4, k % 3)).alias("sa"))
 
 
+@query
+def sa_published(spark, sf_dir):
+    table = read(spark, sf_dir, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("fragment"), (F.col("p_size") / 10 - 2).alias("score"))
+    scores = fragments.fragment_scores(read(spark, sf_dir, "lineitem"), table, "l_orderkey", "l_partkey", "l_quantity")
+    k = F.col("l_orderkey")
+    return scores.select("l_orderkey", "kinds", r6(scoring.published_difficulty(F.col("fragment_score"), k % 60, F.col("kinds"), k % 4, k % 3, k % 2, k % 5)).alias("sa"))
+
+
 @query
 def dpo_score(spark, sf_dir):
     score = scoring.preference_score(F.col("QED"), F.col("p_retailprice") / 10, F.col("p_size") / 8.0, F.col("LogP"))
@@ -259,6 +268,31 @@ def hit_tiers(spark, sf_dir):
     return read(spark, sf_dir, "part").groupBy(scoring.TIERS["pIC50"].column(F.col("p_size") / 6.0).alias("tier")).agg(F.count("*").alias("n"))
 
 
+@query
+def tier_counts(spark, sf_dir):
+    size = F.col("p_size")
+    values = {"pIC50": size / 6.0, "qed": size / 50.0, "sa": size / 6.0, "bbb": size / 50.0, "docking": -(size / 5.0)}
+    long = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), scoring.TIERS[m].column(x).alias("tier")) for m, x in values.items())))
+    return read(spark, sf_dir, "part").select(long.alias("x")).groupBy("x.metric", "x.tier").agg(F.count("*").alias("n"))
+
+
+@query
+def outcome_counts(spark, sf_dir):
+    return stats.outcome_counts(read(spark, sf_dir, "orders"), F.nullif("o_orderstatus", F.lit("P")) == "F", "o_orderpriority")
+
+
+@query
+def alternative_names(spark, sf_dir):
+    rows = [read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("smiles")), read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("ID"), F.col("r_name").alias("canonical"))]
+    return frames.union_tables([frames.first_of(frames.first_of(df, "id", "mol_id", "ID"), "smiles", "canonical") for df in rows])
+
+
+@query
+def mean_vectors(spark, sf_dir):
+    means = stats.mean_vector(read(spark, sf_dir, "embeddings").withColumn("v", F.slice("embedding", 1, 3)), "label", "v")
+    return means.select("label", *(r6(F.get("mean", F.lit(i))).alias(f"m{i}") for i in range(3)))
+
+
 @query
 def docking_summary(spark, sf_dir):
     out = stats.score_summary(read(spark, sf_dir, "orders"), -(F.col("o_totalprice") / 30000))
@@ -309,6 +343,26 @@ def cosine_nearest(spark, sf_dir):
     return search.nearest(x.filter("vec_id % 2 = 1").withColumnRenamed("vec_id", "query_id"), x.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "row_id"), "query_id", "row_id", "embedding")
 
 
+@query
+def cosine_nearest_whole(spark, sf_dir):
+    x = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.nearest(x.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), x.withColumnRenamed("vec_id", "row_id"), "query_id", "row_id", "embedding", skip_same=True)
+
+
+@query
+def novelty_filter_whole(spark, sf_dir):
+    x = _bits(spark, sf_dir)
+    return search.novel(x.filter("vec_id % 50 = 0"), x.withColumnRenamed("vec_id", "known"), "vec_id", "known", most=0.6, skip_same=True).select("vec_id")
+
+
+@query
+def valid_novel_percent(spark, sf_dir):
+    x = read(spark, sf_dir, "embeddings").select("vec_id", "label", similarity.pack_signs(F.col("embedding"), 64).alias("bits"), (F.get("embedding", F.lit(0)) > 0).alias("valid"))
+    known = x.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("known"), "bits")
+    kept = search.novel(x.filter("valid"), known, "vec_id", "known", most=0.5)
+    return stats.kept_percent(x, kept, "label").withColumn("percent", r6("percent"))
+
+
 @query
 def correlation_matrix(spark, sf_dir):
     return stats.correlation_matrix(read(spark, sf_dir, "lineitem"), CORRELATED).withColumn("corr", r6("corr"))
@@ -413,6 +467,41 @@ def coef_top20(spark, sf_dir):
     return linear.fit_linear(read(spark, sf_dir, "lineitem"), FEATURES, "l_extendedprice").importance(spark)
 
 
+@query
+def bulk_predict(spark, sf_dir):
+    folder = _scratch(spark, "models")
+    linear.LinearModel(FEATURES, (2.0, -30.0, 10.0, 0.5), 4.0).save(spark, f"{folder}/linear")
+    rows = read(spark, sf_dir, "lineitem").withColumn("l_linenumber", F.nullif("l_linenumber", F.lit(3)))
+    scored = linear.predict(rows.select("l_orderkey", "l_partkey", "l_suppkey", *FEATURES), linear.load_model(spark, f"{folder}/boosted", f"{folder}/linear"))
+    return scored.select("l_orderkey", "l_partkey", "l_suppkey", F.isnan("predicted").alias("invalid"), F.when(~F.isnan("predicted"), r6("predicted")).alias("predicted"))
+
+
+@query
+def group_split_fit(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").withColumn("step", F.col("p_partkey") % 1000)
+    side = frames.group_budget_split(parts, "p_brand")
+    dealt = parts.join(side.select("p_brand", "in_test"), "p_brand")
+    _, judged = linear.fit_and_judge(dealt.filter("NOT in_test"), dealt.filter("in_test"), ("p_size", "step"), "p_retailprice")
+    return judged.select("part", "n")
+
+
+@query
+def cached_scores(spark, sf_dir):
+    cache = TableCache(spark, _scratch(spark, "cache"))
+    sizes = lambda df: df.select("p_partkey", (F.col("p_size") * 2).alias("twice"))
+    parts = read(spark, sf_dir, "part")
+    cache.fetch(parts, "p_partkey", "sizes", sizes)
+    return cache.fetch(parts.orderBy("p_size"), "p_partkey", "sizes", lambda df: sizes(df).limit(0))  # the same values in another order: read, not computed
+
+
+@query
+def cache_inventory(spark, sf_dir):
+    cache = TableCache(spark, _scratch(spark, "cache"))
+    for kind, table, key in (("names", "nation", "n_name"), ("names", "region", "r_name"), ("sizes", "part", "p_partkey")):
+        cache.fetch(read(spark, sf_dir, table), key, kind, lambda df: df)
+    return cache.inventory().select("kind", "entries", (F.col("bytes") > 0).alias("has_bytes"))
+
+
 @query
 def csv_roundtrip(spark, sf_dir):
     path = _scratch(spark, "nation.csv")

@@ -2,16 +2,18 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftstone.functions import cleaning, reporting, scoring, similarity, text_results
-from siftstone.operators import chem, clean, docking, frames, linear, ranking, stats, tokens
+from siftstone.operators import chem, clean, docking, fragments, frames, linear, ranking, stats, tokens
 from siftstone.operators import similarity as search
 from siftstone.plans import screening
 from siftstone.sources import tables
 from siftstone.sources.activities import ActivityPages
+from siftstone.sources.cache import TableCache
 from siftstone.streaming import scores
 
 NAN = float("nan")
@@ -185,6 +187,95 @@ def test_linear_model(spark, tmp_path):
     assert linear.fit_boosted(df, ["a", "b"], "y", depth=3, rounds=3).getNumTrees == 3
 
 
+def test_published_difficulty(spark):
+    names = "fragments double, atoms int, kinds int, stereo int, spiro int, bridges int, macrocycles int"
+    rows = [(-1.0, 10, 5, 0, 0, 0, 0), (-4.0, 200, 200, 3, 1, 1, 2), (-1.0, 0, 5, 0, 0, 0, 0), (None, 10, 5, 0, 0, 0, 0), (2.5, 1, 1, 0, 0, 0, 0)]
+    c = [F.col(x.split()[0]) for x in names.split(", ")]
+    got = [r[0] for r in spark.createDataFrame(rows, names).coalesce(1).select(scoring.published_difficulty(*c)).collect()]
+    penalty = 10**1.005 - 10
+    assert got[0] == pytest.approx(11 - (-1 - penalty + math.log(2) / 2 + 5) / 6.5 * 9)
+    raw = -4 - (200**1.005 - 200) - math.log10(4) - 3 * math.log10(2)
+    assert got[1] == pytest.approx(min(10, 8 + math.log(11 - (raw + 5) / 6.5 * 9 - 8)))
+    assert got[2:] == [None, None, 1.0]
+
+
+def test_fragment_scores(spark):
+    table = fragments.fragment_table(spark.createDataFrame([(1.0, [7, 8]), (2.0, [8])], "score double, fragments array<long>"))
+    counts = spark.createDataFrame([("a", 7, 1), ("a", 7, 2), ("a", 8, 1), ("b", 9, 5), ("c", None, 1), ("d", 7, 0), (None, 7, 1)], "k string, fragment long, count int")
+    found = {r.k: (r.fragment_score, r.kinds) for r in fragments.fragment_scores(counts, table, "k").collect()}
+    assert found == {"a": ((3 * 1.0 + 2.0) / 4, 2), "b": (-4.0, 1)}
+    assert fragments.fragment_scores(counts.limit(0), table, "k").collect() == []
+
+
+def test_counts_names_and_percents(spark):
+    df = spark.createDataFrame([(1, True, "x"), (2, False, None), (3, None, "x")], "id int, ok boolean, smiles string")
+    assert stats.outcome_counts(df, F.col("ok")).first() == (3, 1, 2)
+    assert stats.outcome_counts(df.limit(0), F.col("ok")).first() == (0, 0, 0)
+    one = stats.kept_percent(df, df.filter("id <> 2"), "smiles").first()
+    assert (one.total, one.kept, one.percent) == (3, 1, pytest.approx(100 / 3))
+    assert stats.kept_percent(df.limit(0), df.limit(0), "smiles").first() == (0, 0, 0.0)
+    both = df.withColumn("SMARTS", F.lit("y"))
+    assert [r.smiles for r in frames.first_of(both, "smiles", "SMARTS").orderBy("id").collect()] == ["x", "y", "x"]
+    assert frames.first_of(df, "name", "smiles").columns == ["id", "ok", "name"]
+    with pytest.raises(ValueError):
+        frames.first_of(df, "none", "nothing")
+
+
+def test_searches_pass_over_the_row_itself(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "id long, v array<double>")
+    near = search.nearest(vectors.withColumnRenamed("id", "q"), vectors, "q", "id", "v", skip_same=True)
+    assert {r.q: r.id for r in near.collect()} == {1: 2, 2: 1, 3: 2}
+    alone = vectors.filter("id = 1")
+    assert search.nearest(alone.withColumnRenamed("id", "q"), alone, "q", "id", "v", skip_same=True).collect() == []
+    bits = spark.createDataFrame([(1, [7]), (2, [7]), (3, [1 << 40])], "id long, bits array<long>")
+    assert [r.id for r in search.novel(bits, bits.withColumnRenamed("id", "known"), "id", "known", skip_same=True).collect()] == [3]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.9])
+def test_similar_pairs_lose_none(spark, least):
+    rng = random.Random(3)
+    rows = [(i, [sum(1 << b for b in rng.sample(range(20), rng.randint(0, 8)))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "a long, bits array<long>")
+    alike = lambda x, y: (x & y).bit_count() / (x | y).bit_count() if x | y else 0.0
+    want = {(i, j) for i, (x,) in rows for j, (y,) in rows if alike(x, y) >= least}
+    assert {(r.a, r.b) for r in search.similar_pairs(df, df.withColumnRenamed("a", "b"), "a", "b", least=least).collect()} == want
+
+
+def test_bulk_prediction_by_the_model_that_is_there(spark, tmp_path):
+    df = spark.createDataFrame([(float(i), 2.0 * i) for i in range(40)] + [(None, 1.0), (NAN, 1.0)], "a double, y double")
+    paths = str(tmp_path / "boosted"), str(tmp_path / "linear")
+    linear.LinearModel(("a",), (2.0,), 0.0).save(spark, paths[1])
+    model = linear.load_model(spark, *paths)
+    rows = linear.predict(df, model).collect()
+    assert isinstance(model, linear.LinearModel) and len(rows) == 42 and sum(math.isnan(r.predicted) for r in rows) == 2
+    linear.BoostedModel(("a",), linear.fit_boosted(df.limit(40), ["a"], "y", depth=2, rounds=2)).save(spark, paths[0])
+    model = linear.load_model(spark, *paths)
+    out = linear.predict(df, model)
+    assert isinstance(model, linear.BoostedModel) and out.columns == ["a", "y", "predicted"]
+    assert sum(math.isnan(r.predicted) for r in out.collect()) == 2 and out.count() == 42
+    _, judged = linear.fit_and_judge(df.filter("a < 30"), df.filter("a >= 30 AND NOT isnan(a)"), ["a"], "y")
+    assert {r.part: r.n for r in judged.collect()} == {"train": 30, "test": 10}
+
+
+def test_cache(spark, tmp_path):
+    cache, calls = TableCache(spark, str(tmp_path / "kept")), []
+    df = spark.createDataFrame([("CC", 1), ("N", 2)], "smiles string, n int")
+    compute = lambda d: calls.append(1) or d.select("smiles", (F.col("n") + 1).alias("m"))
+    assert cache.inventory().collect() == [] and cache.get("sizes", "no") is None
+    for rows in (df, df.orderBy(F.desc("n")), df.filter("n = 1")):
+        assert cache.fetch(rows, "smiles", "sizes", compute).count() == rows.count()
+    assert len(calls) == 2
+    cache.put(df, "other", "key")
+    found = {r.kind: r for r in cache.inventory().collect()}
+    assert found["sizes"].entries == 2 and found["other"].entries == 1 and found["sizes"]["bytes"] > 0
+    (tmp_path / "kept/kind=other/key=key/_SUCCESS").unlink()
+    assert cache.get("other", "key") is None
+    cache.clear("sizes")
+    assert [r.kind for r in cache.inventory().collect()] == ["other"]
+    cache.clear()
+    assert cache.inventory().collect() == []
+
+
 def test_files_by_name(spark, tmp_path):
     df = spark.createDataFrame([("CC", 1)], "smiles string, n int")
     for name in ("a.csv", "b.tsv", "c.parquet", "d.pq"):
