@@ -2,6 +2,7 @@
 
 import public_tokenizers
 import test_decontaminate
+import test_near_copies
 import test_near_dedup
 import test_suffix_dedup
 from sentencepiece import SentencePieceProcessor
@@ -57,3 +58,48 @@ def test_empty_and_odd_rows(spark, sf_dir):
         for name, stage in pipeline.STAGES:
             found = stage(spark, docs, sf_dir).collect()
             assert len(found) <= len(rows) and (name != "tokenization" or len(found) == len(rows))
+
+
+def without_repeats(texts, width=50):
+    """Each text without the characters of which a byte lies in a width-byte string that also starts in a text with a smaller id."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        data = texts[i].encode()
+        strings = [data[k : k + width] for k in range(len(data) - width + 1)]
+        gone = bytearray(len(data))
+        for k, s in enumerate(strings):
+            if s in seen:
+                gone[k : k + width] = b"\x01" * width
+        seen.update(strings)
+        at, kept = 0, []
+        for c in texts[i]:
+            size = len(c.encode())
+            if not any(gone[at : at + size]):
+                kept.append(c)
+            at += size
+        out[i] = "".join(kept)
+    return out
+
+
+def test_stages_with_near_copies_by_shingles(spark, sf_dir):
+    """near_dedup against all pairs of 5-word shingle sets at a Jaccard similarity of 0.8, passage_dedup character by character, and what follows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stage = dict(pipeline.STAGES)
+    text = lambda df: {r.doc_id: r.text for r in df.collect()}
+    good = spark.createDataFrame(stage["quality"](spark, docs, sf_dir).collect(), docs.schema)
+    single = spark.createDataFrame(stage["near_dedup"](spark, good, sf_dir).collect(), docs.schema)
+    label, links = test_near_copies.brute(list(text(good).items()))
+    assert links and set(text(single)) == {i for i, c in label.items() if c == i}
+
+    cut = spark.createDataFrame(stage["passage_dedup"](spark, single, sf_dir).collect(), docs.schema)
+    assert text(cut) == without_repeats(text(single)) != text(single)
+
+    clean = text(stage["decontamination"](spark, cut, sf_dir))
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    words = {w for _, t in bench for w in tokens(t.encode())}
+    near = [(i, t) for i, t in text(cut).items() if sum(w in words for w in tokens(t.encode())) >= 8 and len(t) < 2000]
+    leaks = {i for i, hit in test_decontaminate.brute(near, bench).items() if hit}
+    assert {i for i, _ in near} - leaks == {i for i, _ in near} & set(clean)
+
+    library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert {r.doc_id: r.ids for r in pipeline.run(spark, sf_dir).collect()} == {i: library.encode(t) for i, t in clean.items()}
