@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftstone.plans.lineage import shared_checkpoint
 
@@ -82,16 +84,24 @@ def group_budget_split(df: DataFrame, group: str, test_share: float = 0.2, seed:
     """group, n and in_test: whole groups go to the test side in seeded order while they fit in floor(rows * test_share).
 
     A group that does not fit is passed over, and later ones may still fit. Which groups fit depends on
-    all before them, so the sizes of the groups (not the rows) are folded in one array.
+    all before them, so the sizes of the groups (not the rows) pass in order through one running sum; a
+    task holds one batch of them, and sorts by spilling.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    one = sizes.agg(F.array_sort(F.collect_list(F.struct(seeded_key(F.col(group), seed).alias("h"), F.col(group).alias("g"), "n"))).alias("all"), F.floor(F.sum("n") * F.lit(test_share)).alias("budget"))
-    fold = F.expr(
-        f"""aggregate(all, named_struct('used', 0L, 'taken', cast(array() AS array<{dict(df.dtypes)[group]}>)),
-        (s, x) -> if(s.used + x.n <= budget, named_struct('used', s.used + x.n, 'taken', concat(s.taken, array(x.g))), s))"""
-    )
-    taken = one.select(F.explode(fold["taken"]).alias(group)).withColumn("in_test", F.lit(True))
-    return sizes.join(taken, group, "left").withColumn("in_test", F.coalesce("in_test", F.lit(False)))
+    budget = int(df.count() * test_share)
+
+    def deal(batches):
+        used = 0
+        for batch in batches:
+            taken = []
+            for n in batch.column(1).to_pylist():
+                taken.append(used + n <= budget)
+                used += n if taken[-1] else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], names=[group, "n", "in_test"])
+
+    held = sizes.repartition(1).sortWithinPartitions(seeded_key(F.col(group), seed), group)
+    schema = T.StructType([*sizes.schema.fields, T.StructField("in_test", T.BooleanType())])
+    return held.mapInArrow(deal, schema)
 
 
 def union_distinct_capped(first: DataFrame, second: DataFrame, order: Sequence[Column], cap: int) -> DataFrame:
