@@ -126,6 +126,11 @@ SELECT coalesce(f.p_partkey, b.p_partkey) AS p_partkey, coalesce(b.score, f.scor
     "hit_tiers": "SELECT tier, count(*) AS n FROM (SELECT CASE WHEN p_size / 6.0 >= 7 THEN 'best' WHEN p_size / 6.0 >= 6 THEN 'good' WHEN p_size / 6.0 >= 5 THEN 'fair' ELSE 'low' END AS tier FROM part) GROUP BY 1",
     "docking_summary": "SELECT count(*) AS n, round(avg(-(o_totalprice / 30000)), 6) AS mean_score, round(min(-(o_totalprice / 30000)), 6) AS best_score, count(*) FILTER (-(o_totalprice / 30000) <= -7) AS at_cut FROM orders",
     "parse_score_text": "SELECT 'lig_' || p_partkey AS id_ligand, CASE WHEN p_size % 5 = 0 THEN NULL ELSE -(p_size / 10.0::DOUBLE) END AS docking_score FROM part",
+    "cascade_scores": "SELECT p_partkey, -(p_size / CASE p_partkey % 3 WHEN 0 THEN 10.0::DOUBLE WHEN 1 THEN 5.0 ELSE 2.0 END) AS docking_score FROM part",
+    "prepared_ligands": "SELECT p_partkey, 'ROOT' || chr(10) || 'ATOM ' || p_partkey || chr(10) || 'ENDROOT' || chr(10) || CASE p_partkey % 3 WHEN 0 THEN 'TORSDOF 0' || chr(10) ELSE 'TORSDOF 3' END AS value FROM part WHERE p_partkey % 3 < 2",
+    "prepared_receptors": "SELECT s_suppkey, 'ATOM  ' || s_suppkey || chr(10) || 'TER' || chr(10) || 'HETATM 1' || chr(10) || 'END' AS value FROM supplier",
+    "columns_side_by_side": "SELECT n_nationkey AS k, n_name AS name, r_name AS t2_name FROM nation LEFT JOIN region ON r_regionkey = n_nationkey",
+    "records_roundtrip": "SELECT n_name || chr(10) || 'M  END' || chr(10) AS value FROM nation",
     "parse_atom_lines": "SELECT residue, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM (SELECT 'R' || lpad((label % 100)::VARCHAR, 2, '0') AS residue, floor(embedding[1]::DOUBLE * 1000) / 1000 AS x, floor(embedding[2]::DOUBLE * 1000) / 1000 AS y, floor(embedding[3]::DOUBLE * 1000) / 1000 AS z FROM embeddings) GROUP BY 1",
     "tanimoto_pairs": f"SELECT a.vec_id AS id_a, c.vec_id AS id_b, round({_TANIMOTO}, 6) AS similarity FROM {_BITS} a JOIN {_BITS} c ON a.vec_id < c.vec_id WHERE {_TANIMOTO} >= 0.6",
     "novelty_filter": f"SELECT vec_id FROM embeddings WHERE vec_id % 2 = 1 AND vec_id NOT IN (SELECT a.vec_id FROM {_BITS} a JOIN {_BITS} c ON a.vec_id % 2 = 1 AND c.vec_id % 2 = 0 WHERE {_TANIMOTO} >= 0.6)",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.functions import cleaning, reporting, scoring, similarity
+from siftstone.functions import cleaning, reporting, scoring, similarity, text_results
 from siftstone.operators import clean, docking, fragments, frames, linear, ranking, stats, tokens
 from siftstone.operators import similarity as search
 from siftstone.plans.lineage import shared_folder
@@ -307,6 +307,41 @@ def parse_score_text(spark, sf_dir):
     return docking.parse_results(files)
 
 
+@query
+def cascade_scores(spark, sf_dir):
+    part, kind = read(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    shown = lambda by, text: F.format_string(text, -(F.col("p_size") / by))
+    log = F.when(kind == 0, shown(10.0, "mode | affinity\n   1   %.1f  0.000  0.000\n"))
+    stdout = F.when(kind <= 1, shown(5.0, "   1   %.1f  0.000  0.000\n")).otherwise("no modes\n")
+    return part.select("p_partkey", text_results.cascade_score(log, stdout, shown(2.0, "REMARK VINA RESULT:  %.1f  0.000\n")).alias("docking_score"))
+
+
+@query
+def prepared_ligands(spark, sf_dir):
+    kind, key = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
+    text = F.when(kind == 0, F.concat(F.lit("ROOT\nATOM "), key, F.lit("\nENDROOT\nROOT\nENDROOT\nTORSDOF 2"))).when(kind == 1, F.concat(F.lit("ROOT\nATOM "), key, F.lit("\nENDROOT\nTORSDOF 3"))).otherwise("REMARK no atoms")
+    return docking.prepare_ligands(read(spark, sf_dir, "part").select("p_partkey", text.alias("value")))
+
+
+@query
+def prepared_receptors(spark, sf_dir):
+    text = F.concat(F.lit("ATOM  "), F.col("s_suppkey").cast("string"), F.lit("\nROOT\nTER\nHETATM 1\nBRANCH 1 2\nEND"))
+    return docking.prepare_receptors(read(spark, sf_dir, "supplier").select("s_suppkey", text.alias("value")))
+
+
+@query
+def columns_side_by_side(spark, sf_dir):
+    nations, regions = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    return frames.concat_columns([nations.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")), regions.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))], "k")
+
+
+@query
+def records_roundtrip(spark, sf_dir):
+    path = _scratch(spark, "records")
+    tables.write_lines(read(spark, sf_dir, "nation").select(F.concat("n_name", F.lit("\nM  END\n$$$$")).alias("record")), "record", path)
+    return tables.read_records(spark, path)
+
+
 @query
 def parse_atom_lines(spark, sf_dir):
     place = lambda i: F.format_string("%8.3f", F.floor(F.get("embedding", F.lit(i)).cast("double") * 1000) / 1000)
