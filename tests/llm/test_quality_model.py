@@ -1,8 +1,10 @@
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from siftstone.llm.quality_model import SubwordClassifier, keep_good
+from siftstone.llm.columns import unpack
+from siftstone.llm.quality_model import SubwordClassifier, keep_good, softmax, text_features
 from siftstone.llm.queries import op7_quality_classifier
 
 
@@ -36,3 +38,23 @@ def test_without_both_classes_every_score_is_one_half(spark):
     for labels in ([], [(1, 1), (2, 1)], [(1, None)], [(9, 0)]):
         model = SubwordClassifier.fit(docs, spark.createDataFrame(labels, "doc_id long, label int"))
         assert [r.score for r in model.score(docs).collect()] == [0.5, 0.5]
+
+
+def test_scores_are_those_of_the_features_and_of_a_softmax(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = SubwordClassifier.fit(docs, labels.withColumn("label", F.col("quality")))
+    table = unpack(model.weights, np.float32).reshape(-1, 2).astype(float)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.score for r in model.score(docs).collect()}
+    assert len(got) == len(texts)
+    for k, text in texts.items():
+        at, weight = text_features((text or "").encode())
+        assert abs(softmax(weight.astype(float) @ table[at] + model.biases)[1] - got[k]) < 1e-5
+
+
+def test_three_classes(spark):
+    kinds = ("red green blue", "one two three", "cat dog cow")
+    docs = spark.createDataFrame([(i, f"{kinds[i % 3]} {i}") for i in range(90)], "doc_id long, text string")
+    model = SubwordClassifier.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 as int) as label"), classes=3)
+    got = model.score(docs).collect()
+    assert len(model.biases) == 3 and all((r.score > 0.7) == (r.doc_id % 3 == 1) for r in got)
