@@ -45,7 +45,7 @@ def word_hash(word: bytes) -> int:
 def pair_rows(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Rows of the table for each word and the one after it, from the words' hashes (unsigned, 64 bits)."""
     mixed = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    return ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def text_marks(raw: bytes, words: list[bytes]) -> list[bytes]:
@@ -80,24 +80,26 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 class _Scorer:
-    """Scores texts with a bounded memo of words; one for each task."""
+    """Scores texts with a bounded memo of words; one for each task. Only how the other classes stand against class 1 matters: a column for each of them."""
 
     def __init__(self, weights: bytes, biases: tuple[float, ...]):
-        self.biases = np.array(biases)
-        self.table = unpack(weights, np.float32).astype(np.float64).reshape(-1, len(biases))
+        table = unpack(weights, np.float32).astype(np.float64).reshape(-1, len(biases))
+        others = [k for k in range(len(biases)) if k != 1]
+        self.columns, self.biases = [table[:, k] - table[:, 1] for k in others], [biases[k] - biases[1] for k in others]
+        self.buckets = len(table)
         self._clear(_MEMO)
 
     def _clear(self, room: int) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.sums, self.sizes, self.hashes = np.zeros((room, len(self.biases))), np.zeros(room), np.zeros(room, np.uint64)
+        self.sums, self.sizes, self.hashes = [np.zeros(room) for _ in self.columns], np.zeros(room), np.zeros(room, np.uint64)
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         """Probability of class 1 for each text."""
-        logits = np.array([self._logits(x) for x in texts]).reshape(-1, len(self.biases))
+        logits = np.array([self._logits(x) for x in texts], float).reshape(-1, len(self.biases))
         with np.errstate(over="ignore"):
-            return 1 / np.exp(logits - logits[:, 1:2]).sum(axis=1)
+            return 1 / (1 + np.exp(logits).sum(axis=1))
 
-    def _logits(self, raw: bytes) -> np.ndarray:
+    def _logits(self, raw: bytes) -> list[float]:
         words = raw.split()
         marks = text_marks(raw, words)
         fresh = set(words + marks).difference(self.numbers)
@@ -105,13 +107,15 @@ class _Scorer:
             fresh = set(words + marks)
             self._clear(max(_MEMO, len(fresh)))
         for word in fresh:
-            at = word_features(word, len(self.table))
+            at = word_features(word, self.buckets)
             k = self.numbers[word] = len(self.numbers)
-            self.sums[k], self.sizes[k], self.hashes[k] = self.table[at].sum(axis=0), len(at), word_hash(word)
+            self.sizes[k], self.hashes[k] = len(at), word_hash(word)
+            for sums, column in zip(self.sums, self.columns):
+                sums[k] = column[at].sum()
         at = np.fromiter(map(self.numbers.__getitem__, words + marks), np.int64, len(words) + len(marks))
-        pairs = pair_rows(self.hashes[at[: len(words)]], len(self.table))
-        total = self.sums[at].sum(axis=0) + PAIR_WEIGHT * self.table[pairs].sum(axis=0)
-        return total / max(1.0, self.sizes[at].sum() + PAIR_WEIGHT * len(pairs)) + self.biases
+        pairs = pair_rows(self.hashes[at[: len(words)]], self.buckets)
+        n = max(1.0, self.sizes[at].sum() + PAIR_WEIGHT * len(pairs))
+        return [(sums[at].sum() + PAIR_WEIGHT * column[pairs].sum()) / n + bias for sums, column, bias in zip(self.sums, self.columns, self.biases)]
 
 
 @dataclass(frozen=True)
