@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from siftstone.llm.queries import op6_token_packing
 from siftstone.llm.token_pack import Encoder, pack_bits, read_document, read_tokens, unpack_bits, vocabulary_bits, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,3 +76,13 @@ def test_no_documents(spark, tmp_path):
     path = str(tmp_path / "none")
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
     assert read_tokens(spark, path).collect() == []
+
+
+def test_query(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    plain, want, start = Tokenizer.from_file(PATH), [], 0
+    for doc in sorted(docs):
+        ids = plain.encode(docs[doc] or "", add_special_tokens=False).ids + [0]
+        want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, op6_token_packing(spark, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
