@@ -1,3 +1,6 @@
+import random
+from urllib.parse import urljoin, urlsplit
+
 from siftstone.llm.queries import URL_RULES
 from siftstone.llm.url_filter import RULE_SCHEMA, html_edges, judge_urls
 
@@ -55,3 +58,33 @@ def test_many_aliases_of_one_blocked_page(spark):
 def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert judge_urls(pages, spark.createDataFrame(URL_RULES, RULE_SCHEMA)).collect() == []
+
+
+def test_random_alias_graphs_match_brute_force(spark):
+    rng = random.Random(5)
+    paths = ["/en/7", "/en/1", "/de/1", "/de/8", "/es/1", "/fr/1", "/fr/2", "/fr/3?q=1"]
+    for _ in range(3):
+        urls = [f"http://{rng.choice('abc')}.{h}{p}" for h in ("example.com", "x.net", "y.org", "example.net") for p in paths]
+        links = {i: rng.choice(paths + ["2", "?id=3", "../fr/9", "http://z.org/es/4?k#f"]) for i in rng.sample(range(len(urls)), 6)}
+        html = {i: f'<link rel="canonical" href="{x}">' for i, x in links.items()}
+        redirects = [(rng.choice(urls), rng.choice(urls + ["http://w.org/es/2", "http://w.org/fr/2"])) for _ in range(10)]
+        node = lambda u: (urlsplit(u).netloc, urlsplit(u).path, urlsplit(u).query)
+
+        def own(u):
+            host, path = urlsplit(u).netloc, urlsplit(u).path
+            fits = [(len(h + p), a) for h, p, a in URL_RULES if ("." + host).endswith("." + h) and path.startswith(p)]
+            return max(fits)[1] if fits else None
+
+        edges = redirects + [(urls[i], urljoin(urls[i], x)) for i, x in links.items()]
+        group = {node(u): node(u) for e in edges for u in e}
+        for _ in group:
+            for a, b in edges:
+                group[node(a)] = group[node(b)] = min(group[node(a)], group[node(b)])
+        said = {}
+        for u in {u for e in edges for u in e}:
+            said.setdefault(group[node(u)], set()).add(own(u))
+        want = {}
+        for i, u in enumerate(urls):
+            others = said.get(group.get(node(u)), set())
+            want[i] = own(u) or ("block" if "block" in others and "allow" not in others else "allow")
+        assert {i: v[3] for i, v in judged(spark, urls, redirects, html).items()} == want
