@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.chat_format import conversation_digests, format_turns
 from siftstone.llm.columns import read, shared_checkpoint
+from siftstone.llm.conversation_trie import numbered_turns, prefix_trie, with_shared_heads
 from siftstone.llm.decontaminate import find_leaks
 from siftstone.llm.lm_score import score_held_out
 from siftstone.llm.near_dedup import near_duplicates
@@ -19,6 +20,7 @@ from siftstone.llm.sentencepiece_lattice import MERGES, PieceTable, encode_diges
 from siftstone.llm.suffix_dedup import repeated_bytes
 from siftstone.llm.token_pack import read_tokens, shared_path, write_tokens
 from siftstone.llm.url_filter import RULE_SCHEMA, judge_urls
+from siftstone.llm.vector_codes import VectorCodec, with_group_error
 
 #: Host, path and action of each rule that op4 applies (fixed values).
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -88,6 +90,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    head = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie(*with_shared_heads(numbered_turns(read(spark, sf_dir, "conversations")), head, conv - F.pmod(conv, F.lit(5)), 8))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    codec = VectorCodec.fit(vectors)
+    coded = shared_checkpoint(codec.encode(vectors, keep="label"))
+    return with_group_error(coded, "label").select("vec_id", "code", "error", "label_error", F.lit(codec.digest()).alias("codebooks_sha256"))
+
+
 OP3_SQL = rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -113,11 +128,59 @@ FROM parts LEFT JOIN LATERAL (
   ORDER BY length(rule_host || rule_path) DESC, action, rule DESC LIMIT 1) AS fit ON true
 """.format(rules=", ".join(map(str, URL_RULES)))
 
+#: The checksum of an id's digits is folded bit by bit: DuckDB has no function for it. -1 in a list is a shift.
+OP11_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, count(*) AS n, conv_id - (conv_id % 5 + 5) % 5 AS donor,
+    xor(4294967295, list_reduce(flatten(list_transform(range(length(CAST(conv_id AS VARCHAR)) + 1), lambda i:
+      CASE WHEN i = 0 THEN [4294967295] ELSE [CAST(ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS BIGINT), 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] END)),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 9 AS head
+  FROM turns GROUP BY conv_id),
+plan AS (SELECT o.*, least(o.head, coalesce(d.n, 0)) AS given FROM own o LEFT JOIN own d ON d.conv_id = o.donor),
+rebuilt AS (
+  SELECT conv_id, pos - head + given AS pos, role, text FROM turns JOIN plan USING (conv_id) WHERE pos > head
+  UNION ALL SELECT p.conv_id, t.pos, role, text FROM plan p JOIN turns t ON t.conv_id = p.donor AND t.pos <= p.given),
+places AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS depth, '' AS path, 0 AS size, given + greatest(n - head, 0) AS total FROM plan
+  UNION ALL SELECT r.conv_id, pos, string_agg(sha256(role || ':' || text), '') OVER (PARTITION BY r.conv_id ORDER BY pos), strlen(text), given + greatest(n - head, 0) FROM rebuilt r JOIN plan p USING (conv_id)),
+node AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved, count(*) FILTER (total > depth) = 0 AS leaf,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends_sha256
+  FROM places GROUP BY path, depth)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, count(*) FILTER (b.depth = a.depth + 1) AS n_children, count(*) FILTER (b.leaf) AS n_leaves,
+  CAST(sum(b.saved) AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM node a JOIN node b ON starts_with(b.path, a.path) LEFT JOIN node p ON a.depth > 0 AND p.path = a.path[:64 * (a.depth - 1)]
+GROUP BY ALL
+"""
+
+OP13_SQL = """
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, CAST(p AS INT) AS part, v[len(v) // 16 * p + 1 : len(v) // 16 * (p + 1)] AS x FROM kept, range(16) t(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64),
+book0 AS (SELECT part, entry, x FROM parts JOIN first USING (vec_id)),
+{rounds}
+coded AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM near2 GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, digest
+"""
+_NEAR = """near{k} AS (SELECT vec_id, label, part, x, entry, far FROM (
+  SELECT vec_id, label, p.part, p.x, entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS far FROM parts p JOIN book{k} b USING (part))
+  QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY far, entry) = 1),
+"""
+_MOVE = """mean{k} AS (SELECT part, entry, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY place) AS x
+  FROM (SELECT part, entry, place, sum(x[place]) AS s, count(*) AS n FROM near{k}, range(1, len(x) + 1) t(place) GROUP BY ALL) GROUP BY part, entry),
+book{next} AS (SELECT part, entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m USING (part, entry)),
+"""
+OP13_SQL = OP13_SQL.format(rounds="".join(_NEAR.format(k=k) + (_MOVE.format(k=k, next=k + 1) if k < 2 else "") for k in range(3)))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_chat_format, op4_url_filter, op5_suffix_dedup, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece, op10_decontamination)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_chat_format, op4_url_filter, op5_suffix_dedup, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece, op10_decontamination, op11_conversation_trie, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
     """op4's SQL has no aliases: it holds for tables whose pages give no redirect and no canonical link."""
-    return {"op3_chat_format": OP3_SQL, "op4_url_filter": OP4_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_url_filter": OP4_SQL, "op11_conversation_trie": OP11_SQL, "op13_vector_codes": OP13_SQL}
