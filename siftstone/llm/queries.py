@@ -14,6 +14,7 @@ from siftstone.llm.conversation_trie import numbered_turns, prefix_trie, with_sh
 from siftstone.llm.decontaminate import find_leaks
 from siftstone.llm.lm_score import score_held_out
 from siftstone.llm.near_dedup import near_duplicates
+from siftstone.llm.personal_data import KINDS, PersonalData, span_text
 from siftstone.llm.quality_model import SubwordClassifier
 from siftstone.llm.quality_rules import QualityCascade
 from siftstone.llm.sentencepiece_lattice import MERGES, PieceTable, encode_digests
@@ -96,6 +97,13 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*with_shared_heads(numbered_turns(read(spark, sf_dir, "conversations")), head, conv - F.pmod(conv, F.lit(5)), 8))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = PersonalData.fit(docs).find(docs)
+    counts = [F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("found").alias("spans"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     codec = VectorCodec.fit(vectors)
@@ -178,7 +186,7 @@ OP13_SQL = OP13_SQL.format(rounds="".join(_NEAR.format(k=k) + (_MOVE.format(k=k,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_chat_format, op4_url_filter, op5_suffix_dedup, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece, op10_decontamination, op11_conversation_trie, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_chat_format, op4_url_filter, op5_suffix_dedup, op6_token_packing, op7_quality_classifier, op8_simhash_near_dedup, op9_sentencepiece, op10_decontamination, op11_conversation_trie, op12_personal_data, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
