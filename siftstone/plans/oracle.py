@@ -180,3 +180,42 @@ SELECT l_orderkey, f.kinds, CASE WHEN x IS NOT NULL THEN round(greatest(1, least
     "annealing_schedule": "SELECT range AS step, round(least((range % 250) / 250.0::DOUBLE / 0.5, 1), 6) AS cyclical, round(least(range / 500.0::DOUBLE, 1), 6) AS monotonic, round(1 / (1 + exp(-10 * (range / 1000.0::DOUBLE - 0.5))), 6) AS logistic FROM range(1000)",
 }
 SQL["group_split_fit"] = f"""WITH g AS ({SQL["group_budget_split"]}) SELECT CASE WHEN in_test THEN 'test' ELSE 'train' END AS part, sum(n)::BIGINT AS n FROM g GROUP BY 1"""
+
+SQL["cosine_nearest_index"] = SQL["cosine_nearest_whole"]
+
+#: Orders as molecules of six atoms: raw lines, atoms, bonds, and bonds in both directions.
+_MOLECULES = """raw AS (SELECT l_orderkey AS mol, CAST(l_partkey % 6 + 1 AS INT) AS a, CAST(l_suppkey * 7 % 6 + l_linenumber % 3 + 1 AS INT) AS b, l_linenumber % 3 + 1 AS kind FROM lineitem),
+atoms AS (SELECT mol, a AS atom, substr('CNOS', a % 4 + 1, 1) AS element FROM raw UNION SELECT mol, b, substr('CNOS', b % 4 + 1, 1) FROM raw),
+bonds AS (SELECT mol, least(a, b) AS a, greatest(a, b) AS b, CAST(min(kind) AS INT) AS kind FROM raw WHERE a <> b GROUP BY ALL),
+links AS (SELECT mol, a AS node, b AS other, kind FROM bonds UNION ALL SELECT mol, b, a, kind FROM bonds)"""
+
+SQL["ring_counts"] = f"""WITH RECURSIVE {_MOLECULES},
+reach(mol, node, far) AS (SELECT mol, atom, atom FROM atoms UNION SELECT r.mol, r.node, l.other FROM reach r JOIN links l ON l.mol = r.mol AND l.node = r.far),
+n AS (SELECT mol, count(*) AS n_nodes, count(*) FILTER (node = label) AS n_components FROM (SELECT mol, node, min(far) AS label FROM reach GROUP BY ALL) GROUP BY mol),
+e AS (SELECT mol, count(*) AS n_edges FROM bonds GROUP BY mol)
+SELECT mol, n_nodes, coalesce(n_edges, 0) AS n_edges, n_components, coalesce(n_edges, 0) - n_nodes + n_components AS n_cycles FROM n LEFT JOIN e USING (mol)"""
+
+
+def _pruned(rounds: int = 7) -> str:
+    """core0, core1, ...: bonds whose ends both have another bond, again and again; more often than six atoms need."""
+    step = lambda k: f"inner{k} AS (SELECT mol, node FROM (SELECT mol, a AS node FROM core{k} UNION ALL SELECT mol, b FROM core{k}) GROUP BY ALL HAVING count(*) > 1), core{k + 1} AS (SELECT c.* FROM core{k} c JOIN inner{k} x ON x.mol = c.mol AND x.node = c.a JOIN inner{k} y ON y.mol = c.mol AND y.node = c.b)"
+    return "core0 AS (SELECT * FROM bonds), " + ", ".join(map(step, range(rounds))) + f", inside AS (SELECT mol, a AS node FROM core{rounds} UNION SELECT mol, b FROM core{rounds}), scaffold AS (SELECT * FROM core{rounds} UNION SELECT b.* FROM bonds b WHERE kind = 2 AND ((mol, a) IN (SELECT (mol, node) FROM inside) OR (mol, b) IN (SELECT (mol, node) FROM inside)))"
+
+
+def _coloured(edges: str, radius: int) -> str:
+    """colour0, colour1, ...: of each atom a digest of its own colour and of those beside it."""
+    step = lambda r: f"colour{r} AS (SELECT c.mol, c.atom, md5(c.colour || '[' || coalesce(string_agg(l.kind || ':' || d.colour, ',' ORDER BY l.kind, d.colour), '') || ']') AS colour FROM colour{r - 1} c LEFT JOIN {edges} l ON l.mol = c.mol AND l.node = c.atom LEFT JOIN colour{r - 1} d ON d.mol = l.mol AND d.atom = l.other GROUP BY c.mol, c.atom, c.colour)"
+    return ", ".join(map(step, range(1, radius + 1)))
+
+
+SQL["scaffold_bonds"] = f"WITH {_MOLECULES}, {_pruned()} SELECT mol, a, b, kind FROM scaffold"
+SQL["scaffold_groups"] = f"""WITH {_MOLECULES}, {_pruned()}, held AS (SELECT mol, a AS node, b AS other, kind FROM scaffold UNION ALL SELECT mol, b, a, kind FROM scaffold),
+colour0 AS (SELECT DISTINCT a.mol, a.atom, a.element AS colour FROM atoms a JOIN held h ON h.mol = a.mol AND h.node = a.atom), {_coloured("held", 4)},
+keys AS (SELECT mol, coalesce(k, '') AS k FROM (SELECT DISTINCT mol FROM atoms) LEFT JOIN (SELECT mol, string_agg(colour, ',' ORDER BY colour) AS k FROM colour4 GROUP BY mol) USING (mol))
+SELECT mol, min(mol) OVER (PARTITION BY k) AS first_mol, count(*) OVER (PARTITION BY k) AS n, k = '' AS no_ring FROM keys"""
+SQL["atom_surroundings"] = f"""WITH {_MOLECULES}, colour0 AS (SELECT mol, atom, element AS colour FROM atoms), {_coloured("links", 3)}
+{" UNION ALL ".join(f"SELECT mol, {r} AS radius, count(DISTINCT colour) AS kinds FROM colour{r} GROUP BY mol" for r in range(4))}"""
+SQL["molecule_records"] = f"""WITH {_MOLECULES},
+x AS (SELECT mol, count(*) AS n_atoms, count(*) FILTER (element = 'C') AS n_carbon, round(sum(atom / 4.0::DOUBLE), 6) AS sum_x, round(sum(-(atom / 2.0::DOUBLE)), 6) AS sum_y FROM atoms GROUP BY mol),
+y AS (SELECT mol, count(*) AS n_bonds, CAST(sum(a * 100 + b * 10 + kind) AS BIGINT) AS bond_sum FROM bonds GROUP BY mol)
+SELECT x.*, n_bonds, bond_sum FROM x LEFT JOIN y USING (mol)"""

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftstone.functions import cleaning, reporting, scoring, similarity, text_results
-from siftstone.operators import clean, docking, fragments, frames, linear, ranking, stats, tokens
+from siftstone.operators import clean, docking, fragments, frames, graphs, linear, molecules, ranking, stats, tokens
 from siftstone.operators import similarity as search
+from siftstone.operators.vector_index import VectorIndex
 from siftstone.plans.lineage import shared_folder
 from siftstone.plans.oracle import LINE, PART
 from siftstone.sources import tables
@@ -329,6 +330,50 @@ def prepared_receptors(spark, sf_dir):
     return docking.prepare_receptors(read(spark, sf_dir, "supplier").select("s_suppkey", text.alias("value")))
 
 
+def _molecules(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Orders as molecules: their lines are bonds between six atoms."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mol"), (F.col("l_partkey") % 6 + 1).cast("int").alias("a"), (F.col("l_suppkey") * 7 % 6 + F.col("l_linenumber") % 3 + 1).cast("int").alias("b"), (F.col("l_linenumber") % 3 + 1).alias("kind"))
+    bonds = lines.filter("a <> b").groupBy("mol", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("kind").cast("int").alias("kind"))
+    atoms = graphs.both_ways(lines, ["mol"]).select("mol", F.col("node").alias("atom")).distinct()
+    return atoms.withColumns({"element": F.element_at(F.array(*map(F.lit, "CNOS")), F.col("atom") % 4 + 1), "x": F.col("atom") / 4, "y": -(F.col("atom") / 2), "z": F.lit(0.5)}), bonds
+
+
+@query
+def ring_counts(spark, sf_dir):
+    return molecules.ring_counts(*_molecules(spark, sf_dir))
+
+
+@query
+def scaffold_bonds(spark, sf_dir):
+    return molecules.scaffold_bonds(_molecules(spark, sf_dir)[1])
+
+
+@query
+def scaffold_groups(spark, sf_dir):
+    keys = molecules.scaffold_keys(*_molecules(spark, sf_dir))
+    first = keys.groupBy("scaffold").agg(F.min("mol").alias("first_mol"), F.count("*").alias("n"))
+    return keys.join(first, "scaffold").select("mol", "first_mol", "n", (F.col("scaffold") == "").alias("no_ring"))
+
+
+@query
+def atom_surroundings(spark, sf_dir):
+    atoms, bonds = _molecules(spark, sf_dir)
+    found = graphs.surroundings(atoms, bonds, ["mol"], F.col("element"), 3, "atom", kind="kind")
+    return found.groupBy("mol", "radius").agg(F.count_distinct("hash").alias("kinds"))
+
+
+@query
+def molecule_records(spark, sf_dir):
+    path = _scratch(spark, "molecules")
+    atoms, bonds = _molecules(spark, sf_dir)
+    texts = molecules.format_records(atoms.select("mol").distinct().withColumn("name", F.col("mol").cast("string")), atoms, bonds, "mol", "name")
+    tables.write_lines(texts.select(F.concat("value", F.lit("\n>  <ID>\n"), F.col("mol").cast("string"), F.lit("\n\n$$$$")).alias("value")), "value", path)
+    parsed = molecules.parse_records(tables.read_records(spark, path)).withColumn("mol", F.element_at("fields", "ID").cast("long"))
+    a = molecules.atom_rows(parsed, "mol").groupBy("mol").agg(F.count("*").alias("n_atoms"), F.count_if(F.col("element") == "C").alias("n_carbon"), r6(F.sum("x")).alias("sum_x"), r6(F.sum("y")).alias("sum_y"))
+    b = molecules.bond_rows(parsed, "mol").groupBy("mol").agg(F.count("*").alias("n_bonds"), F.sum(F.col("a") * 100 + F.col("b") * 10 + F.col("kind")).alias("bond_sum"))
+    return a.join(b, "mol", "left")
+
+
 @query
 def columns_side_by_side(spark, sf_dir):
     nations, regions = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
@@ -384,6 +429,12 @@ def cosine_nearest_whole(spark, sf_dir):
     return search.nearest(x.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), x.withColumnRenamed("vec_id", "row_id"), "query_id", "row_id", "embedding", skip_same=True)
 
 
+@query
+def cosine_nearest_index(spark, sf_dir):
+    x = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return VectorIndex.build(x, "vec_id", "embedding").search(x.filter("vec_id % 50 = 0"), "vec_id", "embedding", exact=True, skip_same=True)
+
+
 @query
 def novelty_filter_whole(spark, sf_dir):
     x = _bits(spark, sf_dir)
