@@ -29,6 +29,8 @@ SPAN, SHARE = 12, 0.8
 BLOCK_TOKENS = 2_000_000
 _SEPARATORS = bytes.maketrans(bytes(range(128)), bytes(c if chr(c).isalnum() else 32 for c in range(128)))
 _FILTER_BITS = 22
+#: A seed equal to the one so many places before it continues a run; hits are expanded so many at a time.
+_LAGS, _HITS = 8, 1 << 20
 _MEMO = 1 << 20
 
 
@@ -60,6 +62,14 @@ def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def repeats(seeds: np.ndarray) -> np.ndarray:
+    """For each seed a number whose bit p - 1 is set if the seed p places before it is the same, for p up to _LAGS."""
+    out = np.zeros(len(seeds), np.int64)
+    for p in range(1, min(_LAGS, len(seeds) - 1) + 1):
+        out[p:] |= (seeds[p:] == seeds[:-p]).astype(np.int64) << (p - 1)
+    return out
+
+
 @cache
 def short_masks(n: int, masks: tuple[str, ...] = MASKS, span: int = SPAN, share: float = SHARE) -> tuple[str, ...]:
     """Masks of n tokens for an item of n < span tokens, one for each choice of allowed substitutions that leaves no seed of masks in full."""
@@ -70,6 +80,12 @@ def short_masks(n: int, masks: tuple[str, ...] = MASKS, span: int = SPAN, share:
     return tuple("".join("0" if i in gone else "1" for i in range(n)) for gone in lost)
 
 
+def _ranges(of: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """of[k] and each number from low[k] to high[k], one after the other."""
+    n = high - low
+    return np.repeat(of, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class ItemIndex:
     """Seeds of a bounded block of items. Items with equal tokens are one, named by the smallest id; items without tokens are left out."""
 
@@ -83,33 +99,50 @@ class ItemIndex:
         self.masks = masks
         extra = lambda n: short_masks(n, masks, span, share)
         self.all_masks = list(masks) + [m for n in sorted({len(t) for t in self.tokens}) for m in extra(n)]
-        hashes, items_at, places = [], [], []
+        hashes, items_at, places, lags = [], [], [], []
         for number, t in enumerate(self.tokens):
             for mask in masks + extra(len(t)):
                 found = seed_hashes(t, mask)
                 hashes.append(found)
                 items_at.append(np.full(len(found), number))
                 places.append(np.arange(len(found)))
+                lags.append(repeats(found))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-        hashes = join(hashes, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.items, self.places = hashes[order], join(items_at, np.int64)[order], join(places, np.int64)[order]
+        hashes, lags = join(hashes, np.uint64), join(lags, np.int64)
+        order = np.lexsort((lags, hashes))
+        self.items, self.places = join(items_at, np.int64)[order], join(places, np.int64)[order]
+        hashes, lags = hashes[order], lags[order]
+        # groups of entries that have the same seed and the same repeats
+        first = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (lags[1:] != lags[:-1])]) if len(hashes) else np.empty(0, np.int64)
+        self.hashes, self.lags = hashes[first], lags[first]
+        self.starts = np.r_[first, len(hashes)]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def candidates(self, doc: np.ndarray) -> set[tuple[int, int]]:
-        """(item, shift) of every seed hit: token i of the item stands beside token i + shift of the document."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, doc: np.ndarray) -> list[tuple[int, int]]:
+        """(item, shift) of every seed hit: token i of the item stands beside token i + shift of the document.
+
+        Where both the document and the item repeat the seed they have p places before, the hit there
+        has the same shift, so this one is not expanded: two texts of one word each meet in as many
+        hits as they have words, not in their product. The others are expanded a bounded number at a time.
+        """
+        found = [np.empty(0, np.int64)]
         for mask in self.all_masks:
             seeds = seed_hashes(doc, mask)
             at = np.flatnonzero(self.filter[(seeds >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             if not len(at):
                 continue
             low, high = (np.searchsorted(self.hashes, seeds[at], side=side) for side in ("left", "right"))
-            n = high - low
-            hit = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.update(zip(self.items[hit].tolist(), (np.repeat(at, n) - self.places[hit]).tolist()))
-        return found
+            place, group = _ranges(at, low, high)
+            fresh = (repeats(seeds)[place] & self.lags[group]) == 0
+            place, group = place[fresh], group[fresh]
+            ends = np.cumsum(self.starts[group + 1] - self.starts[group])
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(_HITS, ends[-1] if len(ends) else 0, _HITS), side="right"), len(group)])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                i, entry = _ranges(place[a:b], self.starts[group[a:b]], self.starts[group[a:b] + 1])
+                found.append(np.unique((self.items[entry] << 32) + (i - self.places[entry] + (1 << 31))))
+        keys = np.unique(np.concatenate(found))
+        return list(zip((keys >> 32).tolist(), ((keys & ((1 << 32) - 1)) - (1 << 31)).tolist()))
 
     def verify(self, doc: np.ndarray, item: int, shift: int, span: int, share: float) -> tuple[int, int, int] | None:
         """(first token in the document, tokens, equal tokens) of the aligned stretch whose runs pass, or None."""
@@ -156,20 +189,22 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col:
     """The number of blocks of items, and one after the other a maker of a LeakFinder for each.
 
     A block has about block_tokens tokens, however large the table: its size is summed up before, and
-    one block at a time is fetched. Items with equal tokens are in one block.
+    one block at a time is fetched. Items with equal tokens are one row of it, under their smallest id,
+    and those without tokens are left out, so repeated items make no block larger.
     """
     size = F.coalesce(F.octet_length(F.col(item_text_col)) / 2 + 1, F.lit(1))
     n_blocks = max(1, math.ceil((benchmark.agg(F.sum(size)).first()[0] or 0) / block_tokens))
 
     def deal(batches):
         for batch in batches:
-            keys = [_token_hash(b" ".join(tokens(x))) % n_blocks for x in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["item", "text", "block"])
+            plain = [b" ".join(tokens(x)) for x in text_bytes(batch.column(1))]
+            keys = [_token_hash(x) % n_blocks for x in plain]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.binary()).cast(pa.string()), pa.array(keys, pa.int64())], names=["item", "text", "block"])
 
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).mapInArrow(deal, "item long, text string, block long")
 
     def fetch(number: int):
-        rows = items.filter(F.col("block") == number).select("item", "text").collect()
+        rows = items.filter((F.col("block") == number) & (F.col("text") != "")).groupBy("text").agg(F.min("item").alias("item")).select("item", "text").collect()
         texts = [(t or "").encode() for _, t in rows]
         packed = pack(b"".join(texts)), pack(np.array([len(t) for t in texts], np.int64)), pack(np.array([NO_ID if i is None else i for i, _ in rows], np.int64))
 

@@ -83,3 +83,31 @@ def test_blocks_of_items_change_nothing(spark):
     docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     whole = sorted(map(str, find_leaks(docs, bench).collect()))
     assert sorted(map(str, find_leaks(docs, bench, block_tokens=60).collect())) == whole and any("contaminated=True, n_items=2" in r for r in whole)
+
+
+def test_repetitive_texts_match_brute_force_in_time_in_proportion():
+    import time
+
+    rng = np.random.default_rng(9)
+    texts = [["a"] * 60, ["a", "b"] * 30, ["a", "b", "c"] * 20, ["a"] * 30 + ["b"] * 30, list("ab" * 10) + ["a"] * 20 + list("abc" * 8), ["x", *["a"] * 13, "y"], list("abcdefghi" * 6)]
+    texts += [list(rng.choice(list("ab"), 40)) for _ in range(6)] + [list(rng.choice(list("abc"), 25)) for _ in range(6)]
+    items = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    find = LeakFinder([(i, t.encode()) for i, t in items], SPAN, 0.8)
+    docs = [(i, " ".join(["z"] * int(rng.integers(0, 4)) + t + list(rng.choice(list("abz"), 30)))) for i, t in enumerate(texts)]
+    want = brute(docs, items)
+    for i, text in docs:
+        assert find(text.encode())[0] == len({items[k][1] for k in want[i]}), i
+    find = LeakFinder([(1, b"word " * 500), (2, b"a b " * 250)], SPAN, 0.8)
+    began = time.time()
+    assert find(b"word " * 50_000)[:2] == (1, 1) and find(b"a b " * 25_000)[:2] == (1, 2)
+    assert time.time() - began < 30
+    for n in (2000, 20000):
+        hits = find.index.candidates(np.full(n, find.index.tokens[0][0]))
+        assert len(hits) <= n + 500
+
+
+def test_repeated_items_are_one(spark):
+    items = [(i, "The same, question here today!") for i in range(500, 0, -1)] + [(None, "the same question here today"), (0, "..."), (7, "another short question of six words")]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(7)
+    docs = spark.createDataFrame([(1, "was it the same question here today"), (2, "another short question of six words")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_items, r.item_id) for r in find_leaks(docs, bench).collect()} == {1: (1, 1), 2: (1, 7)}
