@@ -70,3 +70,22 @@ def test_a_large_group_of_near_copies(spark):
     want, _ = brute(rows)
     got = {r.node: r.component for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == linked(want)
+
+
+def test_texts_that_share_a_line_and_are_no_copies_make_no_pairs(spark):
+    """The pairs looked at grow with the texts, whether the line is rarer than the texts' own words or not."""
+    from siftstone.llm import near_copies as module
+
+    line, made = [f"c{i}" for i in range(40)], {}
+    for own in ("rare", "common"):
+        for n in (200, 400):
+            words = (lambda i, k: f"o{i}-{k}") if own == "rare" else (lambda i, k: f"o{(i * 7 + k * k * 13) % 60}")
+            rows = [(i, " ".join(line + [words(i, k) for k in range(8)])) for i in range(n)]
+            docs = spark.createDataFrame(rows, "node long, text string")
+            members = module._keys(docs, 5, 0.8).withColumn("label", module.F.col("node")).repartition("key").sortWithinPartitions("key", "node")
+            made[own, n] = module._rest(members, 0.8).count()
+            if own == "common" and n == 200:
+                want, _ = brute(rows)
+                assert {r.node: r.component for r in near_copies(docs.withColumnRenamed("node", "doc_id")).collect()} == linked(want)
+    assert made["rare", 200] == made["rare", 400] == 0
+    assert made["common", 400] < 0.1 * 400 * 399 / 2
