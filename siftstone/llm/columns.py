@@ -39,6 +39,14 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many underscores behind it as make it none of those taken (upper and lower case count as one)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -117,8 +125,8 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if ids:
             yield emit()
 
-    others = [F.col(c) for c in docs.columns if c != text_col] if carry else []
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *others)
+    others = [c for c in docs.columns if c != text_col] if carry else []
+    rows = docs.select(F.col(id_col).cast("long").alias(free_name("__id", others)), F.col(text_col).cast("string").alias(free_name("__text", others)), *others)
     if then is not None:
         return rows.mapInArrow(lambda batches: then(make(batches)), schema)
     return rows.mapInArrow(make, "chunk_id long, n_docs long, ids binary, lens binary, texts binary, rest binary")

@@ -130,3 +130,14 @@ def test_characters_that_lose_a_byte_go_as_a_whole(spark):
     rows = [(1, f"begin ©{middle}é end"), (2, f"other é{middle}è rest"), (3, f"ê{middle}ê")]
     texts = {r.doc_id: r.text for r in remove_repeats(frame(spark, rows)).collect()}
     assert texts == {1: rows[0][1], 2: "other  rest", 3: "ê"}
+
+
+def test_columns_named_as_the_operator_names_its_own(spark):
+    from siftstone.llm.suffix_dedup import remove_repeats
+
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, 9, "x", f"one {passage}"), (2, 8, None, f"two {passage}"), (3, 7, "z", None)], "doc_id long, __id long, __text string, text string")
+    out = {r.doc_id: r for r in remove_repeats(docs).collect()}
+    assert remove_repeats(docs).columns == docs.columns
+    assert {i: (r["__id"], r["__text"]) for i, r in out.items()} == {1: (9, "x"), 2: (8, None), 3: (7, "z")}
+    assert out[1].text == f"one {passage}" and out[2].text.startswith("two") and passage not in out[2].text
