@@ -53,7 +53,7 @@ def _target(url: Column, href: Column) -> Column:
     """The absolute url of a link on a page; null if it has another scheme without // or is relative on a url without ://.
 
     Relative links are resolved against the page's url: a query against its path, other ones against
-    the directory of it; . and .. are resolved in the path of a relative link. A base element is not looked at.
+    the directory of it; . and .. are resolved in the path of a relative link.
     """
     href = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
     path, tail = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
@@ -71,14 +71,60 @@ def _target(url: Column, href: Column) -> Column:
     )
 
 
+def _resolved(url: Column, href: Column) -> Column:
+    """The target, both columns being looked at once however often the rules above name them."""
+    return F.element_at(F.transform(F.array(F.named_struct(F.lit("url"), url, F.lit("href"), href)), lambda v: _target(v["url"], v["href"])), 1)
+
+
+#: Comments, and elements whose content is no markup, each with all it holds; one without an end goes on to the end of the page.
+_NO_MARKUP = r"""(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|xmp|iframe|noframes)(?=[\s/>])(?:[^>"']|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\z)|\z)"""
+#: Tags that can name another url; a > in a quoted value is no end.
+_TAGS = r"""(?is)<(?:link|meta|base)(?=[\s/>])(?:[^>"']|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"""
+_ATTRIBUTES = r"""(?s)[^\s"'>/=][^\s>/=]*+(?:\s*+=\s*+(?:"[^"]*+"?|'[^']*+'?|[^\s"'>][^\s>]*+))?"""
+
+
+def _attributes(tag: Column) -> Column:
+    """The attributes of a tag in order, as an array of name (in lower case) and value (without its quotes; empty if there is none)."""
+    texts = F.regexp_extract_all(F.regexp_replace(tag, r"^<\w+", ""), F.lit(_ATTRIBUTES), F.lit(0))
+
+    def one(text: Column) -> Column:
+        raw = F.regexp_extract(text, r"(?s)^[^\s=]+\s*=\s*(.*)$", 1)
+        value = F.regexp_replace(raw, r"""(?s)^(["'])(.*?)\1?$""", "$2")
+        return F.struct(F.lower(F.regexp_extract(text, r"^[^\s=]+", 0)).alias("name"), value.alias("value"))
+
+    return F.transform(texts, one)
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """The first value of an attribute, or null."""
+    return F.get(F.filter(attributes, lambda a: a["name"] == name), F.lit(0))["value"]
+
+
+def _refresh_target(content: Column) -> Column:
+    """What a refresh goes to: behind its seconds, with url= or without, in quotes or not; null if it stays."""
+    rest = F.regexp_extract(content, r"(?is)^\s*[0-9.]+(?:\s*[;,]|\s)\s*(?:url\s*=\s*)?(.*)$", 1)
+    quoted = F.regexp_extract(rest, r"""(?s)^(["'])(.*?)(?:\1.*)?$""", 2)
+    return F.nullif(F.when(rest.rlike("""^["']"""), quoted).otherwise(rest), F.lit(""))
+
+
 def html_edges(pages: DataFrame) -> DataFrame:
-    """src and dst urls of canonical links and of refresh redirects in the html of pages (url, html)."""
-    tags = F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    tag = F.col("tag")
-    canonical = F.when(tag.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.when(tag.rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    found = pages.filter("html is not null and url is not null").select("url", F.explode(tags).alias("tag")).select("url", F.coalesce(canonical, refresh).alias("href"))
-    return found.filter("href <> ''").select(F.col("url").alias("src"), _target(F.col("url"), F.col("href")).alias("dst")).filter("dst is not null")
+    """src and dst urls of canonical links and of refresh redirects in the html of pages (url, html).
+
+    Tags count as a browser reads them: not in comments and scripts, attributes by their whole names (the
+    first of a name), canonical as one of the words of rel, a refresh with url= or without. Relative links
+    are resolved against the page's first base element with an href, if it has one, and its url.
+    """
+    known = pages.filter("html is not null and url is not null").filter(F.col("html").rlike(r"(?i)<(?:link|meta)[\s/]"))
+    tags = F.regexp_extract_all(F.regexp_replace("html", _NO_MARKUP, ""), F.lit(_TAGS), F.lit(0))
+    read = F.transform(tags, lambda t: F.struct(F.lower(F.regexp_extract(t, r"^<(\w+)", 1)).alias("kind"), _attributes(t).alias("a")))
+    bases = F.filter("read", lambda t: (t["kind"] == "base") & _value(t["a"], "href").isNotNull())
+    base = _value(F.get(bases, F.lit(0))["a"], "href")
+    rows = known.select("url", read.alias("read")).select("url", F.coalesce(_resolved(F.col("url"), base), F.col("url")).alias("base"), F.explode("read").alias("tag"))
+    a, kind = F.col("tag.a"), F.col("tag.kind")
+    canonical = F.when((kind == "link") & F.array_contains(F.split(F.lower(F.coalesce(_value(a, "rel"), F.lit(""))), r"\s+"), "canonical"), _value(a, "href"))
+    refresh = F.when((kind == "meta") & (F.lower(F.trim(_value(a, "http-equiv"))) == "refresh"), _refresh_target(_value(a, "content")))
+    found = rows.select("url", "base", F.trim(F.regexp_replace(F.coalesce(canonical, refresh), r"[\t\r\n]", "")).alias("href")).filter("href <> ''")
+    return found.select(F.col("url").alias("src"), F.when(F.col("href").startswith("#"), F.col("url")).otherwise(_resolved(F.col("base"), F.col("href"))).alias("dst")).filter("dst is not null")
 
 
 def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:

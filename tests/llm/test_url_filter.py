@@ -88,3 +88,49 @@ def test_random_alias_graphs_match_brute_force(spark):
             others = said.get(group.get(node(u)), set())
             want[i] = own(u) or ("block" if "block" in others and "allow" not in others else "allow")
         assert {i: v[3] for i, v in judged(spark, urls, redirects, html).items()} == want
+
+
+def test_tags_as_a_browser_reads_them(spark):
+    target = "http://c.org/es/1"
+    good = [
+        f'<link data-rel="canonical" rel="next" href="{target}">', f'<!-- <link rel="canonical" href="{target}"> -->', f"<script>var x = '<link rel=\"canonical\" href=\"{target}\">';</script>", f'<link rel="canonical" data-href="{target}" href="/fr/2">',
+        f'<link rel="alternate" title="rel=canonical" href="{target}">', f"<title><link rel=canonical href={target}></title>", f'<meta name="refresh" content="0; url={target}">', f'<link rel="canonicals" href="{target}">', f'<links rel="canonical" href="{target}">',
+        f'<link rel="canonical" href="/fr/2" href="{target}">', "<meta http-equiv=refresh content=30>", f'<!-- open <link rel="canonical" href="{target}">', f"<p>&lt;link rel=canonical href={target}&gt;</p>", "<link rel=canonical>",
+    ]
+    bad = [
+        f'<link rel="alternate canonical" href="{target}">', f'<link title="a > b" rel="canonical" href="{target}">', f'<meta http-equiv="refresh" content="0; {target}">', f'<link rel="canonical" href=" {target} ">', '<base href="http://c.org/es/"><link rel="canonical" href="1">',
+        f'<LINK\nREL = canonical\nHREF = {target} />', f"<link href='{target}' rel='CANONICAL'>", f"<meta content='3;URL=\"{target}\" x' http-equiv=Refresh>", f'<script src="x"></script><!-- a --><link rel="canonical" href="{target}">', f'<meta http-equiv="refresh" content="0,url={target}">',
+        f'<style>a > b {{}}</style><link itemprop=url rel=canonical href="{target}"><!--', '<link rel="canonical" href="x/../1"><base target=_top><base href="//c.org/es/0"><base href="/fr/">', f'<link/rel="canonical"/href="{target}">', f'<link rel="canonical" href="http://c.org/es/\n1">',
+    ]
+    rows = good + bad
+    urls = [f"http://p{i}.org/fr/1" for i in range(len(rows))]
+    found = judged(spark, urls, None, dict(enumerate(rows)))
+    assert [i for i in range(len(rows)) if (found[i][3] == "block") != (i >= len(good))] == []
+
+
+def test_long_odd_pages_take_time_in_proportion(spark):
+    import time
+
+    n = 200_000
+    html = {0: "<link " * n, 1: '<link "' * n, 2: "<!--" * n, 3: "<script>" * n, 4: "<link rel='canonical' " + "a=b " * n + "href='http://c.org/es/1'>", 5: "<" * n, 6: "<link rel=canonical href=" + "x" * n + ">", 7: "<meta http-equiv=refresh content='" + "0" * n}
+    began = time.time()
+    found = judged(spark, [f"http://p{i}.org/fr/1" for i in range(len(html))], None, html)
+    assert time.time() - began < 60
+    assert [found[i][3] for i in range(len(html))] == ["allow"] * 4 + ["block"] + ["allow"] * 3
+
+
+def test_a_table_of_pages_with_links(spark):
+    """Chains of canonical links and refreshes that end at pages with and without a rule."""
+    rng, html, urls, want = random.Random(3), {}, [], {}
+    ends = {"http://c.org/es/1": "block", "http://example.com/en/7": "allow", "http://c.org/fr/1": "allow", "http://x.com/en/2": "block"}
+    for chain in range(60):
+        end = rng.choice(list(ends))
+        names = [f"http://h{chain}.info/{k}" for k in range(rng.randint(1, 5))] + [end]
+        for here, there in zip(names, names[1:]):
+            i = len(urls)
+            urls.append(here)
+            html[i] = rng.choice(['<head><link rel="canonical" href="{}"></head>', "<meta http-equiv=refresh content='0; url={}'>", '<base href="http://odd.org/"><link rel="x canonical" href="{}">']).format(there)
+            want[i] = ends[end]
+    # all chains with one end are one component, so what its end says holds for each
+    found = judged(spark, urls, None, html)
+    assert {i: v[3] for i, v in found.items()} == want
