@@ -112,7 +112,7 @@ def _tiers(*tiers: tuple[Column, float]) -> Column:
 
 def barrier_rules(tpsa: Column, logp: Column, molwt: Column, hbd: Column, hba: Column, rotb: Column) -> Column:
     """Points for permeability from 0 to 1, by tiers on five groups of properties."""
-    egan = _tiers(((tpsa <= 132) & (logp <= 5.9), 0.4), ((tpsa <= 140) & (logp <= 5.9), 0.3), ((tpsa <= 150) & (logp <= 6), 0.2))
+    egan = _tiers(((tpsa <= 132) & (logp <= 5.9), 0.4), ((tpsa <= 140) & (logp <= 5.0), 0.3), ((tpsa <= 150) & (logp <= 4.0), 0.2))
     veber = _tiers(((rotb <= 10) & (tpsa <= 140), 0.2))
     weight = _tiers(((molwt >= 150) & (molwt <= 500), 0.2), ((molwt >= 100) & (molwt <= 600), 0.1))
     bonds = _tiers(((hbd <= 3) & (hba <= 7), 0.1), ((hbd <= 5) & (hba <= 10), 0.05))
@@ -135,17 +135,16 @@ def generation_score(potency: Column, qed: Column, difficulty: Column, barrier:
     return F.coalesce(activity * 0.35 + qed * 0.20 + ease_score(difficulty) * 0.15 + barrier * 0.25 + selectivity * 0.05, F.lit(0.0))
 
 
-def difficulty_by_groups(atoms: Column, rings: Column, rotb: Column, spiro: Column, bridges: Column, stereo: Column, hetero: Column, groups: Column) -> Column:
-    """Difficulty of a synthesis from 1 to 10 by counts; 5 for a row that lacks one."""
+def difficulty_by_groups(atoms: Column, rings: Column, large_rings: Column, rotb: Column, spiro: Column, bridges: Column, stereo: Column, hetero: Column, groups: Column) -> Column:
+    """Difficulty of a synthesis from 1 to 10 by counts; 5 for a row that lacks one. large_rings: those of more than six atoms."""
     size = _tiers((atoms > 50, 2.0), (atoms > 30, 1.5), (atoms > 20, 1.0))
-    many_rings = F.when(rings > 6, rings * 0.8).otherwise(F.lit(0.0))
-    total = size + rings * 0.5 + many_rings + rotb * 0.3 + spiro * 1.0 + bridges * 0.8 + stereo * 0.4 + hetero * 0.2 + groups * 0.3
+    total = F.lit(1.0) + size + rings * 0.5 + large_rings * 0.8 + rotb * 0.3 + spiro * 1.0 + bridges * 0.8 + stereo * 0.4 + hetero * 0.2 + groups * 0.3
     return F.coalesce(clamp(total, 1.0, 10.0), F.lit(5.0))
 
 
 def difficulty_by_share(atoms: Column, rings: Column, hetero: Column, stereo: Column, aromatic: Column) -> Column:
     """Difficulty from 1 to 6 by counts; 10 for a row that lacks one."""
-    total = F.lit(1.5) + rings * 0.4 + hetero * 0.3 / F.greatest(F.lit(1), atoms) + stereo * 0.5 + aromatic * 0.2 + F.when(atoms > 30, 1.0).otherwise(0.0)
+    total = F.lit(1.5) + rings * 0.4 + hetero * 0.3 / F.greatest(F.lit(1), atoms) + stereo * 0.5 + aromatic * 0.2 + F.when(atoms > 30, (atoms - 30) * 0.1 / 10).otherwise(0.0)
     return F.coalesce(clamp(total, 1.0, 6.0), F.lit(10.0))
 
 

@@ -25,9 +25,15 @@ def table_score(text: Column) -> Column:
     return _first(text, r"(?m)^\s*1\s+(-?\d+\.\d+)")
 
 
+def log_score(text: Column) -> Column:
+    """The score of the first mode in a log: the second word of the first line that begins with 1 and a space and has a number there, whole or not."""
+    words = F.regexp_extract_all(text, F.lit(r"(?m)^[^\S\n]*1 [^\S\n]*(\S+)"), F.lit(1))
+    return F.get(F.filter(F.transform(words, lambda w: w.try_cast("double")), lambda v: v.isNotNull()), F.lit(0))
+
+
 def cascade_score(log: Column, stdout: Column, output: Column) -> Column:
     """The first score that the log, the standard output or the output file gives."""
-    return F.coalesce(table_score(log), table_score(stdout), result_score(output))
+    return F.coalesce(log_score(log), table_score(stdout), result_score(output))
 
 
 def word_number(line: Column, k: int) -> Column:
@@ -50,7 +56,7 @@ def atom_fields(line: Column) -> list[Column]:
 
 
 def single_root(text: Column) -> Column:
-    """A text with more than one ROOT line is cut after its first ENDROOT line; one without TORSDOF gets a line of it."""
+    """A text with more than one ROOT line is cut after its first ENDROOT line; one without TORSDOF gets a line of it, always at its end (also behind an ENDROOT, and where several ROOT lines have no ENDROOT)."""
     lines = F.split(text, "\n")
     roots = F.size(F.filter(lines, lambda x: F.trim(x) == "ROOT"))
     end = F.array_position(F.transform(lines, F.trim), "ENDROOT").cast("int")
@@ -63,6 +69,15 @@ def clean_receptor(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: F.trim(F.substring(x, 1, 6)).isin(*KEPT_TAGS)), "\n")
 
 
+#: Tags of what is left of a structure when only standard residues are kept (fixed values).
+STANDARD_TAGS = ("ATOM", "TER", "MODEL", "ENDMDL", "END")
+
+
+def standard_residues(text: Column) -> Column:
+    """Only atoms of standard residues, and the lines that part chains and models: water, ligands and other hetero atoms go."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: F.trim(F.substring(x, 1, 6)).isin(*STANDARD_TAGS)), "\n")
+
+
 def file_stem(path: Column, *suffixes: str) -> Column:
     """The name of a file without folder, extension and one of the suffixes."""
     stem = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.functions.text_results import atom_fields, clean_receptor, file_stem, has_atoms, line_tag, result_score, single_root
+from siftstone.functions.text_results import atom_fields, clean_receptor, file_stem, has_atoms, line_tag, result_score, single_root, standard_residues
 
 
 def parse_results(files: DataFrame, path: str = "path", text: str = "value") -> DataFrame:
@@ -29,8 +29,9 @@ def prepare_ligands(files: DataFrame, text: str = "value") -> DataFrame:
     return files.filter(has_atoms(F.col(text))).withColumn(text, single_root(F.col(text)))
 
 
-def prepare_receptors(files: DataFrame, text: str = "value") -> DataFrame:
-    return files.withColumn(text, clean_receptor(F.col(text)))
+def prepare_receptors(files: DataFrame, text: str = "value", standard_only: bool = False) -> DataFrame:
+    """Files with only the lines that a receptor keeps; standard_only: without hetero atoms."""
+    return files.withColumn(text, (standard_residues if standard_only else clean_receptor)(F.col(text)))
 
 
 def join_scores(ids: DataFrame, scores: DataFrame, key: str = "id_ligand") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.functions.reporting import colour, number_text
+from siftstone.functions.reporting import colour, number_text, parameter_colour
 from siftstone.functions.scoring import COMPONENTS, REQUIRED, Desirability, weighted_geometric_mean
 from siftstone.operators.clean import present
 
@@ -38,7 +38,14 @@ def breakdown(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return df.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("component"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select(key, "x.*")
 
 
-def parameter_table(df: DataFrame, key: str, rows: Sequence[tuple[str, int | None, float, float, bool]]) -> DataFrame:
-    """Long form: key, parameter, text and colour. rows: column, places, good edge, bad edge, and whether small is good."""
+def parameter_table(df: DataFrame, key: str, rows: dict[str, int | None] | Sequence[tuple[str, int | None, float, float, bool]]) -> DataFrame:
+    """Long form: key, parameter, text and colour.
+
+    rows: places by column, coloured by the parameters' own ranges; or column, places, good edge, bad edge,
+    and whether small is good.
+    """
+    if isinstance(rows, dict):
+        cells = [F.struct(F.lit(c).alias("parameter"), number_text(F.col(c), p).alias("text"), parameter_colour(F.col(c), c).alias("colour")) for c, p in rows.items()]
+        return df.select(key, F.explode(F.array(*cells)).alias("x")).select(key, "x.*")
     cells = [F.struct(F.lit(c).alias("parameter"), number_text(F.col(c), p).alias("text"), colour(F.col(c), good, bad, down).alias("colour")) for c, p, good, bad, down in rows]
     return df.select(key, F.explode(F.array(*cells)).alias("x")).select(key, "x.*")

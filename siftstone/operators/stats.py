@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A bracket with so many rows or fewer is looked up in one exact aggregate.
 EXACT_ROWS = 200_000
+#: Columns whose correlations are one aggregate, at most; columns of a block, and rows of a matrix that are dealt together.
+MANY_COLUMNS, BLOCK_COLUMNS, STRIPE = 24, 512, 64
 
 
 def nth_value(df: DataFrame, column: str, k: int, exact_rows: int = EXACT_ROWS):
@@ -39,9 +45,44 @@ def nearest_quantile(df: DataFrame, column: str, q: float):
     return nth_value(df, column, int((n - 1) * q + 0.5)) if n else None
 
 
+def nearest_quantiles(df: DataFrame, column: str, shares: Sequence[float], exact_rows: int = EXACT_ROWS) -> list:
+    """The values whose places from 0 are floor((n - 1) * share + 0.5), all at once, exact; None without values.
+
+    One pass counts and sketches (mergeable, a fixed size), one counts what lies below and inside the
+    bracket that the sketch gives for each share, and one looks the values up in the brackets. A bracket
+    that misses its place or stays large is narrowed on its own by `nth_value`.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    sketch = F.expr("kll_sketch_agg_double(CASE WHEN isnan(v) THEN NULL ELSE v END, 4096)")
+    n, nan, found = rows.agg(F.count("*"), F.count_if(F.isnan("v")), sketch).first()
+    if not n:
+        return [None] * len(shares)
+    places = [int((n - 1) * q + 0.5) for q in shares]
+    if n <= exact_rows or nan:
+        return [nth_value(df, column, k, exact_rows) for k in places] if nan or len(shares) > 1000 else list(rows.agg(*(F.expr(f"percentile_disc({(k + 0.5) / n}D) WITHIN GROUP (ORDER BY v)") for k in places)).first())
+    ends = [min(1.0, max(0.0, (k + 0.5) / n + d)) for k in places for d in (-0.002, 0.002)]
+    spark = df.sparkSession
+    edges = spark.createDataFrame([(bytes(found),)], "s binary").select(*(F.expr(f"kll_sketch_get_quantile_double(s, {e!r}D)") for e in ends)).first()
+    brackets = [(low, high) for low, high in zip(edges[::2], edges[1::2])]
+    v = F.col("v")
+    counts = rows.agg(*(c for low, high in brackets for c in (F.count_if(v < low), F.count_if(v.between(low, high))))).first()
+    out, asked = [None] * len(places), []
+    for i, (k, (low, high), below, within) in enumerate(zip(places, brackets, counts[::2], counts[1::2])):
+        if not below <= k < below + within or low != high and within > exact_rows:
+            out[i] = nth_value(df, column, k, exact_rows)
+        elif low == high:
+            out[i] = low
+        else:
+            asked.append((i, F.expr(f"percentile_disc({(k - below + 0.5) / within}D) WITHIN GROUP (ORDER BY v) FILTER (WHERE v BETWEEN {low!r}D AND {high!r}D)")))
+    if asked:
+        for (i, _), value in zip(asked, rows.agg(*(c for _, c in asked)).first()):
+            out[i] = value
+    return out
+
+
 def quartile_fence(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
     """Rows within reach times the distance of the quartiles beyond them, edges included. The two quartiles are plain numbers in the filter, which a scan can use."""
-    low, high = nearest_quantile(df, column, 0.25), nearest_quantile(df, column, 0.75)
+    low, high = nearest_quantiles(df, column, [0.25, 0.75])
     if low is None:
         return df.limit(0)
     return df.filter(F.col(column).between(low - reach * (high - low), high + reach * (high - low)))
@@ -54,20 +95,105 @@ def _guarded_corr(a: Column, b: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column_a, column_b, corr of the upper triangle, in one pass. A null makes a column's correlations 0, as a NaN does."""
+    """column_a, column_b, corr of the upper triangle. A null makes a column's correlations 0, as a NaN does, and so does a constant column.
+
+    Few columns are one aggregate, more of them are sums of products by blocks of columns (`cross_correlations`).
+    """
+    if len(columns) > MANY_COLUMNS:
+        names, blocks = list(columns), [list(columns[i : i + BLOCK_COLUMNS]) for i in range(0, len(columns), BLOCK_COLUMNS)]
+        rows = [cross_correlations(df, a, b) for i, a in enumerate(blocks) for b in blocks[i:]]
+        place = lambda c: F.array_position(F.lit(names), F.col(c))
+        return reduce(DataFrame.union, rows).filter(place("column_a") < place("column_b"))
     wide = df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = wide.agg(*(_guarded_corr(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)))
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
 
 
-def select_uncorrelated(df: DataFrame, columns: Sequence[str], limit: float = 0.95) -> list[str]:
-    """Columns, in the order given, whose correlation with each one kept before is under limit in size. Columns with a null and constant ones stay."""
-    size = {frozenset((r.column_a, r.column_b)): abs(r["corr"]) for r in correlation_matrix(df, columns).collect()} if len(columns) > 1 else {}
+def _summed(df: DataFrame, *keys: str) -> DataFrame:
+    """stripe and sums: the arrays of float64 of equal keys added up, one after the other as they come."""
+
+    def add(batches):
+        now, total = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["stripe", "salt", "sums"])
+        for batch in batches:
+            for stripe, salt, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (stripe, salt if "salt" in keys else 0)
+                if key != now:
+                    if now is not None:
+                        yield row()
+                    now, total = key, np.zeros(len(sums) // 8)
+                total = total + np.frombuffer(sums)
+        if now is not None:
+            yield row()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, "stripe int, salt int, sums binary")
+
+
+def cross_correlations(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
+    """column_a, column_b and corr (Pearson; 0 for a constant column and one with a null or NaN) of each of left with each of right, in one pass over these columns.
+
+    A task adds up products of its rows as one matrix, left x right, which bounds its memory; matrices
+    are added up by stripes of STRIPE columns, first within 64 parts of the tasks. Values are taken
+    relative to the first row's, so sums of large numbers lose nothing and a constant column is exactly 0.
+    """
+    left, right = list(left), list(right)
+    both = list(dict.fromkeys(left + right))
+    numbers = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(both)))
+    first = numbers.limit(1).collect()
+    shift = np.array([0.0 if v is None or not np.isfinite(v) else v for v in first[0]]) if first else np.zeros(len(both))
+    at_a, at_b = ([both.index(c) for c in side] for side in (left, right))
+    stripes = range(0, len(left), STRIPE)
+
+    def products(batches):
+        from pyspark import TaskContext
+
+        n, cross, sums, squares = 0, np.zeros((len(left), len(right))), np.zeros(len(both)), np.zeros(len(both))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                x = np.column_stack([c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in part.columns]) - shift
+                n, sums, squares = n + len(x), sums + x.sum(axis=0), squares + (x * x).sum(axis=0)
+                cross += x[:, at_a].T @ x[:, at_b]
+        if n:
+            a, b = (np.stack([sums[at], squares[at]]) for at in (at_a, at_b))
+            values = [np.concatenate([cross[s : s + STRIPE].ravel(), a[:, s : s + STRIPE].ravel(), b.ravel(), [n]]).tobytes() for s in stripes]
+            salt = TaskContext.get().partitionId() % 64
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array([salt] * len(values), pa.int32()), pa.array(values, pa.binary())], names=["stripe", "salt", "sums"])
+
+    def correlations(batches):
+        for batch in batches:
+            for stripe, _, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                own, v = left[stripe * STRIPE : (stripe + 1) * STRIPE], np.frombuffer(sums)
+                n, p, q = v[-1], len(own), len(right)
+                cross, (sa, qa), (sb, qb) = v[: p * q].reshape(p, q) / n, v[p * q : p * q + 2 * p].reshape(2, p) / n, v[p * q + 2 * p : -1].reshape(2, q) / n
+                spread = np.sqrt(np.maximum(qa - sa * sa, 0))[:, None] * np.sqrt(np.maximum(qb - sb * sb, 0))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    corr = np.nan_to_num((cross - sa[:, None] * sb) / spread, nan=0.0, posinf=0.0, neginf=0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, q)), pa.array(right * p), pa.array(np.clip(corr.ravel(), -1, 1))], names=["column_a", "column_b", "corr"])
+
+    added = _summed(_summed(numbers.mapInArrow(products, "stripe int, salt int, sums binary"), "stripe", "salt"), "stripe")
+    return added.mapInArrow(correlations, "column_a string, column_b string, corr double")
+
+
+def select_uncorrelated(df: DataFrame, columns: Sequence[str], limit: float = 0.95, block: int = BLOCK_COLUMNS) -> list[str]:
+    """Columns, in the order given, whose correlation with each one kept before is under limit in size. Columns with a null and constant ones stay.
+
+    block columns at a time are held against each other and those kept; only pairs at limit or more come
+    to the driver. A pass over the rows for each block.
+    """
     kept: list[str] = []
-    for c in columns:
-        if all(size[frozenset((c, k))] < limit for k in kept):
-            kept.append(c)
+    for at in range(0, len(columns), block):
+        own = list(columns[at : at + block])
+        alike: dict[str, set[str]] = {}
+        if len(kept) + len(own) > 1:
+            pairs = cross_correlations(df, own, kept + own) if len(columns) > MANY_COLUMNS else correlation_matrix(df, own)
+            for r in pairs.filter(F.abs("corr") >= limit).collect():
+                alike.setdefault(r.column_a, set()).add(r.column_b)
+                alike.setdefault(r.column_b, set()).add(r.column_a)
+        for c in own:
+            if not alike.get(c, set()) & set(kept):
+                kept.append(c)
     return kept
 
 
@@ -144,12 +270,60 @@ def mean_vector(df: DataFrame, group: str, vector: str) -> DataFrame:
     return places.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("mean"))
 
 
-def table_fingerprint(df: DataFrame, column: str) -> DataFrame:
-    """sha256 over the sorted digests of 16 ** 2 groups of values, and n: the same for any order of rows.
+def table_fingerprint(df: DataFrame, column: str, group_values: int = 1 << 16) -> DataFrame:
+    """sha256 over a tree of digests of the values of a column, and n: the same for any order of rows.
 
     Each group's digest is over its sorted values; the group is a part of a value's own digest, so
-    groups are even and none has all rows (a value that repeats is one entry with its count).
+    groups are even and none has all rows (a value that repeats is one entry with its count). There are
+    256 groups, and 256 times as many until one has about group_values values or fewer; digests of 256
+    groups at a time are put together until one is left.
     """
     values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias("n")).select(F.sha2(F.concat_ws("\n", "v", F.col("n").cast("string")), 256).alias("d"), "n")
-    groups = values.groupBy(F.substring("d", 1, 2).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d"), F.sum("n").alias("n"))
+    digits = 2
+    if (most := df.agg(F.approx_count_distinct(column)).first()[0]) > 256 * group_values:
+        while most > 16**digits * group_values:
+            digits += 2
+    groups, joined = values.withColumn("g", F.substring("d", 1, digits)), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d")
+    for size in range(digits, 0, -2):
+        groups = groups.groupBy(F.substring("g", 1, size).alias("g")).agg(joined, F.sum("n").alias("n"))
     return groups.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def sorted_digest(df: DataFrame, column: str, separator: str = "\n", chunk_bytes: int = 1 << 20) -> DataFrame:
+    """digest (sha256 of all values that are not null, sorted by their bytes and joined by separator) and n.
+
+    Values are sorted over ranges and joined to chunks there; a digest of one text has an order, so the
+    chunks then pass one after the other through one task, which holds one of them at a time. For
+    tables whose text is too long for that there is `table_fingerprint`.
+    """
+
+    def join(batches):
+        from pyspark import TaskContext
+
+        part, seq, texts, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def chunk():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([separator.join(texts)]), pa.array([len(texts)], pa.int64())], names=["part", "seq", "text", "n"])
+
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                texts.append(value)
+                size += len(value) + 1
+                if size >= chunk_bytes:
+                    yield chunk()
+                    seq, texts, size = seq + 1, [], 0
+        if texts:
+            yield chunk()
+
+    def digest(batches):
+        sha, n = hashlib.sha256(), 0
+        for batch in batches:
+            for text, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                sha.update((separator if n else "").encode() + text.encode())
+                n += k
+        yield pa.RecordBatch.from_arrays([pa.array([sha.hexdigest()]), pa.array([n], pa.int64())], names=["digest", "n"])
+
+    values = df.select(F.col(column).cast("string").alias("v")).filter("v IS NOT NULL")
+    chunks = values.repartitionByRange("v").sortWithinPartitions("v").mapInArrow(join, "part int, seq int, text string, n long")
+    nothing = df.sparkSession.createDataFrame([(-1, 0, "", 0)], "part int, seq int, text string, n long")  # an empty table has a digest too
+    return chunks.union(nothing).repartition(1).sortWithinPartitions("part", "seq").mapInArrow(digest, "digest string, n long")

@@ -57,7 +57,7 @@ def _line(name: str) -> str:
 
 
 _RULES = f"""least(1.0::DOUBLE, greatest(0.0::DOUBLE,
-  CASE WHEN {_line("TPSA")} <= 132 AND {_line("LogP")} <= 5.9 THEN 0.4::DOUBLE WHEN {_line("TPSA")} <= 140 AND {_line("LogP")} <= 5.9 THEN 0.3::DOUBLE WHEN {_line("TPSA")} <= 150 AND {_line("LogP")} <= 6 THEN 0.2::DOUBLE ELSE 0 END
+  CASE WHEN {_line("TPSA")} <= 132 AND {_line("LogP")} <= 5.9 THEN 0.4::DOUBLE WHEN {_line("TPSA")} <= 140 AND {_line("LogP")} <= 5.0 THEN 0.3::DOUBLE WHEN {_line("TPSA")} <= 150 AND {_line("LogP")} <= 4.0 THEN 0.2::DOUBLE ELSE 0 END
   + CASE WHEN {_line("RotB")} <= 10 AND {_line("TPSA")} <= 140 THEN 0.2::DOUBLE ELSE 0 END
   + CASE WHEN {_line("MW")} BETWEEN 150 AND 500 THEN 0.2::DOUBLE WHEN {_line("MW")} BETWEEN 100 AND 600 THEN 0.1::DOUBLE ELSE 0 END
   + CASE WHEN {_line("HBD")} <= 3 AND {_line("HBA")} <= 7 THEN 0.1::DOUBLE WHEN {_line("HBD")} <= 5 AND {_line("HBA")} <= 10 THEN 0.05::DOUBLE ELSE 0 END
@@ -117,8 +117,8 @@ SELECT coalesce(f.p_partkey, b.p_partkey) AS p_partkey, coalesce(b.score, f.scor
     "hepatotox_probability": f"SELECT p_partkey, round({_LIVER}, 6) AS hepatotox_prob FROM part",
     "bbbp_rule_score": f"SELECT l_orderkey, l_linenumber, round({_RULES}, 6) AS bbbp FROM lineitem",
     "generation_score": f"SELECT l_orderkey, l_linenumber, round(0.35::DOUBLE * {_ACT} + 0.2::DOUBLE * {_line('QED')} + 0.15::DOUBLE * greatest(0.0::DOUBLE, (5 - {_line('SA')}) / 4) + 0.25::DOUBLE * {_RULES} + 0.05::DOUBLE * least(1.0::DOUBLE, 0.8::DOUBLE * {_ACT}), 6) AS score FROM lineitem",
-    "sa_heuristic_a": "SELECT p_partkey, round(least(10.0::DOUBLE, greatest(1.0::DOUBLE, CASE WHEN p_size > 50 THEN 2 WHEN p_size > 30 THEN 1.5 WHEN p_size > 20 THEN 1 ELSE 0 END::DOUBLE + 0.5::DOUBLE * (p_partkey % 9) + CASE WHEN p_partkey % 9 > 6 THEN 0.8::DOUBLE * (p_partkey % 9) ELSE 0 END + 0.3::DOUBLE * (p_partkey % 5) + (p_partkey % 2) + 0.8::DOUBLE * (p_partkey % 3) + 0.4::DOUBLE * (p_partkey % 4) + 0.2::DOUBLE * (p_partkey % 6) + 0.3::DOUBLE * (p_partkey % 7))), 6) AS sa FROM part",
-    "sa_heuristic_b": "SELECT p_partkey, round(least(6.0::DOUBLE, greatest(1.0::DOUBLE, 1.5::DOUBLE + 0.4::DOUBLE * (p_partkey % 9) + 0.3::DOUBLE * (p_partkey % 6) / greatest(1, p_size) + 0.5::DOUBLE * (p_partkey % 4) + 0.2::DOUBLE * (p_partkey % 3) + CASE WHEN p_size > 30 THEN 1 ELSE 0 END)), 6) AS sa FROM part",
+    "sa_heuristic_a": "SELECT p_partkey, round(least(10.0::DOUBLE, greatest(1.0::DOUBLE, 1.0::DOUBLE + CASE WHEN p_size > 50 THEN 2 WHEN p_size > 30 THEN 1.5 WHEN p_size > 20 THEN 1 ELSE 0 END::DOUBLE + 0.5::DOUBLE * (p_partkey % 9) + 0.8::DOUBLE * (p_partkey % 8 % 3) + 0.3::DOUBLE * (p_partkey % 5) + (p_partkey % 2) + 0.8::DOUBLE * (p_partkey % 3) + 0.4::DOUBLE * (p_partkey % 4) + 0.2::DOUBLE * (p_partkey % 6) + 0.3::DOUBLE * (p_partkey % 7))), 6) AS sa FROM part",
+    "sa_heuristic_b": "SELECT p_partkey, round(least(6.0::DOUBLE, greatest(1.0::DOUBLE, 1.5::DOUBLE + 0.4::DOUBLE * (p_partkey % 9) + 0.3::DOUBLE * (p_partkey % 6) / greatest(1, p_size) + 0.5::DOUBLE * (p_partkey % 4) + 0.2::DOUBLE * (p_partkey % 3) + CASE WHEN p_size > 30 THEN 0.1::DOUBLE * (p_size - 30) / 10 ELSE 0 END)), 6) AS sa FROM part",
     "dpo_score": f"SELECT p_partkey, round(0.2::DOUBLE * {_m('QED')} + 0.1::DOUBLE * greatest(0.0::DOUBLE, 1 - p_retailprice / 100 / 10) + 0.3::DOUBLE * (p_size / 8.0::DOUBLE) + 0.4::DOUBLE / (1 + abs({_m('LogP')} - 2.5)), 6) AS score FROM part",
     "docking_reward": f"SELECT p_partkey, round(0.4::DOUBLE * greatest(0.0::DOUBLE, -{_m('docking_score')} / 10) + 0.3::DOUBLE * (p_size / 8.0::DOUBLE) + 0.2::DOUBLE * {_m('QED')} + 0.1::DOUBLE, 6) AS reward FROM part",
     "rule_pass_rates": " UNION ALL ".join(_pass(f"{kind}_{k}", v) for kind, rules in (("lipinski", _LIPINSKI), ("cns", _CNS)) for k, v in (rules | {"all": " AND ".join(rules.values())}).items()),
@@ -157,7 +157,10 @@ u AS (SELECT p_partkey, unnest(t) AS token, generate_subscripts(t, 1) AS pos FRO
 SELECT p_partkey, '1,' || s || ',2' || repeat(',0', (4 - n)::INT) AS ids FROM w""",
     "clean_text_tags": "SELECT page_id, CASE WHEN length(t) < 3 THEN '' ELSE t END AS text FROM (SELECT page_id, trim(regexp_replace(html, '<[^>]*>', '', 'g'), ' ') AS t FROM pages)",
     "histogram": "SELECT floor((p_retailprice - 900) / 10)::BIGINT AS bucket, count(*) AS n FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1",
-    "report_format": "WITH t AS (SELECT p_partkey, p_size, p_partkey % 7 AS hbd FROM part ORDER BY p_size DESC, p_partkey LIMIT 5) SELECT p_partkey, 'p_size' AS parameter, printf('%.1f', p_size::DOUBLE) AS text, CASE WHEN p_size <= 45 THEN 'green' WHEN p_size > 49 THEN 'red' ELSE 'black' END AS colour FROM t UNION ALL SELECT p_partkey, 'hbd', hbd::VARCHAR, CASE WHEN hbd <= 3 THEN 'green' WHEN hbd > 5 THEN 'red' ELSE 'black' END FROM t",
+    "report_format": """WITH t AS (SELECT p_partkey, p_partkey % 10 / 10.0::DOUBLE AS qed, p_partkey % 7 AS hbd, -(p_size / 7.0::DOUBLE) AS dock, nullif(p_size % 9, 4) AS lle, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 40)
+      SELECT p_partkey, 'QED' AS parameter, printf('%.2f', qed) AS text, CASE WHEN qed >= 0.35 THEN 'green' ELSE 'red' END AS colour FROM t UNION ALL SELECT p_partkey, 'HBD', hbd::VARCHAR, CASE WHEN hbd BETWEEN 0 AND 2 THEN 'green' ELSE 'red' END FROM t
+      UNION ALL SELECT p_partkey, 'docking_score', printf('%.1f', dock), CASE WHEN dock <= -7 THEN 'green' ELSE 'red' END FROM t UNION ALL SELECT p_partkey, 'LLE', CASE WHEN lle IS NULL THEN 'NA' ELSE printf('%.1f', lle::DOUBLE) END, CASE WHEN lle IS NULL THEN 'gray' WHEN lle >= 5 THEN 'green' ELSE 'red' END FROM t
+      UNION ALL SELECT p_partkey, 'other', printf('%.2f', p_size::DOUBLE), 'black' FROM t""",
     "metrics_union": "SELECT 'orders' AS model, count(*) AS n_train, round(avg(o_totalprice), 4) AS rmse_train, NULL::DOUBLE AS r2_test FROM orders UNION ALL SELECT 'part', count(*), NULL, round(avg(p_retailprice), 4) FROM part UNION ALL SELECT 'supplier', count(*), round(avg(s_acctbal), 4), round(max(s_acctbal), 4) FROM supplier",
     "cosine_nearest_whole": "SELECT query_id, arg_max(row_id, (s, -row_id)) AS row_id, max(s) AS similarity FROM (SELECT a.vec_id AS query_id, c.vec_id AS row_id, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS s FROM embeddings a JOIN embeddings c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id) GROUP BY 1",
     "novelty_filter_whole": f"SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0 AND vec_id NOT IN (SELECT a.vec_id FROM {_BITS} a JOIN {_BITS} c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id WHERE {_TANIMOTO} >= 0.6)",
@@ -177,7 +180,7 @@ SELECT l_orderkey, f.kinds, CASE WHEN x IS NOT NULL THEN round(greatest(1, least
     "csv_roundtrip": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "text_roundtrip": "SELECT n_name AS smiles FROM nation",
     "json_roundtrip": "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region",
-    "annealing_schedule": "SELECT range AS step, round(least((range % 250) / 250.0::DOUBLE / 0.5, 1), 6) AS cyclical, round(least(range / 500.0::DOUBLE, 1), 6) AS monotonic, round(1 / (1 + exp(-10 * (range / 1000.0::DOUBLE - 0.5))), 6) AS logistic FROM range(1000)",
+    "annealing_schedule": "SELECT o_orderkey AS step, round(least((o_orderkey % 500) / 500.0::DOUBLE / 0.5, 1), 6) AS cyclical, round(least(o_orderkey / 500.0::DOUBLE, 1), 6) AS monotonic, round(1 / (1 + exp(-10 * (o_orderkey / 1000.0::DOUBLE - 0.5))), 6) AS logistic, round(CASE WHEN o_orderkey < 1000 THEN 0 ELSE least(1.0::DOUBLE, (o_orderkey - 1000) / 2000.0::DOUBLE) END, 6) AS after_warmup, round(1 / (1 + exp(-0.0025::DOUBLE * (o_orderkey - 750))), 6) AS rising FROM orders",
 }
 SQL["group_split_fit"] = f"""WITH g AS ({SQL["group_budget_split"]}) SELECT CASE WHEN in_test THEN 'test' ELSE 'train' END AS part, sum(n)::BIGINT AS n FROM g GROUP BY 1"""
 
@@ -219,3 +222,30 @@ SQL["molecule_records"] = f"""WITH {_MOLECULES},
 x AS (SELECT mol, count(*) AS n_atoms, count(*) FILTER (element = 'C') AS n_carbon, round(sum(atom / 4.0::DOUBLE), 6) AS sum_x, round(sum(-(atom / 2.0::DOUBLE)), 6) AS sum_y FROM atoms GROUP BY mol),
 y AS (SELECT mol, count(*) AS n_bonds, CAST(sum(a * 100 + b * 10 + kind) AS BIGINT) AS bond_sum FROM bonds GROUP BY mol)
 SELECT x.*, n_bonds, bond_sum FROM x LEFT JOIN y USING (mol)"""
+
+SQL["sorted_digest"] = "SELECT sha256(string_agg(p_name, chr(10) ORDER BY p_name)) AS digest, count(p_name) AS n FROM part"
+
+
+def _picked(seed: int, name: str, temperature: float = 1.0, top_k: int = 1000, top_p: float = 2.0) -> str:
+    """The choice of each vector as a table: shares in falling order, those that are kept, and the first whose running sum is over the draw."""
+    return f"""{name} AS (SELECT vec_id, arg_min(slot, place) AS {name} FROM (
+  SELECT *, sum(w) FILTER (kept) OVER (PARTITION BY vec_id) AS whole FROM (
+    SELECT *, sum(w) OVER (PARTITION BY vec_id ORDER BY place) AS upto, sum(w) OVER (PARTITION BY vec_id ORDER BY place) - w < {top_p} * sum(w) OVER (PARTITION BY vec_id) AS kept FROM (
+      SELECT vec_id, slot - 1 AS slot, place, exp((x - max(x) OVER (PARTITION BY vec_id)) / {temperature}::DOUBLE) AS w FROM (
+        SELECT vec_id, slot, embedding[slot]::DOUBLE AS x, row_number() OVER (PARTITION BY vec_id ORDER BY embedding[slot] DESC, slot) AS place FROM embeddings, range(1, 65) r(slot)) WHERE place <= {top_k})))
+  WHERE kept AND upto > whole * (CAST('0x' || substr(md5('{seed}|' || vec_id), 1, 13) AS UBIGINT) / 4503599627370496.0::DOUBLE) GROUP BY vec_id)"""
+
+
+SQL["token_sampling"] = f"""WITH {_picked(1, "plain")}, {_picked(2, "cold", 0.1)}, {_picked(3, "top_k", top_k=5)}, {_picked(4, "top_p", 0.5, top_p=0.3)}
+SELECT * FROM plain JOIN cold USING (vec_id) JOIN top_k USING (vec_id) JOIN top_p USING (vec_id)"""
+SQL["standard_residues"] = "SELECT s_suppkey, 'ATOM  ' || s_suppkey || chr(10) || 'TER' || chr(10) || 'ATOM  2' || chr(10) || 'END' AS value FROM supplier"
+SQL["log_scores"] = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN -p_size::DOUBLE WHEN 1 THEN -(p_size + 0.5::DOUBLE) END AS docking_score FROM part"
+
+_PLACES = {f"e{i}": f"embedding[{i + 1}]::DOUBLE" for i in range(64)}
+_PLACES |= {f"f{i}": f"{_PLACES[f'e{i}']} * 3 + {_PLACES[f'e{(i + 1) % 64}']} / 4" for i in range(0, 64, 4)}
+_WIDE = f"wide AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _PLACES.items())} FROM embeddings)"
+SQL["correlation_blocks"] = f"""WITH {_WIDE}, numbered AS (SELECT row_number() OVER () AS n, * FROM wide), long AS (UNPIVOT numbered ON COLUMNS(* EXCLUDE n) INTO NAME k VALUE v),
+place AS (SELECT k, p FROM (VALUES {", ".join(f"('{k}', {p})" for p, k in enumerate(_PLACES))}) t(k, p)), long2 AS (SELECT n, k, p, v FROM long JOIN place USING (k))
+SELECT a.k AS column_a, b.k AS column_b, round(corr(a.v, b.v), 6) AS corr FROM long2 a JOIN long2 b ON a.n = b.n AND a.p < b.p GROUP BY ALL"""
+#: Each f is a near copy of the e it is made of, which stands before it.
+SQL["uncorrelated_columns"] = f"WITH {_WIDE} " + " UNION ALL ".join(f"SELECT 'e{i}' AS feature, round(avg(e{i}), 6) AS mean FROM wide" for i in range(64))

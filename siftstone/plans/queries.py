@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.functions import cleaning, reporting, scoring, similarity, text_results
+from siftstone.functions import cleaning, reporting, sampling, scoring, similarity, text_results
 from siftstone.operators import clean, docking, fragments, frames, graphs, linear, molecules, ranking, stats, tokens
 from siftstone.operators import similarity as search
 from siftstone.operators.vector_index import VectorIndex
@@ -224,7 +224,7 @@ def generation_score(spark, sf_dir):
 @query
 def sa_heuristic_a(spark, sf_dir):
     k = F.col("p_partkey")
-    return read(spark, sf_dir, "part").select("p_partkey", r6(scoring.difficulty_by_groups(F.col("p_size"), k % 9, k % 5, k % 2, k % 3, k % 4, k % 6, k % 7)).alias("sa"))
+    return read(spark, sf_dir, "part").select("p_partkey", r6(scoring.difficulty_by_groups(F.col("p_size"), k % 9, k % 8 % 3, k % 5, k % 2, k % 3, k % 4, k % 6, k % 7)).alias("sa"))
 
 
 @query
@@ -454,6 +454,27 @@ def correlation_matrix(spark, sf_dir):
     return stats.correlation_matrix(read(spark, sf_dir, "lineitem"), CORRELATED).withColumn("corr", r6("corr"))
 
 
+def _wide(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """The places of the vectors as columns, and near copies of some of them."""
+    rows = read(spark, sf_dir, "embeddings")
+    place = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    columns = {f"e{i}": place(i) for i in range(64)} | {f"f{i}": place(i) * 3 + place((i + 1) % 64) / 4 for i in range(0, 64, 4)}
+    return rows.select(*(c.alias(k) for k, c in columns.items())), list(columns)
+
+
+@query
+def correlation_blocks(spark, sf_dir):
+    rows, names = _wide(spark, sf_dir)
+    return stats.correlation_matrix(rows, names).select("column_a", "column_b", r6("corr").alias("corr"))
+
+
+@query
+def uncorrelated_columns(spark, sf_dir):
+    rows, names = _wide(spark, sf_dir)
+    kept = stats.select_uncorrelated(rows, names, 0.9)
+    return rows.select(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")).alias(c) for c in kept)).select(F.explode(F.array(*kept)).alias("x")).groupBy("x.feature").agg(r6(F.avg("x.value")).alias("mean"))
+
+
 @query
 def greedy_feature_select(spark, sf_dir):
     kept = stats.select_uncorrelated(read(spark, sf_dir, "lineitem"), CORRELATED, 0.9)
@@ -507,6 +528,31 @@ def dataset_fingerprint(spark, sf_dir):
     return stats.table_fingerprint(read(spark, sf_dir, "nation"), "n_name")
 
 
+@query
+def sorted_digest(spark, sf_dir):
+    return stats.sorted_digest(read(spark, sf_dir, "part"), "p_name")
+
+
+@query
+def token_sampling(spark, sf_dir):
+    rows, key = read(spark, sf_dir, "embeddings"), F.col("vec_id")
+    pick = lambda seed, **how: sampling.choose(F.col("embedding"), sampling.seeded_uniform(key, seed), **how)
+    return rows.select("vec_id", pick(1).alias("plain"), pick(2, temperature=0.1).alias("cold"), pick(3, top_k=5).alias("top_k"), pick(4, temperature=0.5, top_p=0.3).alias("top_p"))
+
+
+@query
+def standard_residues(spark, sf_dir):
+    text = F.concat(F.lit("HEADER x\nATOM  "), F.col("s_suppkey").cast("string"), F.lit("\nHETATM 1 HOH\nANISOU 1\nTER\nATOM  2\nEND"))
+    return docking.prepare_receptors(read(spark, sf_dir, "supplier").select("s_suppkey", text.alias("value")), standard_only=True)
+
+
+@query
+def log_scores(spark, sf_dir):
+    size = F.col("p_size")
+    log = F.when(size % 4 == 0, F.format_string("mode\n   1   -%d   0.0 0.0\n", size)).when(size % 4 == 1, F.format_string("10 -1\n 1 none\n1 -%d.5 1 2\n1 -3", size)).when(size % 4 == 2, "1\t-4 0 0\n 1")
+    return read(spark, sf_dir, "part").select("p_partkey", text_results.log_score(log).alias("docking_score"))
+
+
 @query
 def vocabulary(spark, sf_dir):
     return tokens.vocabulary(read(spark, sf_dir, "documents"), F.split(F.lower("text"), " "))
@@ -531,8 +577,8 @@ def histogram(spark, sf_dir):
 
 @query
 def report_format(spark, sf_dir):
-    top = read(spark, sf_dir, "part").orderBy(F.desc("p_size"), "p_partkey").limit(5).select("p_partkey", "p_size", (F.col("p_partkey") % 7).alias("hbd"))
-    return ranking.parameter_table(top, "p_partkey", [("p_size", 1, 45, 49, True), ("hbd", None, 3, 5, True)])
+    top = read(spark, sf_dir, "part").orderBy(F.desc("p_size"), "p_partkey").limit(40).select("p_partkey", (F.col("p_partkey") % 10 / 10.0).alias("QED"), (F.col("p_partkey") % 7).alias("HBD"), (-(F.col("p_size") / 7.0)).alias("docking_score"), F.nullif(F.col("p_size") % 9, F.lit(4)).alias("LLE"), F.col("p_size").alias("other"))
+    return ranking.parameter_table(top, "p_partkey", {"QED": 2, "HBD": None, "docking_score": 1, "LLE": 1, "other": 2})
 
 
 @query
@@ -611,8 +657,9 @@ def json_roundtrip(spark, sf_dir):
 
 @query
 def annealing_schedule(spark, sf_dir):
-    step = F.col("id")
-    return spark.range(1000).select(step.alias("step"), r6(reporting.cyclical(step, 1000)).alias("cyclical"), r6(reporting.monotonic(step, 1000)).alias("monotonic"), r6(reporting.sigmoid(step, 1000)).alias("logistic"))
+    step = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(step)
+    return rows.select(step.alias("step"), r6(reporting.cyclical(step, 2000)).alias("cyclical"), r6(reporting.monotonic(step, 1000)).alias("monotonic"), r6(reporting.sigmoid(step, 1000)).alias("logistic"), r6(reporting.after_warmup(step, 3000, 1000)).alias("after_warmup"), r6(reporting.rising(step, 3000, 0.0025)).alias("rising"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

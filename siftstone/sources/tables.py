@@ -69,8 +69,9 @@ def read_metrics(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     for model, path in paths.items():
         try:
             found.append(spark.read.json(path).withColumn("model", F.lit(model)))
-        except AnalysisException:
-            continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return union_tables(found)
 
 

@@ -319,3 +319,116 @@ def test_final_hits(spark):
 def test_molecules_need_a_toolkit():
     with pytest.raises(RuntimeError):
         chem.canonical(F.col("smiles"))
+
+
+def test_both_quartiles_from_one_sketch(spark):
+    import random
+
+    rng = random.Random(11)
+    for values in ([rng.gauss(0, 5) for _ in range(20000)], [rng.choice([1.0, 2.0, 2.0, 9.0]) for _ in range(9000)], [float(i % 7) for i in range(50)], [-1.5]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 10, "v double").repartition(4)
+        want = [sorted(values)[int((len(values) - 1) * q + 0.5)] for q in (0.25, 0.5, 0.75, 1.0)]
+        for exact in (10, 500, 200_000):
+            assert stats.nearest_quantiles(df, "v", [0.25, 0.5, 0.75, 1.0], exact) == want
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (2.0,)], "v double")
+    assert stats.nearest_quantiles(nan, "v", [0.0, 0.5]) == [1.0, 3.0]
+    assert stats.nearest_quantiles(nan.limit(0), "v", [0.25, 0.75]) == [None, None] and stats.quartile_fence(nan.limit(0), "v").collect() == []
+
+
+def test_sorted_digest_in_small_chunks(spark):
+    import hashlib
+
+    values = ["b", "a", "é", "a", "", "C\nC", None] + [f"v{i}" for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(5)
+    known = sorted(v.encode() for v in values if v is not None)
+    for size in (1, 100, 1 << 20):
+        row = stats.sorted_digest(df, "v", chunk_bytes=size).first()
+        assert row.digest == hashlib.sha256(b"\n".join(known)).hexdigest() and row.n == len(known)
+    assert tuple(stats.sorted_digest(df.limit(0), "v").first()) == (hashlib.sha256(b"").hexdigest(), 0)
+
+
+def test_fingerprints_of_more_groups(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("v"))
+    first = stats.table_fingerprint(df, "v", group_values=1).first()
+    assert first == stats.table_fingerprint(df.orderBy(F.rand(1)), "v", group_values=1).first() and first.n == 3000
+    assert first.fingerprint != stats.table_fingerprint(df.filter("v <> '7'"), "v", group_values=1).first().fingerprint
+
+
+def test_repeated_keys_keep_their_own_tokens(spark):
+    from siftstone.operators import tokens
+
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["c"]), (None, ["b"]), (2, None)], "k long, t array<string>")
+    words = spark.createDataFrame([("a", 3), ("b", 4), ("c", 5)], "token string, index long")
+    got = sorted(((r.k, tuple(r.ids)) for r in tokens.encode(df, "k", F.col("t"), words, 4).collect()), key=str)
+    assert got == sorted([(1, (1, 3, 4, 2)), (1, (1, 5, 2, 0)), (None, (1, 4, 2, 0)), (2, (1, 2, 0, 0))], key=str)
+    back = sorted(((r.k, tuple(r.tokens)) for r in tokens.decode(tokens.encode(df, "k", F.col("t"), words, 4), "k", "ids", words).collect()), key=str)
+    assert back == sorted([(1, ("a", "b")), (1, ("c",)), (None, ("b",)), (2, ())], key=str)
+
+
+def test_scores_follow_the_published_tiers(spark):
+    rules = lambda tpsa, logp: spark.range(1).select(scoring.barrier_rules(*(F.lit(float(x)) for x in (tpsa, logp, 50, 9, 20, 20))).alias("s")).first().s
+    assert [rules(*x) for x in ((132, 5.9), (138, 5.5), (138, 5.0), (149, 4.5), (149, 4.0), (151, 4.0))] == pytest.approx([0.4, 0.0, 0.35, 0.05, 0.3, 0.1])
+    one = lambda c: spark.range(1).select(c.alias("s")).first().s
+    count = lambda *xs: [F.lit(x) for x in xs]
+    assert one(scoring.difficulty_by_groups(*count(31, 2, 1, 3, 1, 1, 2, 4, 2))) == pytest.approx(1 + 1.5 + 1.0 + 0.8 + 0.9 + 1 + 0.8 + 0.8 + 0.8 + 0.6)
+    assert one(scoring.difficulty_by_groups(*count(5, 0, 0, 0, 0, 0, 0, 0, 0))) == 1.0
+    assert one(scoring.difficulty_by_share(*count(50, 1, 10, 1, 1))) == pytest.approx(1.5 + 0.4 + 0.06 + 0.5 + 0.2 + 0.2)
+
+
+def test_colours_by_range(spark):
+    colours = lambda name, *values: [spark.range(1).select(reporting.parameter_colour(F.lit(v).cast("double"), name).alias("c")).first().c for v in values]
+    assert colours("MW", 199, 200, 450, 451, None, float("nan")) == ["red", "green", "green", "red", "gray", "gray"]
+    assert colours("docking_score", -12, -7, -6.9) == ["green", "green", "red"] and colours("QED", 0.34, 0.35, 2) == ["red", "green", "green"]
+    assert colours("SA", 3, None) == ["black", "gray"]
+
+
+def test_scores_in_logs(spark):
+    texts = ["1   -7   0.0 0.0", "mode\n   1   -7.25 0 0\n   1 -9", "10 -1\n1 x\n1 -2", "1\t-3", "1", "", None, " 1 -1e1 2"]
+    assert column(spark, texts, text_results.log_score, "string") == [-7.0, -7.25, -2.0, None, None, None, None, -10.0]
+    assert column(spark, ["ATOM  1\nHETATM 2\nTER\nCONECT 1\nEND"], text_results.standard_residues, "string") == ["ATOM  1\nTER\nEND"]
+
+
+def test_metrics_that_cannot_be_read_are_no_silence(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"a": 1, "A": 2}')
+    with pytest.raises(Exception, match="A"):
+        tables.read_metrics(spark, {"x": str(tmp_path / "bad.json")}).collect()
+
+
+def test_choices_from_logits(spark):
+    from siftstone.functions import sampling
+
+    rows = [(i, [0.0, 2.0, 1.0, None, 2.0]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, x array<double>")
+    u = sampling.seeded_uniform(F.col("k"), 5)
+    shares = lambda **how: {r.c: r["count"] / 4000 for r in df.select(sampling.choose(F.col("x"), u, **how).alias("c")).groupBy("c").count().collect()}
+    whole = 1 + 2 * math.exp(2) + math.exp(1)
+    assert shares() == pytest.approx({0: 1 / whole, 1: math.exp(2) / whole, 2: math.exp(1) / whole, 4: math.exp(2) / whole}, abs=0.03)
+    assert set(shares(top_k=1)) == {1} and set(shares(top_k=2)) == {1, 4} and set(shares(top_p=0.5)) == {1, 4} and set(shares(top_p=0.3)) == {1}
+    assert shares(temperature=0.01) == pytest.approx({1: 0.5, 4: 0.5}, abs=0.03)
+    odd = spark.createDataFrame([([],), (None,), ([None],), ([float("nan"), 1.0],), ([-1e308, 1e308],)], "x array<double>")
+    assert [r.c for r in odd.select(sampling.choose(F.col("x"), F.lit(0.5)).alias("c")).collect()] == [None, None, None, 1, 1]
+    with pytest.raises(ValueError):
+        sampling.choose(F.col("x"), u, top_k=0)
+
+
+def test_correlations_by_blocks_of_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(300, 40)) * 10.0 ** rng.integers(-3, 6, 40) + 1e6
+    x = np.column_stack([base, base[:, :10] * -2 + rng.normal(size=(300, 10)) * 1e-6, np.full((300, 1), 7.1), base[:, :1]])
+    names = [f"v{i}" for i in range(x.shape[1])]
+    rows = [tuple(map(float, r)) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).withColumns({"nul": F.when(F.col("v0") > 1e6, F.col("v0")), "nan": F.lit(float("nan"))}).repartition(7)
+    names += ["nul", "nan"]
+    want = np.corrcoef(x[:, :50].T)
+    got = {(r.column_a, r.column_b): r["corr"] for r in stats.correlation_matrix(df, names).collect()}
+    assert len(got) == len(names) * (len(names) - 1) // 2
+    assert all(abs(got[f"v{i}", f"v{j}"] - want[i, j]) < 1e-6 for i in range(50) for j in range(i + 1, 50))
+    assert all(c == 0 for (a, b), c in got.items() if {"v50", "nul", "nan"} & {a, b})
+    few = {(r.column_a, r.column_b): r["corr"] for r in stats.correlation_matrix(df, names[35:45]).collect()}
+    assert all(abs(got[k] - c) < 1e-6 for k, c in few.items())
+    for block in (7, 512):
+        assert stats.select_uncorrelated(df, names, 0.95, block) == [f"v{i}" for i in range(40)] + ["v50", "nul", "nan"]
+    wide = spark.range(200).select(*(F.rand(i if i < 900 else i - 900).alias(f"w{i}") for i in range(1000)))
+    assert stats.select_uncorrelated(wide.coalesce(1), wide.columns, 0.99) == [f"w{i}" for i in range(900)]
