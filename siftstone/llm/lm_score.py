@@ -31,8 +31,8 @@ STREAMS, RATES = 512, (3e-3, 2e-4)
 #: The token at the end of each text; no word has a newline.
 END = b"\n"
 _HELD = 1 << 20
-#: Weights are averaged so many rows at a time, in so many levels: for up to a million partitions.
-_FAN, _LEVELS = 32, 4
+#: Weights are averaged so many rows at a time, in so many levels: one row is left of any 31-bit number of partitions.
+_FAN, _LEVELS = 32, 7
 _COUNTS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 
 
