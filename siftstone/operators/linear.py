@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -12,8 +15,9 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegres
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siftstone.operators.stats import regression_metrics
+from siftstone.operators.stats import STRIPE, regression_metrics, summed_stripes
 
 
 @dataclass(frozen=True)
@@ -43,6 +47,76 @@ class LinearModel:
         return LinearModel(tuple(row.features), tuple(row.weights), row.bias)
 
 
+def _unpacked(words: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, bits x rows as 0 and 1) of the rows that have bits / 64 words and no null among them."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(sizes == bits // 64)
+    flat = words.take(pa.array(rows)).flatten().cast(pa.int64())
+    whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(rows), -1).all(axis=1)
+    values = flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(len(rows), -1)[whole]
+    return rows[whole], np.unpackbits(np.ascontiguousarray(values).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+
+
+@dataclass(frozen=True)
+class BitModel:
+    """A linear model on fingerprints packed in longs: a weight for each bit, no column for each bit."""
+
+    weights: tuple[float, ...]
+    bias: float
+
+    @staticmethod
+    def fit(df: DataFrame, bits: str, label: str, size: int, l2: float = 0.01) -> BitModel:
+        """The least mean of squares and l2 times the squared weights, from one pass: sums of products of the bits.
+
+        size: bits of a fingerprint, a multiple of 64. A task adds up a matrix of size x size, and matrices
+        are added up by stripes. Rows without a label or with another number of words, or a null word, are left out.
+        """
+        if size < 64 or size % 64:
+            raise ValueError("the size must be a multiple of 64")
+
+        def products(batches):
+            from pyspark import TaskContext
+
+            gram, moved, ones, y_sum, n = np.zeros((size, size)), np.zeros(size), np.zeros(size), 0.0, 0
+            for batch in batches:
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    rows, x = _unpacked(part.column(0), size)
+                    x, y = x.astype(np.float64), part.column(1).to_numpy(zero_copy_only=False)[rows]
+                    gram, moved, ones, y_sum, n = gram + x.T @ x, moved + x.T @ y, ones + x.sum(axis=0), y_sum + y.sum(), n + len(y)
+            if n:
+                stripes = range(0, size, STRIPE)
+                values = [np.concatenate([gram[s : s + STRIPE].ravel(), moved[s : s + STRIPE], ones[s : s + STRIPE], [y_sum, n]]).tobytes() for s in stripes]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array([TaskContext.get().partitionId() % 64] * len(values), pa.int32()), pa.array(values, pa.binary())], names=["stripe", "salt", "sums"])
+
+        rows = df.select(F.col(bits), F.col(label).cast("double").alias("y")).filter("y IS NOT NULL AND NOT isnan(y)")
+        added = summed_stripes(summed_stripes(rows.mapInArrow(products, "stripe int, salt int, sums binary"), "stripe", "salt"), "stripe")
+        found = [np.frombuffer(r.sums) for r in sorted(added.collect())]  # size x size numbers
+        if not found:
+            raise ValueError("there is no row to learn from")
+        wide = STRIPE * size
+        gram, moved, ones = (np.concatenate([f[a:b] for f in found]) for a, b in ((0, wide), (wide, wide + STRIPE), (wide + STRIPE, wide + 2 * STRIPE)))
+        y_sum, n = found[0][-2:]
+        mean = ones / n
+        weights = np.linalg.solve(gram.reshape(size, size) / n - np.outer(mean, mean) + l2 * np.eye(size), moved / n - mean * y_sum / n)
+        return BitModel(tuple(weights.tolist()), float(y_sum / n - mean @ weights))
+
+    def score(self, df: DataFrame, bits: str, name: str = "predicted") -> DataFrame:
+        """df with a prediction for each row: NaN for a null fingerprint, one with a null word, or one of another size. A column of that name is replaced."""
+        weights, bias = np.array(self.weights), self.bias
+        kept = [c for c in df.columns if c != name]
+
+        def run(batches):
+            for batch in batches:
+                out = np.full(batch.num_rows, np.nan)
+                rows, x = _unpacked(batch.column(kept.index(bits)), len(weights))
+                out[rows] = x @ weights + bias
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*kept, name])
+
+        rows = df.select(*kept)
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 @dataclass(frozen=True)
 class BoostedModel:
     """Boosted trees with the names of their features."""

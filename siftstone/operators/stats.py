@@ -110,7 +110,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"{i}").alias("corr")) for i, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
 
 
-def _summed(df: DataFrame, *keys: str) -> DataFrame:
+def summed_stripes(df: DataFrame, *keys: str) -> DataFrame:
     """stripe and sums: the arrays of float64 of equal keys added up, one after the other as they come."""
 
     def add(batches):
@@ -172,7 +172,7 @@ def cross_correlations(df: DataFrame, left: Sequence[str], right: Sequence[str])
                     corr = np.nan_to_num((cross - sa[:, None] * sb) / spread, nan=0.0, posinf=0.0, neginf=0.0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, q)), pa.array(right * p), pa.array(np.clip(corr.ravel(), -1, 1))], names=["column_a", "column_b", "corr"])
 
-    added = _summed(_summed(numbers.mapInArrow(products, "stripe int, salt int, sums binary"), "stripe", "salt"), "stripe")
+    added = summed_stripes(summed_stripes(numbers.mapInArrow(products, "stripe int, salt int, sums binary"), "stripe", "salt"), "stripe")
     return added.mapInArrow(correlations, "column_a string, column_b string, corr double")
 
 

@@ -249,3 +249,7 @@ place AS (SELECT k, p FROM (VALUES {", ".join(f"('{k}', {p})" for p, k in enumer
 SELECT a.k AS column_a, b.k AS column_b, round(corr(a.v, b.v), 6) AS corr FROM long2 a JOIN long2 b ON a.n = b.n AND a.p < b.p GROUP BY ALL"""
 #: Each f is a near copy of the e it is made of, which stands before it.
 SQL["uncorrelated_columns"] = f"WITH {_WIDE} " + " UNION ALL ".join(f"SELECT 'e{i}' AS feature, round(avg(e{i}), 6) AS mean FROM wide" for i in range(64))
+
+SQL["bit_model_scores"] = "SELECT vec_id, 0.25::DOUBLE + coalesce(sum((i - 1) % 7 - 3) FILTER (embedding[i] > 0), 0) / 2.0::DOUBLE AS predicted FROM embeddings, range(1, 65) r(i) GROUP BY vec_id"
+SQL["bit_model_fit"] = """WITH x AS (SELECT CASE WHEN embedding[1] > 0 THEN 1.0::DOUBLE ELSE 0 END AS x, label::DOUBLE AS y FROM embeddings), s AS (SELECT covar_pop(y, x) / (var_pop(x) + 0.0001::DOUBLE) AS w, avg(x) AS mx, avg(y) AS my FROM x)
+SELECT round(w, 6) AS weight, round(my - mx * w, 6) AS bias FROM s"""

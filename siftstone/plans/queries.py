@@ -608,6 +608,19 @@ def bulk_predict(spark, sf_dir):
     return scored.select("l_orderkey", "l_partkey", "l_suppkey", F.isnan("predicted").alias("invalid"), F.when(~F.isnan("predicted"), r6("predicted")).alias("predicted"))
 
 
+@query
+def bit_model_scores(spark, sf_dir):
+    model = linear.BitModel(tuple((i % 7 - 3) / 2 for i in range(64)), 0.25)
+    return model.score(_bits(spark, sf_dir), "bits").select("vec_id", "predicted")
+
+
+@query
+def bit_model_fit(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select(similarity.pack_signs(F.slice("embedding", 1, 1), 64).alias("bits"), F.col("label"))
+    model = linear.BitModel.fit(rows, "bits", "label", 64, l2=0.0001)
+    return spark.createDataFrame([(model.weights[0], model.bias)], "weight double, bias double").select(r6("weight").alias("weight"), r6("bias").alias("bias"))
+
+
 @query
 def group_split_fit(spark, sf_dir):
     parts = read(spark, sf_dir, "part").withColumn("step", F.col("p_partkey") % 1000)

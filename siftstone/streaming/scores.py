@@ -24,6 +24,16 @@ def result_stream(spark: SparkSession, path: str, pattern: str = "*_dock.pdbqt")
     return parse_results(files.select("path", F.col("content").cast("string").alias("value")))
 
 
+def new_stream(rows: DataFrame, key: str, done: DataFrame | None = None) -> DataFrame:
+    """The first row of each key that comes and, if done is given, is not in that table.
+
+    The keys seen are state of the stream: a query that is started again from its checkpoint passes over
+    them. The state grows with the number of different keys (a state store on disk holds more of them).
+    """
+    fresh = rows if done is None else rows.join(done.select(key).distinct(), key, "left_anti")
+    return fresh.dropDuplicates([key])
+
+
 def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None] | str, checkpoint: str) -> StreamingQuery:
     """Takes all that has arrived and stops. sink: a folder for Parquet, or a function of each batch."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)

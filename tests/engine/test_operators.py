@@ -432,3 +432,38 @@ def test_correlations_by_blocks_of_columns(spark):
         assert stats.select_uncorrelated(df, names, 0.95, block) == [f"v{i}" for i in range(40)] + ["v50", "nul", "nan"]
     wide = spark.range(200).select(*(F.rand(i if i < 900 else i - 900).alias(f"w{i}") for i in range(1000)))
     assert stats.select_uncorrelated(wide.coalesce(1), wide.columns, 0.99) == [f"w{i}" for i in range(900)]
+
+
+def test_models_on_packed_bits_equal_those_on_columns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2, (400, 128))
+    y = x @ rng.normal(size=128) + 3 + rng.normal(size=400) * 0.1
+    words = np.packbits(x.astype(bool), axis=1, bitorder="little").view(np.int64)
+    rows = [(i, w.tolist(), float(v)) for i, (w, v) in enumerate(zip(words, y))]
+    odd = [(900, None, 1.0), (901, [1], 1.0), (902, [1, None], 1.0), (903, [1, 2], None)]
+    df = spark.createDataFrame(rows + odd, "k long, bits array<long>, y double").repartition(5)
+    model = linear.BitModel.fit(df, "bits", "y", 128, l2=0.01)
+    centred, mean = x - x.mean(axis=0), x.mean(axis=0)
+    want = np.linalg.solve(centred.T @ centred / 400 + 0.01 * np.eye(128), centred.T @ (y - y.mean()) / 400)
+    assert np.allclose(model.weights, want, atol=1e-9) and model.bias == pytest.approx(y.mean() - mean @ want)
+    got = {r.k: r.predicted for r in model.score(df, "bits").collect()}
+    assert np.allclose([got[i] for i in range(400)], x @ want + model.bias) and all(math.isnan(got[k]) for k in (900, 901, 902)) and not math.isnan(got[903])
+    columns = spark.createDataFrame([(*map(float, r[:64]), float(v)) for r, v in zip(x, y)], ", ".join(f"b{i} double" for i in range(64)) + ", y double")
+    one = linear.fit_linear(columns, [f"b{i}" for i in range(64)], "y", l1=0.0, l2=0.0)  # the fitter of columns takes l2 relative to the label's deviation, so without it
+    half = linear.BitModel.fit(df.filter("k < 900").withColumn("bits", F.slice("bits", 1, 1)), "bits", "y", 64, l2=0.0)
+    assert np.allclose(one.weights, half.weights, atol=1e-6)
+    with pytest.raises(ValueError):
+        linear.BitModel.fit(df, "bits", "y", 100)
+
+
+def test_a_stream_started_again_repeats_nothing(spark, tmp_path):
+    source, out, done = tmp_path / "in", tmp_path / "out", spark.createDataFrame([(99,)], "id long")
+    source.mkdir()
+    for n, ids in enumerate([[1, 2, 2, 99], [2, 3, None], [1, 3, 4, None]]):
+        (source / f"{n}.json").write_text("\n".join(json.dumps({"id": i, "n": n}) for i in ids))
+        rows = spark.readStream.schema("id long, n int").json(str(source))
+        scores.run_once(scores.new_stream(rows, "id", done), str(out), str(tmp_path / "cp")).awaitTermination()
+        want = [[1, 2], [None, 1, 2, 3], [None, 1, 2, 3, 4]][n]
+        assert sorted((r.id for r in spark.read.parquet(str(out)).collect()), key=lambda i: i or 0) == want
