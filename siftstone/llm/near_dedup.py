@@ -23,6 +23,8 @@ from siftstone.llm.simhash import fingerprints
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 MAX_BITS = 4
 _ROWS = 1 << 13
+#: Groups of one key with more fingerprints than this are split by blocks of bits before they are compared.
+_LARGE = 2048
 
 
 def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +58,23 @@ def _spanning_links(prints: np.ndarray, max_bits: int) -> list[tuple[np.ndarray,
     return found
 
 
+def _block_links(prints: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Spanning links of a large group without holding each fingerprint against each other one.
+
+    Of max_bits + 1 blocks of the 64 bits, two fingerprints that link agree in one at least: every link lies
+    within a run of equal values of some block, so the runs' spanning links join what all links do.
+    """
+    edges, found = np.linspace(0, 64, max_bits + 2).astype(int), []
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        block = (prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+        order = np.argsort(block, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])
+        sizes = np.diff(np.r_[starts, len(block)])
+        for at, n in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+            found += _spanning_links(prints[order[at : at + n]], max_bits)
+    return found
+
+
 def _links_of_groups(keys: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of each run of equal keys."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -64,7 +83,7 @@ def _links_of_groups(keys: np.ndarray, prints: np.ndarray, max_bits: int) -> tup
     two = two[np.bitwise_count(prints[two] ^ prints[two + 1]) <= max_bits]
     found = [(prints[two], prints[two + 1])]
     for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        found += _spanning_links(prints[at : at + n], max_bits)
+        found += (_block_links if n > _LARGE else _spanning_links)(prints[at : at + n], max_bits)
     a, b = (np.concatenate(x) for x in zip(*found))
     return a, b
 

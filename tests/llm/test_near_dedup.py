@@ -106,3 +106,41 @@ def test_odd_rows(spark):
     kept = deduplicate(docs)
     assert kept.columns[0] == "doc_id" and set(kept.columns) == set(docs.columns)
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 5, 7, 8]
+
+
+def test_large_groups_of_one_key_are_split_without_loss():
+    import time
+
+    from siftstone.llm.near_dedup import _LARGE, _block_links, _links_of_groups, _spanning_links
+
+    def labels(links, prints):
+        label = {p: p for p in prints.tolist()}
+
+        def root(x):
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        for a, b in links:
+            for x, y in zip(np.broadcast_to(a, len(b)).tolist(), b.tolist()):
+                label[max(root(x), root(y))] = min(root(x), root(y))
+        return {p: root(p) for p in label}
+
+    rng = np.random.default_rng(6)
+    seeds = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    flips = [seeds]
+    for _ in range(9):  # chains and bunches of fingerprints a few bits apart
+        base = np.concatenate(flips)[rng.integers(0, sum(map(len, flips)), 250)]
+        for k in range(int(rng.integers(1, 6))):
+            base = base ^ (np.uint64(1) << rng.integers(0, 64, len(base)).astype(np.uint64))
+        flips.append(base)
+    prints = np.unique(np.concatenate(flips))
+    assert len(prints) > _LARGE
+    assert labels(_block_links(prints, 4), prints) == labels(_spanning_links(prints, 4), prints)
+    a, b = _links_of_groups(np.zeros(len(prints), np.int64), prints, 4)
+    assert labels([(a, b)], prints) == labels(_spanning_links(prints, 4), prints) and (np.bitwise_count(a ^ b) <= 4).all()
+    many = np.unique(rng.integers(0, 1 << 63, 300_000, dtype=np.uint64))  # one key that a great many share
+    began = time.time()
+    _block_links(many, 4)
+    assert time.time() - began < 120
