@@ -103,3 +103,15 @@ def test_stages_with_near_copies_by_shingles(spark, sf_dir):
 
     library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert {r.doc_id: r.ids for r in pipeline.run(spark, sf_dir).collect()} == {i: library.encode(t) for i, t in clean.items()}
+
+
+def test_further_columns_stay_whatever_their_names(spark, sf_dir):
+    F = test_near_copies.near_copies.__globals__["F"]
+    names = ["node", "key", "component", "__id", "__text", "row", "label", "score", "item_id", "chunk_id"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
