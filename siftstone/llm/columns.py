@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import re
 
@@ -39,6 +42,19 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def giving_back(run):
+    """run, a map of Arrow batches, and after its last one the memory that its task has freed is given back to the machine. Spark keeps Python workers for later tasks: without this, those that are idle hold what they needed most."""
+
+    def outer(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without this call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return outer
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """name, with as many underscores behind it as make it none of those taken (upper and lower case count as one)."""
     known = {t.lower() for t in taken}
@@ -128,8 +144,8 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = [c for c in docs.columns if c != text_col] if carry else []
     rows = docs.select(F.col(id_col).cast("long").alias(free_name("__id", others)), F.col(text_col).cast("string").alias(free_name("__text", others)), *others)
     if then is not None:
-        return rows.mapInArrow(lambda batches: then(make(batches)), schema)
-    return rows.mapInArrow(make, "chunk_id long, n_docs long, ids binary, lens binary, texts binary, rest binary")
+        return rows.mapInArrow(giving_back(lambda batches: then(make(batches))), schema)
+    return rows.mapInArrow(giving_back(make), "chunk_id long, n_docs long, ids binary, lens binary, texts binary, rest binary")
 
 
 def open_chunk(row: dict) -> tuple[np.ndarray, list[bytes]]:

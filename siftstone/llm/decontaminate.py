@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.columns import NO_ID, pack, shared_checkpoint, text_bytes, unpack
+from siftstone.llm.columns import NO_ID, giving_back, pack, shared_checkpoint, text_bytes, unpack
 
 #: The masks: 1 picks a token, 0 ignores it.
 MASKS = ("1111001", "1101011")
@@ -229,7 +229,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: f
                 texts = text_bytes(batch.column(batch.schema.get_field_index("text")))
                 yield batch.filter(pa.array([find(x)[0] == 0 for x in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(giving_back(run), docs.schema)
         docs = shared_checkpoint(docs) if n_blocks > 1 else docs
     return docs
 

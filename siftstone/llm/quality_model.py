@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.columns import pack, text_bytes, unpack
+from siftstone.llm.columns import giving_back, pack, text_bytes, unpack
 
 #: The bound on what is learned from: so many labelled rows, those with the smallest hash of the id.
 TRAIN_DOCS = 4000
@@ -167,7 +167,7 @@ class SubwordClassifier:
                         done += 1
             yield pa.RecordBatch.from_arrays([pa.array([pack((table @ layer).astype(np.float32))], pa.binary()), pa.array([bias.astype(float).tolist()], pa.list_(pa.float64())), pa.array([len(y)], pa.int64())], names=["weights", "biases", "n"])
 
-        model = found.select("text", "label").repartition(1).mapInArrow(train, "weights binary, biases array<double>, n long").first()
+        model = found.select("text", "label").repartition(1).mapInArrow(giving_back(train), "weights binary, biases array<double>, n long").first()
         if model is None:
             return SubwordClassifier(pack(np.zeros((BUCKETS, classes), np.float32)), (0.0,) * classes, 0)
         return SubwordClassifier(bytes(model.weights), tuple(model.biases), model.n)
@@ -181,7 +181,7 @@ class SubwordClassifier:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(text_bytes(batch.column(1))))], names=["doc_id", "score"])
 
-        return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double")
+        return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(giving_back(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: SubwordClassifier, threshold: float = 0.7) -> DataFrame:
@@ -194,4 +194,4 @@ def keep_good(docs: DataFrame, model: SubwordClassifier, threshold: float = 0.7)
             keep = scorer(text_bytes(batch.column(batch.schema.get_field_index("text")))) >= threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.anchors import _mix as mix
 from siftstone.llm.anchors import _powers as powers
-from siftstone.llm.columns import MIB, chunk_documents, id_column, open_chunk, pack, shared_checkpoint, unpack
+from siftstone.llm.columns import MIB, chunk_documents, giving_back, id_column, open_chunk, pack, shared_checkpoint, unpack
 
 SPACE = "▁"
 #: Added to the smallest score for a character that no piece has.
@@ -481,7 +481,7 @@ def _pack_answers(answers: DataFrame, table: PieceTable) -> DataFrame:
         if held:
             yield emit(held, resolve)
 
-    return answers.select("ref", "unit", "path").mapInArrow(run, "chunk_id long, numbers binary, lens binary, ids binary")
+    return answers.select("ref", "unit", "path").mapInArrow(giving_back(run), "chunk_id long, numbers binary, lens binary, ids binary")
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
