@@ -137,6 +137,7 @@ class SubwordClassifier:
 
         The train_docs labels with the smallest hash of the id are used, other labels and null ones
         are not; all classes weigh the same. Without rows of each class every class is equally likely.
+        No step moves a text's vector or the layer by more than 1, so weights stay finite whatever the texts.
         """
         at = F.xxhash64("id")
         bounded = labels.filter(F.col(label_col).isin(*range(classes))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(at, "id", "label").limit(train_docs)
@@ -161,8 +162,9 @@ class SubwordClassifier:
                         wrong = -softmax(hidden @ layer + bias)
                         wrong[y[i]] += 1
                         wrong *= weight[y[i]] * np.float32(RATE * (1 - done / steps))
-                        table[at] += np.outer(np.float32(min(50.0, len(at))) * w, layer @ wrong)
-                        layer += np.outer(hidden, wrong)
+                        step, turn = min(50.0, len(at)) * (layer @ wrong), np.outer(hidden, wrong)
+                        table[at] += np.outer(w, step / max(1.0, np.linalg.norm(step) * (w @ w))).astype(np.float32)
+                        layer += (turn / max(1.0, np.linalg.norm(turn))).astype(np.float32)
                         bias += wrong * np.float32(0.1)
                         done += 1
             yield pa.RecordBatch.from_arrays([pa.array([pack((table @ layer).astype(np.float32))], pa.binary()), pa.array([bias.astype(float).tolist()], pa.list_(pa.float64())), pa.array([len(y)], pa.int64())], names=["weights", "biases", "n"])

@@ -58,3 +58,12 @@ def test_three_classes(spark):
     model = SubwordClassifier.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 3 as int) as label"), classes=3)
     got = model.score(docs).collect()
     assert len(model.biases) == 3 and all((r.score > 0.7) == (r.doc_id % 3 == 1) for r in got)
+
+
+def test_a_word_that_fills_every_text_does_not_make_training_diverge(spark):
+    words = np.random.default_rng(5)
+    rows = [(i, "same " * 900 + " ".join(f"w{w}" for w in words.integers(0, 300, 40)) + (" fine" if i % 8 else " SPAM!!") * 40, int(i % 8 > 0)) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = SubwordClassifier.fit(docs, docs.select("doc_id", "label"))
+    assert np.isfinite(unpack(model.weights, np.float32)).all() and np.isfinite(model.biases).all()
+    assert all((r.score >= 0.7) == bool(r.label) for r in model.score(docs).join(docs.select("doc_id", "label"), "doc_id").collect())
