@@ -255,15 +255,20 @@ def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vec
 
     def best(batches):
         for batch in batches:
-            for q, x, r, y in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):  # blocks are read where they lie: a batch holds many pairs of them
+                q, x, r, y = (c[k].as_buffer() for c in batch.columns)
                 ids, own = np.frombuffer(q, np.int64), np.frombuffer(r, np.int64)
-                alike = np.round(np.frombuffer(x).reshape(len(ids), -1) @ np.frombuffer(y).reshape(len(own), -1).T, 6)
-                if skip_same:
-                    alike[ids[:, None] == own] = -np.inf
-                at = alike.argmax(axis=1)
-                top = alike[np.arange(len(ids)), at]
-                ok = top > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(own[at][ok]), pa.array(top[ok])], names=["q", "r", "s"])
+                vectors, others = np.frombuffer(x).reshape(len(ids), -1), np.frombuffer(y).reshape(len(own), -1).T
+                for low in range(0, len(ids), QUERY_ROWS):
+                    some = ids[low : low + QUERY_ROWS]
+                    alike = vectors[low : low + QUERY_ROWS] @ others
+                    np.round(alike, 6, out=alike)
+                    if skip_same:
+                        alike[some[:, None] == own] = -np.inf
+                    at = alike.argmax(axis=1)
+                    top = alike[np.arange(len(some)), at]
+                    ok = top > -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(some[ok]), pa.array(own[at][ok]), pa.array(top[ok])], names=["q", "r", "s"])
 
     blocks = lambda df, i: df.select(F.col(i).cast("long").alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL").mapInArrow(pack, "ids binary, vectors binary")
     met = blocks(queries, query_id).toDF("q", "x").crossJoin(blocks(rows, row_id).toDF("r", "y"))

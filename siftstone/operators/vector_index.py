@@ -25,6 +25,8 @@ SAMPLE, MOST_LISTS = 20_000, 1024
 RECALL = 0.97
 #: Rows in a block, and queries that meet it at a time.
 BLOCK_ROWS, QUERY_ROWS = 4096, 1024
+#: Queries of a block that are held against one of rows at a time.
+_TILE = 256
 #: Similarities are compared to six places: a ring is passed over only if it is worse by more than this.
 MARGIN = 2e-6
 _BLOCKS = "list int, low double, high double, ids binary, vectors binary"
@@ -172,18 +174,23 @@ class VectorIndex:
 
         def best(batches):
             for batch in batches:
-                for low, high, rows, vectors, near, least, q, x in zip(*(c.to_pylist() for c in batch.columns)):
+                for k in range(batch.num_rows):  # blocks are read where they lie: a batch holds many pairs of them
+                    low, high = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                    rows, vectors, near, least, q, x = (c[k].as_buffer() for c in batch.columns[2:])
                     near, least, q = np.frombuffer(near), np.frombuffer(least), np.frombuffer(q, np.int64)
-                    some = best_possible(near, np.array(low), np.array(high)) >= least - MARGIN
-                    if some.any():
-                        ids, q = np.frombuffer(rows, np.int64), q[some]
-                        alike = np.round(np.frombuffer(x).reshape(len(some), -1)[some] @ np.frombuffer(vectors).reshape(len(ids), -1).T, 6)
+                    some = np.flatnonzero(best_possible(near, np.array(low), np.array(high)) >= least - MARGIN)
+                    ids = np.frombuffer(rows, np.int64)
+                    asked_, others = np.frombuffer(x).reshape(len(q), -1), np.frombuffer(vectors).reshape(len(ids), -1).T
+                    for first in range(0, len(some), _TILE):
+                        part = some[first : first + _TILE]
+                        alike = asked_[part] @ others
+                        np.round(alike, 6, out=alike)
                         if skip_same:
-                            alike[q[:, None] == ids] = -np.inf
+                            alike[q[part, None] == ids] = -np.inf
                         at = alike.argmax(axis=1)  # ids of a block ascend
-                        top = alike[np.arange(len(q)), at]
+                        top = alike[np.arange(len(part)), at]
                         ok = top > -np.inf
-                        yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(ids[at][ok]), pa.array(top[ok])], names=["q", "r", "s"])
+                        yield pa.RecordBatch.from_arrays([pa.array(q[part][ok]), pa.array(ids[at][ok]), pa.array(top[ok])], names=["q", "r", "s"])
 
         met = self.blocks.join(_pack(asked, QUERY_ROWS).drop("low", "high").withColumnsRenamed({"ids": "q", "vectors": "x"}), "list")
         return met.select("low", "high", "ids", "vectors", "near", "least", "q", "x").mapInArrow(best, "q long, r long, s double")
