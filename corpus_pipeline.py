@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.columns import read
 from siftstone.llm.decontaminate import drop_leaks
-from siftstone.llm.near_dedup import deduplicate
+from siftstone.llm.near_dedup import drop_near_duplicates
 from siftstone.llm.quality_model import SubwordClassifier, keep_good
 from siftstone.llm.queries import QUALITY_THRESHOLD, pieces, training_labels
 from siftstone.llm.sentencepiece_lattice import encode
@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id. Empty texts are copies of each other. Rows that repeat a doc_id stay or go together; rows without one stay."""
-    return deduplicate(docs)
+    """One document of each group of near copies by SimHash of 5-word shingles (links at 4 bits, found by Golay keys), the one with the smallest doc_id. Empty texts are copies of each other. Rows that repeat a doc_id stay or go together; rows without one stay."""
+    return drop_near_duplicates(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

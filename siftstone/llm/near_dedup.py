@@ -151,3 +151,9 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> Da
     """The rows of docs whose doc_id names its component: one document of each group of texts linked by a Jaccard similarity of least or more of their shingles. Rows that repeat a doc_id stay or go together; rows without one stay."""
     gone = near_copies(docs, width=width, least=least).filter("node <> component").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs whose doc_id names its component of `near_duplicates`: one document of each group of linked fingerprints. Rows that repeat a doc_id stay or go together; rows without one stay."""
+    gone = near_duplicates(docs, width=width, max_bits=max_bits).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
