@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
+from siftstone.operators import small_graphs as small
 from siftstone.plans.lineage import shared_checkpoint
 
 
@@ -59,7 +61,19 @@ def without_leaves(edges: DataFrame, graph: Sequence[str] = (), a: str = "a", b:
 
 
 def cycle_counts(nodes: DataFrame, edges: DataFrame, graph: Sequence[str], node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
-    """graph, n_nodes, n_edges, n_components and n_cycles (independent ones: edges - nodes + components). Loops and repeated edges are not counted."""
+    """graph, n_nodes, n_edges, n_components and n_cycles (independent ones: edges - nodes + components). Loops and repeated edges are not counted.
+
+    Graphs of up to small_graphs.WHOLE rows are counted whole in a task, larger ones by rounds of joins.
+    """
+    if not small.can_be_small(graph, (nodes, node), (edges, a), (edges, b)):
+        return _cycle_counts_by_rounds(nodes, edges, graph, node, a, b)
+    counts = ["n_nodes", "n_edges", "n_components"]
+    done, rest = small.through_tasks(small.graph_rows(graph, edges, a, b, nodes, node), graph, small.cycles, dict.fromkeys(counts, "long"))
+    done = done.select(*graph, *counts, (F.col("n_edges") - F.col("n_nodes") + F.col("n_components")).alias("n_cycles"))
+    return done if rest is None else done.union(_cycle_counts_by_rounds(*small.taken_apart(rest, graph), graph, "node", "a", "b"))
+
+
+def _cycle_counts_by_rounds(nodes: DataFrame, edges: DataFrame, graph: Sequence[str], node: str, a: str, b: str) -> DataFrame:
     labels = component_labels(nodes, edges, graph, node, a, b)
     sizes = labels.groupBy(*graph).agg(F.count("*").alias("n_nodes"), F.count_if(F.col("node") == F.col("label")).alias("n_components"))
     once = edges.filter(F.col(a) != F.col(b)).select(*graph, F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct().groupBy(*graph).agg(F.count("*").alias("n_edges"))
@@ -76,18 +90,49 @@ def surroundings(nodes: DataFrame, edges: DataFrame, graph: Sequence[str], start
     """graph, node, radius and hash: of each node its start value, then 1 to radius times a hash of its own hash and those of its neighbours with the kinds of the edges.
 
     start is an expression over nodes. Nodes whose surroundings are the same have the same hash (64 bits;
-    the neighbours enter as a bag). Repeated nodes and edges count once.
+    the neighbours enter as a bag). Repeated nodes and edges count once. Graphs of up to small_graphs.WHOLE rows
+    are hashed whole in a task, larger ones by a join for each radius.
     """
-    keys = [*graph, "node"]
+    begun, linked, of_type = _hashed(nodes, edges, graph, start, node, a, b, kind)
+    if not small.can_be_small(graph, (nodes, node), (edges, a), (edges, b)):
+        return surroundings_by_rounds(begun, linked, graph, radius)
+    done, rest = small.through_tasks(small.graph_rows(graph, linked, "a", "b", begun, "node", ["value"]), graph, small.surroundings(radius), {"hashes": "array<long>"})
+    own = F.when(F.col("is") == small.NODE, F.col("a")).cast(of_type).alias("node")
+    done = done.select(*graph, own, F.posexplode("hashes").alias("radius", "hash")).select(*graph, "node", "hash", "radius")
+    if rest is None:
+        return done
+    return done.union(surroundings_by_rounds(*small.taken_apart(rest, graph, "value"), graph, radius).withColumn("node", F.col("node").cast(of_type)))
+
+
+def surrounding_kinds(nodes: DataFrame, edges: DataFrame, graph: Sequence[str], start: Column, radius: int, node: str = "node", a: str = "a", b: str = "b", kind: str | None = None) -> DataFrame:
+    """graph, radius and kinds: how many different hashes the surroundings of a graph's nodes have at 0 to radius."""
+    begun, linked, _ = _hashed(nodes, edges, graph, start, node, a, b, kind)
+    by_rounds = lambda n, e: surroundings_by_rounds(n, e, graph, radius).groupBy(*graph, "radius").agg(F.count_distinct("hash").alias("kinds"))
+    if not small.can_be_small(graph, (nodes, node), (edges, a), (edges, b)):
+        return by_rounds(begun, linked)
+    done, rest = small.through_tasks(small.graph_rows(graph, linked, "a", "b", begun, "node", ["value"]), graph, small.surrounding_kinds(radius), {"found": "array<long>"})
+    done = done.select(*graph, F.posexplode("found").alias("radius", "kinds"))
+    return done if rest is None else done.union(by_rounds(*small.taken_apart(rest, graph, "value")))
+
+
+def _hashed(nodes: DataFrame, edges: DataFrame, graph: Sequence[str], start: Column, node: str, a: str, b: str, kind: str | None) -> tuple[DataFrame, DataFrame, DataType]:
+    """Nodes (graph, node, value) with the hash of their start, edges (graph, a, b, value) with that of their kind, and the type of node."""
     edge_kind = F.col(kind) if kind else F.lit(0)
-    once = edges.filter(F.col(a) != F.col(b)).select(*graph, F.least(a, b).alias(a), F.greatest(a, b).alias(b), edge_kind.alias("__kind")).distinct()
-    links = shared_checkpoint(both_ways(once, graph, a, b, "__kind"))
-    now = shared_checkpoint(nodes.select(*graph, F.col(node).alias("node"), F.xxhash64(start).alias("hash")).dropDuplicates(keys))
+    begun = nodes.select(*graph, F.col(node).alias("node"), F.xxhash64(start).alias("value"))
+    return begun, edges.select(*graph, F.col(a).alias("a"), F.col(b).alias("b"), F.xxhash64(edge_kind).alias("value")), begun.schema["node"].dataType
+
+
+def surroundings_by_rounds(nodes: DataFrame, edges: DataFrame, graph: Sequence[str], radius: int) -> DataFrame:
+    """graph, node, hash and radius from what _hashed gives."""
+    keys = [*graph, "node"]
+    once = edges.filter("a <> b").select(*graph, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("value").alias("__kind")).distinct()
+    links = shared_checkpoint(both_ways(once, graph, "a", "b", "__kind"))
+    now = shared_checkpoint(nodes.select(*keys, F.col("value").alias("hash")).dropDuplicates(keys))
     out = now.withColumn("radius", F.lit(0))
     for r in range(1, radius + 1):
         beside = links.join(now.select(*graph, F.col("node").alias("other"), F.col("hash").alias("__h")), [*graph, "other"])
         bags = beside.groupBy(*keys).agg(*_bag(F.xxhash64("__kind", "__h")))
-        now = shared_checkpoint(now.join(bags, keys, "left").select(*keys, F.xxhash64(F.lit(r), "hash", "__n", "__low", "__high", "__xor").alias("hash")))
+        now = shared_checkpoint(now.join(bags, keys, "left").select(*keys, F.xxhash64(F.lit(r).cast("long"), "hash", "__n", "__low", "__high", "__xor").alias("hash")))
         out = out.union(now.withColumn("radius", F.lit(r)))
     return out
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.operators.graphs import both_ways, cycle_counts, folded_bits, surroundings, without_leaves
+from siftstone.operators import small_graphs as small
+from siftstone.operators.graphs import both_ways, cycle_counts, folded_bits, surroundings, surroundings_by_rounds, without_leaves
 
 #: First character and width of the fields of an atom line and of a bond line of a record (fixed values).
 ATOM_LINE = (("x", 1, 10, "double"), ("y", 11, 10, "double"), ("z", 21, 10, "double"), ("element", 32, 3, "string"))
@@ -78,13 +79,34 @@ def ring_counts(atoms: DataFrame, bonds: DataFrame, mol: str = "mol") -> DataFra
     return cycle_counts(atoms, bonds, [mol], "atom")
 
 
+#: Stands for a kind that is null; it is larger than any other.
+NO_KIND = (1 << 63) - 1
+
+
+def _kinds(kind: str) -> Column:
+    return F.coalesce(F.col(kind).cast("long"), F.lit(NO_KIND))
+
+
 def scaffold_bonds(bonds: DataFrame, mol: str = "mol", kind: str = "kind", keep_double: bool = True) -> DataFrame:
-    """The bonds of rings and of the linkers between them: side chains are taken off from their ends. keep_double: an atom held to these by a double bond stays too. A molecule without a ring has none."""
-    core = without_leaves(bonds, [mol], kept=[kind])
+    """The bonds of rings and of the linkers between them: side chains are taken off from their ends. keep_double: an atom held to these by a double bond stays too. A molecule without a ring has none.
+
+    Of repeated bonds the least kind counts. Molecules of up to small_graphs.WHOLE bonds are done whole in a task, larger ones by rounds of joins.
+    """
+    if not small.can_be_small([mol], (bonds, "a"), (bonds, "b"), (bonds, kind)):
+        return _scaffold_bonds_by_rounds(bonds, mol, kind, keep_double)
+    types = {c: bonds.schema[c].dataType for c in ("a", "b", kind)}
+    rows = small.graph_rows([mol], bonds.withColumn("value", _kinds(kind)), "a", "b", more=["value"])
+    done, rest = small.through_tasks(rows, [mol], small.scaffolds(DOUBLE if keep_double else None))
+    found = done if rest is None else done.select(mol, "a", "b", "value").union(_scaffold_bonds_by_rounds(rest, mol, "value", keep_double))
+    return found.select(mol, *(F.col(c).cast(types[c]) for c in ("a", "b")), F.nullif("value", F.lit(NO_KIND)).cast(types[kind]).alias(kind))
+
+
+def _scaffold_bonds_by_rounds(bonds: DataFrame, mol: str, kind: str, keep_double: bool) -> DataFrame:
+    once = bonds.filter("a <> b").groupBy(mol, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(kind).alias(kind))
+    core = without_leaves(once, [mol], kept=[kind])
     if not keep_double:
         return core
     inside = both_ways(core, [mol]).select(mol, "node").distinct()
-    once = bonds.filter("a <> b").select(mol, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), kind).dropDuplicates([mol, "a", "b"])
     double = once.filter(F.col(kind) == DOUBLE)
     held = [double.join(inside.withColumnRenamed("node", end), [mol, end], "left_semi").select(mol, "a", "b", kind) for end in ("a", "b")]
     return core.union(held[0]).union(held[1]).dropDuplicates([mol, "a", "b"])
@@ -94,16 +116,33 @@ def scaffold_keys(atoms: DataFrame, bonds: DataFrame, mol: str = "mol", element:
     """mol and scaffold: a text that is the same for equal scaffolds; missing for a molecule without a ring.
 
     It is made of the numbers of atoms and bonds and of the bag of hashed surroundings up to radius, so
-    scaffolds that differ only farther away than that from every atom share a key.
+    scaffolds that differ only farther away than that from every atom share a key. Molecules of up to small_graphs.WHOLE
+    atoms and bonds are done whole in a task, larger ones by rounds of joins.
     """
-    core = scaffold_bonds(bonds, mol, kind)
-    inside = both_ways(core, [mol]).select(mol, F.col("node").alias("atom")).distinct()
-    own = atoms.join(inside, [mol, "atom"], "left_semi")
-    last = surroundings(own, core, [mol], F.col(element), radius, "atom", kind=kind).filter(F.col("radius") == radius)
+    begun = atoms.select(mol, F.col("atom").alias("node"), F.xxhash64(element).alias("value"))
+    if not small.can_be_small([mol], (atoms, "atom"), (bonds, "a"), (bonds, "b"), (bonds, kind)):
+        return _scaffold_keys_by_rounds(begun, bonds, mol, kind, radius, missing)
+    rows = small.graph_rows([mol], bonds.withColumn("value", _kinds(kind)), "a", "b", begun, "node", ["value"])
+    done, rest = small.through_tasks(rows, [mol], small.scaffold_bags(radius, DOUBLE), dict.fromkeys(("n", "low", "high", "x"), "long"))
+    done = done.select(mol, F.when(F.col("n") > 0, _scaffold_key()).otherwise(F.lit(missing)).alias("scaffold"))
+    return done if rest is None else done.union(_scaffold_keys_by_rounds(*small.taken_apart(rest, [mol], "value"), mol, "value", radius, missing))
+
+
+def _scaffold_key() -> Column:
+    return F.concat_ws("-", F.col("n").cast("string"), F.hex(F.xxhash64("low", "high", "x")))
+
+
+def _scaffold_keys_by_rounds(begun: DataFrame, bonds: DataFrame, mol: str, kind: str, radius: int, missing: str) -> DataFrame:
+    """begun: mol, node and value, the hash that it begins with."""
+    core = _scaffold_bonds_by_rounds(bonds, mol, kind, True)
+    inside = both_ways(core, [mol]).select(mol, "node").distinct()
+    own = begun.join(inside, [mol, "node"], "left_semi")
+    linked = core.select(mol, "a", "b", F.xxhash64(kind).alias("value"))
+    last = surroundings_by_rounds(own, linked, [mol], radius).filter(F.col("radius") == radius)
     h = F.col("hash")
     bags = last.groupBy(mol).agg(F.count("*").alias("n"), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))).alias("low"), F.sum(F.shiftrightunsigned(h, 33)).alias("high"), F.bit_xor(h).alias("x"))
-    keys = bags.select(mol, F.concat_ws("-", F.col("n").cast("string"), F.hex(F.xxhash64("low", "high", "x"))).alias("scaffold"))
-    return atoms.select(mol).distinct().join(keys, mol, "left").withColumn("scaffold", F.coalesce("scaffold", F.lit(missing)))
+    keys = bags.select(mol, _scaffold_key().alias("scaffold"))
+    return begun.select(mol).distinct().join(keys, mol, "left").withColumn("scaffold", F.coalesce("scaffold", F.lit(missing)))
 
 
 def circular_fingerprints(atoms: DataFrame, bonds: DataFrame, mol: str = "mol", element: str = "element", kind: str = "kind", radius: int = 2, bits: int = 2048) -> DataFrame:

@@ -332,7 +332,7 @@ def prepared_receptors(spark, sf_dir):
 
 def _molecules(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Orders as molecules: their lines are bonds between six atoms."""
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mol"), (F.col("l_partkey") % 6 + 1).cast("int").alias("a"), (F.col("l_suppkey") * 7 % 6 + F.col("l_linenumber") % 3 + 1).cast("int").alias("b"), (F.col("l_linenumber") % 3 + 1).alias("kind"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mol"), (F.col("l_partkey") % 6 + 1).cast("int").alias("a"), (F.col("l_suppkey") * 7 % 6 + F.col("l_linenumber") % 3 + 1).cast("int").alias("b"), (F.col("l_linenumber") % 3 + 1).alias("kind")).repartition("mol")
     bonds = lines.filter("a <> b").groupBy("mol", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("kind").cast("int").alias("kind"))
     atoms = graphs.both_ways(lines, ["mol"]).select("mol", F.col("node").alias("atom")).distinct()
     return atoms.withColumns({"element": F.element_at(F.array(*map(F.lit, "CNOS")), F.col("atom") % 4 + 1), "x": F.col("atom") / 4, "y": -(F.col("atom") / 2), "z": F.lit(0.5)}), bonds
@@ -358,8 +358,7 @@ def scaffold_groups(spark, sf_dir):
 @query
 def atom_surroundings(spark, sf_dir):
     atoms, bonds = _molecules(spark, sf_dir)
-    found = graphs.surroundings(atoms, bonds, ["mol"], F.col("element"), 3, "atom", kind="kind")
-    return found.groupBy("mol", "radius").agg(F.count_distinct("hash").alias("kinds"))
+    return graphs.surrounding_kinds(atoms, bonds, ["mol"], F.col("element"), 3, "atom", kind="kind")
 
 
 @query
