@@ -50,23 +50,34 @@ def parse_records(records: DataFrame, text: str = "value") -> DataFrame:
 
 def atom_rows(parsed: DataFrame, key: str) -> DataFrame:
     """key, atom (from 1), x, y, z and element of parsed records."""
-    return parsed.select(key, F.posexplode("atom_lines").alias("at", "line")).select(key, (F.col("at") + 1).alias("atom"), *_fields(F.col("line"), ATOM_LINE))
+    # explode without _outer would add a filter on the lines that parses each record again for every field it reads
+    return parsed.select(key, F.posexplode_outer("atom_lines").alias("at", "line")).filter("line IS NOT NULL").select(key, (F.col("at") + 1).alias("atom"), *_fields(F.col("line"), ATOM_LINE))
 
 
 def bond_rows(parsed: DataFrame, key: str) -> DataFrame:
     """key, a, b and kind of parsed records; a bond line that cannot be read is left out."""
-    return parsed.select(key, F.explode("bond_lines").alias("line")).select(key, *_fields(F.col("line"), BOND_LINE)).filter("a IS NOT NULL AND b IS NOT NULL")
+    return parsed.select(key, F.explode_outer("bond_lines").alias("line")).filter("line IS NOT NULL").select(key, *_fields(F.col("line"), BOND_LINE)).filter("a IS NOT NULL AND b IS NOT NULL")
+
+
+def _place(c: str) -> Column:
+    """A coordinate as %10.4f gives it; decimals are much quicker, and what they cannot say (-0.0000, very large, NaN) is left to it."""
+    x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    size = F.abs(x)
+    plain = F.lpad(F.when((size >= 0.001) & (size < 9999), x).cast("decimal(9,4)").cast("string"), 10, " ")
+    return F.coalesce(plain, F.when(x.cast("string") == "0.0", F.lit("    0.0000")), F.format_string("%10.4f", x))
 
 
 def format_records(molecules: DataFrame, atoms: DataFrame, bonds: DataFrame, key: str, name: str | None = None) -> DataFrame:
     """key and value: a record of each molecule, without its separator. A record has up to 999 atoms and bonds, which is all that its counts can say; one with more is null."""
     number = lambda c, n: F.lpad(F.col(c).cast("string"), n, " ")
-    place = lambda c: F.format_string("%10.4f", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    atom = F.concat(place("x"), place("y"), place("z"), F.lit(" "), F.rpad("element", 3, " "), F.lit(" 0  0"))
+    atom = F.concat(_place("x"), _place("y"), _place("z"), F.lit(" "), F.rpad("element", 3, " "), F.lit(" 0  0"))
     bond = F.concat(number("a", 3), number("b", 3), number("kind", 3), F.lit("  0"))
-    joined = lambda df, order, line: df.groupBy(key).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda s: s["line"]).alias("lines"))
-    a, b = joined(atoms, ["atom"], atom), joined(bonds, ["a", "b"], bond)
-    rows = molecules.select(key, (F.col(name) if name else F.lit("")).cast("string").alias("title")).join(a.toDF(key, "na", "la"), key, "left").join(b.toDF(key, "nb", "lb"), key, "left")
+    lines = atoms.select(key, F.lit(True).alias("is_atom"), F.col("atom").cast("long").alias("first"), F.lit(0).cast("long").alias("second"), atom.alias("line"))
+    lines = lines.union(bonds.select(key, F.lit(False), F.col("a").cast("long"), F.col("b").cast("long"), bond))
+    in_order = lambda of: F.transform(F.sort_array(F.collect_list(F.when(of, F.struct("first", "second", "line")))), lambda s: s["line"])
+    is_atom = F.col("is_atom")
+    texts = lines.groupBy(key).agg(F.count_if(is_atom).alias("na"), F.count_if(~is_atom).alias("nb"), in_order(is_atom).alias("la"), in_order(~is_atom).alias("lb"))
+    rows = molecules.select(key, (F.col(name) if name else F.lit("")).cast("string").alias("title")).join(texts, key, "left")
     na, nb = (F.coalesce(c, F.lit(0)) for c in ("na", "nb"))
     none = F.array().cast("array<string>")
     counts = F.concat(F.lpad(na.cast("string"), 3, " "), F.lpad(nb.cast("string"), 3, " "), F.lit("  0  0  0  0  0  0  0  0999 V2000"))
