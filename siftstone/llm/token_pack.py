@@ -8,9 +8,10 @@ ascending order of doc_id over the files; part numbers the files' tasks and star
 
 from __future__ import annotations
 
-import re
+import os
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,6 @@ from siftstone.llm.columns import NO_ID, id_array, id_column, shared_folder
 BLOCK_IDS = 1 << 16
 END_ID = 0
 _MEMO, _TEXTS = 1 << 20, 128
-#: White space at either end, beside other white space, or other than a space and a newline; an empty text.
-_ODD = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z|\A\Z")
 BLOCK_SCHEMA = "part int, block int, first_id long, last_id long, start long, n_ids long, bits int, doc_ids binary, doc_ends binary, payload binary"
 
 
@@ -63,6 +62,11 @@ def unpack_bits(data: bytes, bits: int, start: int, end: int) -> np.ndarray:
     return (values & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+def is_odd(text: str) -> bool:
+    """White space at either end, beside other white space, or other than a space and a newline; an empty text."""
+    return not text or " ".join(text.split()) != text.replace("\n", " ")
+
+
 class Encoder:
     """A byte-level BPE tokenizer with a bounded memo.
 
@@ -74,8 +78,6 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -113,7 +115,7 @@ class Encoder:
         for text in texts:
             pieces = text.replace("\n", " \0\n \0").split(" ")
             pieces[0] = "\0" + pieces[0]
-            odd = "\0" in text or _ODD.search(text) is not None or any(s in text for s in self.special)
+            odd = "\0" in text or is_odd(text) or any(s in text for s in self.special)
             cut.append(None if odd else pieces)
         fresh = set().union(*(x for x in cut if x)).difference(self.memo)
         if len(self.memo) + len(fresh) > _MEMO:
@@ -125,6 +127,12 @@ class Encoder:
         return [self._whole(t).tobytes() if x is None else b"".join(map(look_up, x)) for t, x in zip(texts, cut)]
 
 
+@lru_cache(maxsize=1)
+def lasting_encoder(path: str, changed: int) -> Encoder:
+    """One encoder for all tasks of a worker, so what is learned in one task serves the next; its memo is as bounded as before."""
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Encodes every whole text (null: empty), each followed by end_id, and writes the blocks to path in ascending order of the id; a null id comes last.
 
@@ -134,7 +142,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     def encode(batches):
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer_path)
+        part, encoder = TaskContext.get().partitionId(), lasting_encoder(tokenizer_path, os.stat(tokenizer_path).st_mtime_ns)
         bits, end = vocabulary_bits(encoder.size), np.array([end_id], "<u4").tobytes()
         block = start = 0
         ids, parts, sizes = [], [], []
