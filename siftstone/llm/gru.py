@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 WINDOW = 16
+#: Columns of class probabilities that are worked on at a time, so that they stay in the processor's cache.
+_COLUMNS = 2048
 _ADAM = (0.9, 0.99, 1e-6)
 
 
@@ -28,6 +30,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _log_softmax(logits: np.ndarray, bias: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Logarithm of the wanted row's probability in each column. logits are written over."""
+    logits += bias
+    logits -= logits.max(axis=0)
+    out = logits[wanted, np.arange(len(wanted))]
+    np.exp(logits, out=logits)
+    out -= np.log(logits.sum(axis=0))
+    return out
+
+
+def _softmax_error(logits: np.ndarray, bias: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, float]:
+    """Probabilities less one in the wanted row of each column, and the sum of losses. logits are written over."""
+    logits += bias
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    logits *= 1 / logits.sum(axis=0)
+    at = wanted, np.arange(len(wanted))
+    right = logits[at]
+    logits[at] = right - 1
+    return logits, -np.log(right + 1e-30).sum()
+
+
 class Gru:
     """Words have numbers 0 to V - 1, sorted by class; cls is the class of each. The last number starts a text and ends it."""
 
@@ -56,61 +80,83 @@ class Gru:
             at += x.size
 
     def _step(self, word: np.ndarray, state: np.ndarray):
+        """Next state (a row for each word), beside what led to it."""
+        return tuple(x.T for x in self._advance(self.inputs.T[:, word], self.gates.T, state.T))
+
+    def _advance(self, own: np.ndarray, gates: np.ndarray, state: np.ndarray):
+        """_step() on columns: own are the inputs of the words. Slices of whole rows are contiguous, so that each operation is a plain loop."""
         h = self.hidden
-        own, back = self.inputs[word], state @ self.gates
-        gates = _sigmoid(own[:, : 2 * h] + back[:, : 2 * h])
-        keep, reset = gates[:, :h], gates[:, h:]
-        new = np.tanh(own[:, 2 * h :] + reset * back[:, 2 * h :])
-        return new + keep * (state - new), keep, reset, new, back[:, 2 * h :]
+        back = gates @ state
+        sig = _sigmoid(own[: 2 * h] + back[: 2 * h])
+        keep, reset, back = sig[:h], sig[h:], back[2 * h :]
+        new = reset * back
+        new += own[2 * h :]
+        np.tanh(new, out=new)
+        after = state - new
+        after *= keep
+        after += new
+        return after, keep, reset, new, back
 
     def _by_class(self, words: np.ndarray):
-        """(class, rows of that class) for classes with more than one word."""
+        """Rows of the words of classes with more than one word, by class, and (class, begin, end) among them for each such class."""
         cls = self.cls[words].astype(np.uint16)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(self.first), dtype=np.uint16))
-        for c in range(len(self.first) - 1):
-            if cuts[c] < cuts[c + 1] and self.first[c + 1] - self.first[c] > 1:
-                yield c, order[cuts[c] : cuts[c + 1]]
+        several = np.flatnonzero((np.diff(self.first) > 1)[cls])
+        order = several[np.argsort(cls[several], kind="stable")]
+        cuts = np.searchsorted(cls[order], np.arange(len(self.first), dtype=np.uint16)).tolist()
+        return order, [(c, i, j) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
 
     def log_prob(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability after each state."""
-        rows = np.arange(len(words))
-        logits = states @ self.class_out + self.class_bias
-        top = logits.max(axis=1)
-        out = logits[rows, self.cls[words]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        for c, mine in self._by_class(words):
+        return self._log_prob(states.T, words)
+
+    def _log_prob(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """log_prob() with a column for each state."""
+        out, cls, weights, bias = np.empty(len(words), np.float32), self.cls[words], np.ascontiguousarray(self.class_out.T), self.class_bias[:, None]
+        for at in range(0, len(words), _COLUMNS):
+            cut = slice(at, at + _COLUMNS)
+            out[cut] = _log_softmax(weights @ states[:, cut], bias, cls[cut])
+        order, runs = self._by_class(words)
+        own, wanted, inside = states.take(order, axis=1), words[order], np.empty(len(order), np.float32)
+        for c, i, j in runs:
             a, b = self.first[c], self.first[c + 1]
-            logits = states[mine] @ self.word_out[a:b].T + self.word_bias[a:b]
-            top = logits.max(axis=1)
-            out[mine] += logits[np.arange(len(mine)), words[mine] - a] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            inside[i:j] = _log_softmax(self.word_out[a:b] @ own[:, i:j], self.word_bias[a:b, None], wanted[i:j] - a)
+        out[order] += inside
         return out.astype(np.float64)
 
     def score(self, texts: list[np.ndarray], window: int = WINDOW, beside: int = 512) -> np.ndarray:
-        """Natural log-likelihood of each whole text and its end. Texts of like length advance side by side, and the state is carried from window to window to the end of the longest."""
+        """Natural log-likelihood of each whole text and its end. Texts of like length advance side by side, and the state is carried to the end of the longest; probabilities are worked out for window * beside words at a time."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         total = np.zeros(len(texts))
         for at in range(0, len(order), beside):
-            total[order[at : at + beside]] = self._score_sorted([texts[i] for i in order[at : at + beside]], window)
+            total[order[at : at + beside]] = self._score_sorted([texts[i] for i in order[at : at + beside]], window * beside)
         return total
 
-    def _score_sorted(self, texts: list[np.ndarray], window: int) -> np.ndarray:
+    def _score_sorted(self, texts: list[np.ndarray], held: int) -> np.ndarray:
         lens = np.array([len(t) + 1 for t in texts])
-        grid_rows = np.concatenate([np.append(t, self.end) for t in texts]).astype(np.int32)
+        rows = np.concatenate([x for t in texts for x in (t, [self.end])]).astype(np.int32)
         starts = np.cumsum(lens) - lens
-        total, state = np.zeros(len(lens)), np.zeros((len(lens), self.hidden), np.float32)
+        inputs, gates = np.ascontiguousarray(self.inputs.T), np.ascontiguousarray(self.gates.T)
+        total, state = np.zeros(len(lens)), np.zeros((self.hidden, len(lens)), np.float32)
         word = np.full(len(lens), self.end, np.int32)
-        for begin in range(0, int(lens[0]), window):
-            states, words, active = [], [], []
-            for t in range(begin, min(begin + window, int(lens[0]))):
-                n = len(state) if t < lens[-1] else int(np.searchsorted(-lens, -t))  # texts that still have a word at t
-                state = self._step(word[:n], state[:n])[0]
-                word = grid_rows[starts[:n] + t]
-                states.append(state), words.append(word), active.append(n)
-            got = self.log_prob(np.concatenate(states), np.concatenate(words))
-            at = 0
+        many = np.searchsorted(-lens, -np.arange(int(lens[0]))).tolist()  # texts that still have a word at each place
+        states, words, active, at = np.empty((self.hidden, max(held, len(lens))), np.float32), [], [], 0
+
+        def add_up():
+            got, begin = self._log_prob(states[:, :at], np.concatenate(words)), 0
             for n in active:
-                total[:n] += got[at : at + n]
-                at += n
+                total[:n] += got[begin : begin + n]
+                begin += n
+
+        for t, n in enumerate(many):
+            if at + n > states.shape[1]:
+                add_up()
+                words, active, at = [], [], 0
+            state = self._advance(inputs.take(word[:n], axis=1), gates, state[:, :n])[0]
+            word = rows[starts[:n] + t]
+            states[:, at : at + n] = state
+            words.append(word), active.append(n)
+            at += n
+        add_up()
         return total
 
     def train(self, words: np.ndarray, starts: np.ndarray, rate: float, last_rate: float, streams: int, window: int = WINDOW) -> float:
@@ -143,63 +189,64 @@ class Gru:
         return loss
 
     def _learn(self, before, after, fresh, state, rate) -> tuple[np.ndarray, float]:
-        h, tape = self.hidden, []
-        for word, new_text in zip(before, fresh):
-            if new_text.any():
-                state = state * ~new_text[:, None]
-            old = state
-            state, *parts = self._step(word, state)
-            tape.append((old, *parts, state))
-        states, words = np.concatenate([t[-1] for t in tape]), np.ascontiguousarray(after).ravel()
+        h, steps, streams = self.hidden, *before.shape
+        inputs, gates, tape = np.ascontiguousarray(self.inputs.T).take(before.ravel(), axis=1), np.ascontiguousarray(self.gates.T), []
+        state, places = state.T, [slice(t * streams, (t + 1) * streams) for t in range(steps)]
+        olds, states, stay = np.empty((h, steps * streams), np.float32), np.empty((h, steps * streams), np.float32), [None if not x.any() else (~x).astype(np.float32) for x in fresh]
+        for at, same in zip(places, stay):
+            olds[:, at] = state if same is None else state * same
+            state, *parts = self._advance(inputs[:, at], gates, olds[:, at])
+            states[:, at] = state
+            tape.append(parts)
+        words = np.ascontiguousarray(after).ravel()
         grads = {n: np.zeros_like(getattr(self, n)) for n in self.NAMES}
         back_state, loss = self._output_grads(states, words, grads)
-        back_state = back_state.reshape(len(tape), -1, h)
         carry = np.zeros_like(state)
-        into_inputs, into_gates = [], []
-        for t in range(len(tape) - 1, -1, -1):
-            old, keep, reset, new, back, _ = tape[t]
-            error = back_state[t] + carry
-            d_new = error * (1 - keep) * (1 - new * new)
-            d_keep = error * (old - new) * keep * (1 - keep)
-            d_reset = d_new * back * reset * (1 - reset)
-            into_inputs.append(np.concatenate((d_keep, d_reset, d_new), axis=1))
-            into_gates.append(np.concatenate((d_keep, d_reset, d_new * reset), axis=1))
-            carry = (error * keep + into_gates[-1] @ self.gates.T) * ~fresh[t][:, None]
-        scale = np.float32(1 / len(words))
-        olds = np.concatenate([t[0] for t in tape[::-1]])
-        grads["gates"] += olds.T @ np.concatenate(into_gates)
-        wanted, rows = np.ascontiguousarray(before[::-1]).ravel(), np.concatenate(into_inputs)
-        order = np.argsort(wanted.astype(np.uint16), kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(wanted[order]) != 0])
-        grads["inputs"][wanted[order][at]] = np.add.reduceat(rows[order], at, axis=0)
-        self._update(grads, scale, rate)
-        return state, loss
+        into_inputs, into_new = inputs, np.empty_like(olds)  # the errors take the place of the inputs
+        for at, same, (keep, reset, new, back) in zip(places[::-1], stay[::-1], tape[::-1]):
+            error, into = back_state[:, at] + carry, into_inputs[:, at]
+            off = 1 - keep
+            np.multiply(error, keep, out=carry)
+            np.multiply((olds[:, at] - new) * off, carry, out=into[:h])
+            d_new = (1 - new * new) * off
+            d_new *= error
+            into[2 * h :] = d_new
+            d_new *= reset
+            into_new[:, at] = d_new
+            back *= d_new
+            np.multiply(back, 1 - reset, out=into[h : 2 * h])
+            carry += self.gates[:, : 2 * h] @ into[: 2 * h]
+            carry += self.gates[:, 2 * h :] @ d_new
+            if same is not None:
+                carry *= same
+        grads["gates"][:, : 2 * h] += olds @ into_inputs[: 2 * h].T
+        grads["gates"][:, 2 * h :] += olds @ into_new.T
+        wanted = before.ravel().astype(np.intp)
+        for k, row in enumerate(into_inputs):
+            grads["inputs"][:, k] = np.bincount(wanted, row, len(self.cls))
+        self._update(grads, np.float32(1 / len(words)), rate)
+        return state.T, loss
 
     def _output_grads(self, states, words, grads) -> tuple[np.ndarray, float]:
-        rows = np.arange(len(words))
-        logits = states @ self.class_out + self.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        cls = self.cls[words]
-        loss = -np.log(logits[rows, cls] + 1e-30).sum()
-        logits[rows, cls] -= 1
-        grads["class_out"] += states.T @ logits
-        grads["class_bias"] += logits.sum(axis=0)
-        back = logits @ self.class_out.T
-        for c, mine in self._by_class(words):
+        """Errors of the states (columns), and the sum of losses."""
+        cls, back, loss, weights = self.cls[words], np.empty_like(states), 0.0, np.ascontiguousarray(self.class_out.T)
+        for at in range(0, len(words), _COLUMNS):
+            cut = slice(at, at + _COLUMNS)
+            logits, lost = _softmax_error(weights @ states[:, cut], self.class_bias[:, None], cls[cut])
+            loss += lost
+            grads["class_out"] += states[:, cut] @ logits.T
+            grads["class_bias"] += logits.sum(axis=1)
+            np.matmul(self.class_out, logits, out=back[:, cut])
+        order, runs = self._by_class(words)
+        own, wanted, inside = states.take(order, axis=1), words[order], np.empty((self.hidden, len(order)), np.float32)
+        for c, i, j in runs:
             a, b = self.first[c], self.first[c + 1]
-            own = states[mine]
-            logits = own @ self.word_out[a:b].T + self.word_bias[a:b]
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            at = np.arange(len(mine)), words[mine] - a
-            loss -= np.log(logits[at] + 1e-30).sum()
-            logits[at] -= 1
-            grads["word_out"][a:b] += logits.T @ own
-            grads["word_bias"][a:b] += logits.sum(axis=0)
-            back[mine] += logits @ self.word_out[a:b]
+            logits, lost = _softmax_error(self.word_out[a:b] @ own[:, i:j], self.word_bias[a:b, None], wanted[i:j] - a)
+            loss += lost
+            grads["word_out"][a:b] += logits @ own[:, i:j].T
+            grads["word_bias"][a:b] += logits.sum(axis=1)
+            inside[:, i:j] = self.word_out[a:b].T @ logits
+        back[:, order] += inside
         return back, float(loss)
 
     def _update(self, grads, scale, rate) -> None:

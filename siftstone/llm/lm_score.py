@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ STREAMS, RATES = 512, (3e-3, 2e-4)
 #: The token at the end of each text; no word has a newline.
 END = b"\n"
 _HELD = 1 << 20
+#: Texts that are numbered at a time, and which bytes are letters or digits.
+_ROWS, _ALNUM = 128, np.array([bytes([b]).isalnum() for b in range(256)])
 #: Weights are averaged so many rows at a time, in so many levels: one row is left of any 31-bit number of partitions.
 _FAN, _LEVELS = 32, 7
 _COUNTS = pa.schema([("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
@@ -45,6 +48,40 @@ def shape(word: bytes) -> int:
     return 4 * min(3, len(word) // 4) + 2 * (word[-1:].isalnum() or word[-1] > 127) + (not word.isascii())
 
 
+def _symbols(texts: list[bytes], own: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words of texts, own's or len(own) + shape(), and how many each text has."""
+    split = [words_of(t) for t in texts]
+    lens = np.fromiter(map(len, split), np.int64, len(split))
+    out = np.fromiter(map(own.get, chain.from_iterable(split), repeat(-1)), np.int32, int(lens.sum()))
+    raw = np.frombuffer(b"\n".join([b"", *texts, b""]).lower(), np.uint8)
+    apart = np.flatnonzero(np.diff((raw == 32) | (raw - np.uint8(9) < 5)))  # where words begin and end
+    begins, ends, high = apart[::2] + 1, apart[1::2], raw > 127  # a word's first and last byte
+    last, wide = raw[ends], np.cumsum(high, dtype=np.int32)
+    shapes = 4 * np.minimum(3, (ends - begins + 1) // 4) + 2 * (_ALNUM[last] | high[ends]) + (wide[ends] > wide[begins - 1])
+    other = out < 0
+    out[other] = len(own) + shapes[other]
+    return out, lens
+
+
+class _Numbers(dict):
+    """Numbers of words. A word that is not known is given the next one when it is first asked for."""
+
+    def __init__(self, own: dict[bytes, int]):
+        super().__init__(own)
+        self.n_own = len(own)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def others(self) -> list[bytes]:
+        """Words that were not known, in the order in which they first came."""
+        return list(islice(self, self.n_own, None))
+
+
 def _by_bucket(words: list[bytes], buckets: int):
     """(bucket, places of words) for all buckets that have words."""
     of = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
@@ -142,17 +179,21 @@ class LanguageModel:
         plain = {f: getattr(self, f) for f in ("word_counts", "classes", "shape_counts", "shape_words", "tokens", "different", "end_count", "weights")}
         result = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-        def other_words(texts: list[list[bytes]]) -> list[bytes]:
-            """Different words outside the vocabulary in the order in which they first come."""
+        def numbered(raw: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+            """Numbers of each text's words, and the different words outside the vocabulary, which come after it."""
+            number = _Numbers(own)
+            return [number.of(words_of(x)) for x in raw], number.others()
+
+        def other_words(raw: list[bytes]) -> list[bytes]:
             found: dict[bytes, None] = {}
-            for words in texts:
-                found.update(dict.fromkeys(words))
+            for x in raw:
+                found.update(dict.fromkeys(words_of(x)))
             return [w for w in found if w not in own]
 
         def ask(table: pa.Table) -> pa.Table:
             rows = []
             for row in table.to_pylist():
-                words = other_words([words_of(x) for x in open_chunk(row)[1]])
+                words = other_words(open_chunk(row)[1])
                 rows += [(b, row["chunk_id"], pack(b" ".join([words[i] for i in at.tolist()]))) for b, at in _by_bucket(words, buckets)]
             return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -167,12 +208,12 @@ class LanguageModel:
             m, out = _Plain(**plain), []
             for row in left.to_pylist():
                 ids, raw = open_chunk(row)
-                texts = [words_of(x) for x in raw]
-                words, answers = other_words(texts), {r["bucket"]: r["data"] for r in right.to_pylist()}
+                texts, words = numbered(raw)
+                answers = {r["bucket"]: r["data"] for r in right.to_pylist()}
                 count = np.zeros(len(words), np.int64)
                 for b, at in _by_bucket(words, buckets):
                     count[at] = unpack(answers[b], np.int64)
-                out.append(m.score(ids, texts, own, words, count, result))
+                out.append(m.score(ids, texts, words, count, result))
             return pa.concat_tables(out) if out else result.empty_table()
 
         by_chunk = chunk_documents(docs, id_col, text_col, chunk_bytes).groupBy("chunk_id")
@@ -194,20 +235,19 @@ class _Plain:
     end_count: int
     weights: bytes
 
-    def score(self, ids, texts, own, words, count, schema) -> pa.Table:
+    def score(self, ids, texts, words, count, schema) -> pa.Table:
+        """texts: numbers of their words, those of the vocabulary first, then words, which have these counts."""
         network = LanguageModel._network(self.word_counts, self.classes, self.shape_counts, self.end_count)
         network.load(unpack(self.weights, np.float32))
-        n_own = len(own)
-        number = own | {w: n_own + i for i, w in enumerate(words)}
-        shapes = np.fromiter(map(shape, words), np.int64, len(words))
+        n_own = len(self.word_counts)
+        shapes = _symbols([b" ".join(words)], {})[0]
         counts = np.r_[self.word_counts, count]
         base = np.log10(counts + 1.0)
         in_shape = np.r_[np.zeros(n_own), np.log10((count + 1.0) / (self.shape_counts + self.shape_words + 1.0)[shapes])]
         symbol = np.r_[np.arange(n_own), n_own + shapes].astype(np.int32)
         rows, symbols = [], []
-        for t in texts:
-            at = np.fromiter(map(number.__getitem__, t), np.int64, len(t))
-            rows.append((len(t) + 1, int((counts[at] > 0).sum()) + (self.end_count > 0), base[at].sum() + np.log10(self.end_count + 1.0), in_shape[at].sum()))
+        for at in texts:
+            rows.append((len(at) + 1, int((counts[at] > 0).sum()) + (self.end_count > 0), base[at].sum() + np.log10(self.end_count + 1.0), in_shape[at].sum()))
             symbols.append(symbol[at])
         n, known, sums, inside = (np.array(x) for x in zip(*rows))
         likely = network.score(symbols) / np.log(10) + inside
@@ -244,27 +284,19 @@ def _learn(texts: DataFrame, network, words: list[bytes], start: bytes | None, p
     def run(batches):
         from pyspark import TaskContext
 
-        model, number, seen = None, {w: i for i, w in enumerate(words)}, 0
-        n_own = len(number)
+        model, own, seen = None, {w: i for i, w in enumerate(words)}, 0
         for batch in batches:
             if model is None:
                 model = network()
                 if start:
                     model.load(unpack(start, np.float32))
-            if len(number) > _HELD:
-                number = {w: i for i, w in enumerate(words)}
-            parts, lens = [], []
-            for raw in text_bytes(batch.column(0)):
-                own = words_of(raw)
-                for w in set(own).difference(number):
-                    number[w] = n_own + shape(w)
-                parts.append(np.fromiter(map(number.__getitem__, own), np.int32, len(own)))
-                lens.append(len(own) + 1)
-            if not lens:
+            if not batch.num_rows:
                 continue
-            flat = np.concatenate([np.append(p, np.int32(model.end)) for p in parts])
-            begins = np.zeros(len(flat), bool)
-            begins[np.cumsum(lens) - lens] = True
+            found = [_symbols(text_bytes(batch.column(0).slice(at, _ROWS)), own) for at in range(0, batch.num_rows, _ROWS)]
+            lens = np.concatenate([n for _, n in found])
+            ends, begins = np.cumsum(lens), np.zeros(int(lens.sum()) + len(lens), bool)
+            flat = np.insert(np.concatenate([x for x, _ in found]), ends, np.int32(model.end))
+            begins[ends - lens + np.arange(len(lens))] = True
             for k in range(passes):
                 a, b = (rates[0] + (rates[1] - rates[0]) * x / passes for x in (k, k + 1))
                 model.train(flat, begins, a, b, streams)
