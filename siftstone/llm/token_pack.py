@@ -9,9 +9,11 @@ ascending order of doc_id over the files; part numbers the files' tasks and star
 from __future__ import annotations
 
 import os
+import string
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,10 @@ from siftstone.llm.columns import NO_ID, id_array, id_column, shared_folder
 BLOCK_IDS = 1 << 16
 END_ID = 0
 _MEMO, _TEXTS = 1 << 20, 128
+#: Punctuation that may be cut off behind a letter or digit below _LATIN.
+_TAIL, _LATIN = string.punctuation, "\u0250"
+#: White space other than a space and a newline, and those two beside each other.
+_ODD = ["  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 BLOCK_SCHEMA = "part int, block int, first_id long, last_id long, start long, n_ids long, bits int, doc_ids binary, doc_ends binary, payload binary"
 
 
@@ -64,7 +70,7 @@ def unpack_bits(data: bytes, bits: int, start: int, end: int) -> np.ndarray:
 
 def is_odd(text: str) -> bool:
     """White space at either end, beside other white space, or other than a space and a newline; an empty text."""
-    return not text or " ".join(text.split()) != text.replace("\n", " ")
+    return not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD)
 
 
 class Encoder:
@@ -73,8 +79,9 @@ class Encoder:
     Its pre-tokenizer never joins a space before a word to what stands before the space, nor a newline
     between words to either word. So texts are cut there and each different piece is encoded once. Pieces
     new to the memo are encoded together, one text of all that follow a space and one of those that
-    don't, and told apart by the ids that start with a space or are a newline. Texts where white space
-    meets white space, or with special tokens, are encoded whole.
+    don't, and told apart by the ids that start with a space or are a newline. Punctuation behind a letter
+    or digit is never joined to it either, so a piece's ids are those of its stem and of its tail. Texts
+    where white space meets white space, or with special tokens, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -87,24 +94,45 @@ class Encoder:
         space, newline = (self.tokenizer.encode(x, add_special_tokens=False).tokens[0] for x in (" ", "\n"))
         self.spaced, self.newline = np.zeros(self.size, bool), self.tokenizer.token_to_id(newline)
         self.spaced[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.startswith(space)]] = True
-        self._forget()
+        # the library's own memo of words serves whole texts; new pieces are never in it
+        self.unseen = Tokenizer.from_str(self.tokenizer.to_str())
+        if hasattr(self.unseen.model, "_resize_cache"):
+            self.unseen.model._resize_cache(0)
+        self.memo, self.times = {"\0": b"", "\0\n": np.array([self.newline], "<u4").tobytes()}, 0
 
     def _forget(self) -> None:
-        self.memo = {"\0": b"", "\0\n": np.array([self.newline], "<u4").tobytes()}
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        """Keeps the half of a full memo that was learned first, as frequent words come early; each eighth time nothing but the two pieces that are always there."""
+        self.times += 1
+        self.memo = dict(islice(self.memo.items(), _MEMO // 2 if self.times % 8 else 2))
+
+    def _whole(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _remember(self, pieces: set[str]) -> None:
+        """Puts pieces that are not in the memo there, and stems and tails of theirs."""
+        memo, tailed, fresh = self.memo, [], set()
+        for piece in pieces:
+            stem = piece.rstrip(_TAIL)
+            if len(stem) < len(piece) and stem and stem[-1] < _LATIN and stem[-1].isalnum():
+                tail = "\0" + piece[len(stem) :]
+                tailed.append((piece, stem, tail))
+                fresh.add(stem), fresh.add(tail)
+            else:
+                fresh.add(piece)
+        if fresh := fresh.difference(memo):
+            self._learn(list(fresh))
+        memo.update((p, memo[stem] + memo[tail]) for p, stem, tail in tailed)
 
     def _learn(self, fresh: list[str]) -> None:
         after_space = [p for p in fresh if p[0] != "\0"]
         first = [p for p in fresh if p[0] == "\0"]
         if after_space:
-            ids = self._whole(" " + " ".join(after_space))
+            ids = self._whole(" " + " ".join(after_space), self.unseen)
             cuts = (4 * np.flatnonzero(self.spaced[ids])).tolist() + [4 * len(ids)]
             data = ids.tobytes()
             self.memo.update((p, data[a:b]) for p, a, b in zip(after_space, cuts, cuts[1:]))
         if first:  # a zero byte stands before a piece that had no space before it
-            ids = self._whole("\n".join(p[1:] for p in first))
+            ids = self._whole("\n".join(p[1:] for p in first), self.unseen)
             ends = (4 * np.flatnonzero(ids == self.newline)).tolist() + [4 * len(ids)]
             data = ids.tobytes()
             self.memo.update((p, data[a:b]) for p, a, b in zip(first, [0] + [e + 4 for e in ends], ends))
@@ -118,11 +146,11 @@ class Encoder:
             odd = "\0" in text or is_odd(text) or any(s in text for s in self.special)
             cut.append(None if odd else pieces)
         fresh = set().union(*(x for x in cut if x)).difference(self.memo)
-        if len(self.memo) + len(fresh) > _MEMO:
+        if len(self.memo) + 3 * len(fresh) > _MEMO:
             self._forget()
             fresh = set().union(*(x for x in cut if x)).difference(self.memo)
         if fresh:
-            self._learn(list(fresh))
+            self._remember(fresh)
         look_up = self.memo.__getitem__
         return [self._whole(t).tobytes() if x is None else b"".join(map(look_up, x)) for t, x in zip(texts, cut)]
 
