@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 A text is cut into units that no piece crosses: a run of spaces with the word after it, and line ends and
-tabs by themselves. The lattice is built once for each different unit of the corpus: its substrings of at
+tabs by themselves; these are cut again wherever two characters meet that stand side by side in no piece, as
+a word and its full stop mostly do, so that a word is one unit whatever follows it. The lattice is built once for each different unit of the corpus: its substrings of at
 most the longest piece's length are exploded and met with the piece table in an equality join, the edges
 are grouped by unit, and a higher-order aggregate folds them. There are two folds over the same lattice:
 
@@ -23,7 +24,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.anchors import _mix as mix
-from siftstone.llm.anchors import _powers as powers
 from siftstone.llm.columns import MIB, chunk_documents, giving_back, id_column, open_chunk, pack, shared_checkpoint, unpack
 
 SPACE = "▁"
@@ -42,13 +43,17 @@ BEST_PATH, MERGES = "best_path", "merges"
 #: Longer units are folded where they stand: their lattice is no small group, and their cuts are no bits of one number.
 UNIT_BYTES = 60
 CHUNK_BYTES = 4 * MIB
+#: A place of a unit asks for pieces of fewer characters than HEAD, and of those others that begin as it does, in so many characters, for their sizes.
+HEAD = 3
 #: Units, of up to UNIT_BYTES bytes, that the table of the commonest ones holds at most, whatever the corpus.
 COMMON = 1 << 18
 #: A unit is common only if one partition has it so many times.
 AGAIN = 4
 _LEVELS, _COMMON_BLOCKS = 8, 16
-#: Bytes of text whose sums are worked out at a time, so that they stay in the processor's cache.
+#: Bytes of text whose units' keys are worked out at a time, so that they stay in the processor's cache.
 _PIECE = 1 << 17
+#: Units of more bytes have a cryptographic digest as their key.
+_KEY_BYTES = 64
 _ROWS, _ANSWER_ROWS, _GATHER, _COUNTED = 1 << 15, 1 << 17, 1 << 18, 1 << 18
 
 
@@ -111,6 +116,15 @@ class PieceTable:
             raise ValueError("pieces of spaces only must have the lowest scores")
         return [x for x in others if len(x[0]) > 1]
 
+    def joints(self) -> np.ndarray:
+        """For two bytes, the first one times 256 and the second one: does a character end and another one begin between them, with no piece across?"""
+        cuts = np.ones((256, 256), bool)
+        cuts[:, 0x80:0xC0] = False  # the second byte goes on with a character
+        for piece in self.pieces:
+            raw = np.frombuffer(piece.encode(), np.uint8)
+            cuts[raw[:-1], raw[1:]] = False
+        return cuts.reshape(-1)
+
     def texts(self) -> dict[int, bytes]:
         return {i: p.encode() for i, p in zip(self.ids, self.pieces)} | {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
 
@@ -180,12 +194,14 @@ def encode_units(units: DataFrame, table: PieceTable, unit_col: str = "unit") ->
         pieces = F.broadcast(spark.createDataFrame(table.lattice(), "piece string, id int, score double"))
     n, start, size = F.length("unit"), F.col("start"), F.col("size")
     least = 1 if table.fold == BEST_PATH else 2
-    spans = units.select(F.col(unit_col).alias("unit"), F.explode(F.when(n >= least, F.sequence(F.lit(1), n - least + 1))).alias("start")).select(
-        "unit", "start", F.explode(F.sequence(F.lit(least), F.least(F.lit(table.longest), n - start + 1))).alias("size")
-    )
-    spans = spans.withColumn("piece", F.substring(F.col("unit"), start, size))
+    starts = units.select(F.col(unit_col).alias("unit"), F.explode(F.when(n >= least, F.sequence(F.lit(1), n - least + 1))).alias("start"))
     if table.fold == MERGES:
-        return _fold_merges(spans.join(pieces, "piece"), start, size)
+        heads = F.broadcast(spark.createDataFrame(_heads(table), "head string, sizes array<int>"))
+        sizes = F.concat(F.array(*map(F.lit, range(2, HEAD))), F.coalesce("sizes", F.array().cast("array<int>")))
+        spans = starts.withColumn("head", F.substring("unit", start, F.lit(HEAD))).join(heads, "head", "left").select("unit", "start", F.explode(sizes).alias("size")).filter(size <= n - start + 1)
+        return _fold_merges(spans.withColumn("piece", F.substring(F.col("unit"), start, size)).join(pieces, "piece"), start, size)
+    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(least), F.least(F.lit(table.longest), n - start + 1))).alias("size"))
+    spans = spans.withColumn("piece", F.substring(F.col("unit"), start, size))
     edges = spans.join(pieces, "piece", "left").filter(F.col("id").isNotNull() | (size == 1))
     return _fold_best(edges, start, size, F.coalesce("score", F.lit(table.unknown_score)), F.coalesce("id", -start).cast("int"))
 
@@ -203,6 +219,15 @@ def _fold_best(edges: DataFrame, start: Column, size: Column, score: Column, pie
     return grouped.select("unit", F.expr(fold).alias("best")).select("unit", F.expr(walk).alias("path"))
 
 
+def _heads(table: PieceTable) -> list[tuple[str, list[int]]]:
+    """First HEAD characters of the pieces of so many or more, and the sizes of those pieces: other substrings are not asked for."""
+    sizes: dict[str, set[int]] = {}
+    for piece, _, _ in table.lattice():
+        if len(piece) >= HEAD:
+            sizes.setdefault(piece[:HEAD], set()).add(len(piece))
+    return [(head, sorted(found)) for head, found in sizes.items()]
+
+
 def _edge_codes(table: PieceTable) -> list[tuple[str, int]]:
     """An edge of MERGES is one number: how many different scores are higher than its piece's, from bit 32 on, six bits each for its start and size, and 20 for the id."""
     every = table.lattice()
@@ -235,13 +260,13 @@ _STREAM = pa.schema([("chunk_id", pa.int64()), ("doc_ids", pa.binary()), ("count
 
 
 class ChunkUnits:
-    """The units of a chunk's texts, each text with a space before it (an empty one stays empty): a run of spaces with what follows up to the next space, line end or tab; those two by themselves.
+    """The units of a chunk's texts, each text with a space before it (an empty one stays empty): a run of spaces with what follows up to the next space, line end or tab; those two by themselves. joints: of a piece table, whose pairs of bytes cut them again.
 
-    number: of each unit, by the first place of its text in the chunk. Units are equal if their lengths
-    and two sums of 64 bits over their bytes are.
+    number: of each unit, by the first place of its text in the chunk. Units are equal if keys of 64 bits
+    are, made of their lengths and bytes (units of one length of up to eight bytes have a key each).
     """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], joints: np.ndarray | None = None):
         self.raw = b"".join(x for t in texts if t for x in (b" ", t))
         sizes = np.fromiter((len(t) + 1 if t else 0 for t in texts), np.int64, len(texts))
         text = np.frombuffer(self.raw, np.uint8)
@@ -252,6 +277,8 @@ class ChunkUnits:
         begins = line | space
         begins[1:] &= ~space[:-1] | line[1:]
         begins[1:] |= line[:-1]
+        if joints is not None:
+            begins[1:] |= joints[text[:-1].astype(np.uint16) << 8 | text[1:]]
         begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
         starts = np.flatnonzero(begins)
         lens = np.diff(np.r_[starts, len(text)])
@@ -261,52 +288,50 @@ class ChunkUnits:
 
     @staticmethod
     def _keys(text: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        numbers = np.random.default_rng(5).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+        padded = np.concatenate((text, np.zeros(16 - len(text) % 8, np.uint8))).view("<u8")
+        masks, odd = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64), np.uint64(0x9E3779B97F4A7C15)
+
+        def words(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+            """The eight bytes from each place on, of which n count."""
+            shift = (at & 7).astype(np.uint64) << np.uint64(3)
+            return (padded[at >> 3] >> shift | padded[(at >> 3) + 1] << np.uint64(1) << (np.uint64(63) - shift)) & masks[np.minimum(n, 8)]
+
         out, at = np.empty(len(starts), np.uint64), 0
         while at < len(starts):  # whole units of about _PIECE bytes
             stop = max(at + 1, int(np.searchsorted(starts, starts[at] + _PIECE)))
-            low, high = starts[at], starts[stop - 1] + lens[stop - 1]
-            up, down = _unit_powers(max(_PIECE + 4096, int(high - low)))
-            piece, place = text[low:high], starts[at:stop] - low
-            ends, key = place + lens[at:stop], lens[at:stop].astype(np.uint64)
-            for table in numbers:
-                sums = np.concatenate(([np.uint64(0)], np.cumsum(table[piece] * up[: len(piece)])))
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + (sums[ends] - sums[place]) * down[place])
+            place, n = starts[at:stop], lens[at:stop]
+            key = mix(n.astype(np.uint64) * odd + words(place, n))
+            done, more = 8, np.flatnonzero((n > 8) & (n <= _KEY_BYTES))
+            while len(more):
+                key[more] = mix(key[more] * odd + words(place[more] + done, n[more] - done))
+                done += 8
+                more = more[n[more] > done]
+            for k in np.flatnonzero(n > _KEY_BYTES).tolist():
+                key[k] = int.from_bytes(hashlib.blake2b(text[place[k] : place[k] + n[k]], digest_size=8).digest(), "little")
             out[at:stop] = key
             at = stop
         return out
 
-    def texts(self) -> list[bytes]:
-        """The different units, by number."""
-        return [self.raw[a : a + n] for a, n in zip(self.first.tolist(), self.lens.tolist())]
+    def texts(self, which: np.ndarray | slice = slice(None)) -> list[bytes]:
+        """The different units, or some of them, by number."""
+        return [self.raw[a : a + n] for a, n in zip(self.first[which].tolist(), self.lens[which].tolist())]
+
+    def local(self) -> np.ndarray:
+        """For each different unit: is it folded where it stands?"""
+        text = np.frombuffer(self.raw, np.uint8)
+        spaces = (self.lens > 1) & (text[self.first] == 32) & (text[np.minimum(self.first + 1, len(text) - 1)] == 32)
+        return spaces | (self.lens > UNIT_BYTES)
 
 
 def _first_and_number(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place of each different key, ascending, and the number of each key among them."""
-    by_key = np.argsort(keys)
-    ordered = keys[by_key]
-    new = np.r_[True, ordered[1:] != ordered[:-1]]
-    first = np.minimum.reduceat(by_key, np.flatnonzero(new))
-    order = np.argsort(first)
-    rank, number = np.empty(len(order), np.int32), np.empty(len(keys), np.int32)
-    rank[order] = np.arange(len(order), dtype=np.int32)
-    number[by_key] = rank[np.cumsum(new, dtype=np.int32) - 1]
-    return first[order], number
-
-
-@lru_cache(1)
-def _unit_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    base = 0xD1342543DE82EF95
-    return powers(base, n), powers(pow(base, -1, 1 << 64), n)
+    number = pa.array(keys).dictionary_encode().indices.to_numpy()
+    first = np.empty(int(number.max()) + 1, np.int64)
+    first[number[::-1]] = np.arange(len(keys) - 1, -1, -1)  # the last one written is the first place
+    return first, number
 
 
-def _local(unit: bytes) -> bool:
-    """Is this unit folded where it stands?"""
-    return len(unit) > UNIT_BYTES or unit[:2] == b"  "
-
-
-def _count(docs: DataFrame, *columns) -> DataFrame:
+def _count(docs: DataFrame, joints: np.ndarray, *columns) -> DataFrame:
     """unit and n of the units that a partition has AGAIN times or more, but for those to be folded where they stand."""
 
     def emit(counts: dict[bytes, int]):
@@ -319,10 +344,10 @@ def _count(docs: DataFrame, *columns) -> DataFrame:
         counts: dict[bytes, int] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                units = ChunkUnits(open_chunk(row)[1])
-                for unit, n in zip(units.texts(), np.bincount(units.number).tolist()):
-                    if not _local(unit):
-                        counts[unit] = counts.get(unit, 0) + n
+                units = ChunkUnits(open_chunk(row)[1], joints)
+                which = np.flatnonzero(~units.local())
+                for unit, n in zip(units.texts(which), np.bincount(units.number)[which].tolist()):
+                    counts[unit] = counts.get(unit, 0) + n
                 if len(counts) > _COUNTED:
                     yield from emit(counts)
                     counts = {}
@@ -430,23 +455,24 @@ def _reference(chunk_id: int) -> int:
     return (part << 13 | seq) << 30
 
 
-def _ask(docs: DataFrame, common: CommonUnits, *columns) -> DataFrame:
+def _ask(docs: DataFrame, common: CommonUnits, joints: np.ndarray, *columns) -> DataFrame:
     """unit, for the units of each chunk that are neither common nor folded where they stand, and ref, the chunk and the unit's number in it."""
 
     def run(batches):
         numbers = common.numbers()
         for batch in batches:
             for row in batch.to_pylist():
-                ref = _reference(row["chunk_id"])
-                asked = [(u, ref + k) for k, u in enumerate(ChunkUnits(open_chunk(row)[1]).texts()) if u not in numbers and not _local(u)]
-                for at in range(0, len(asked), _ROWS):
-                    units, refs = zip(*asked[at : at + _ROWS])
-                    yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(units, pa.binary()).cast(pa.string())], schema=_ASKED)
+                units = ChunkUnits(open_chunk(row)[1], joints)
+                known = np.fromiter(map(numbers.get, units.texts(), repeat(-1)), np.int32, len(units.first))
+                which = np.flatnonzero((known < 0) & ~units.local())
+                for at in range(0, len(which), _ROWS):
+                    some = which[at : at + _ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(_reference(row["chunk_id"]) + some, pa.int64()), pa.array(units.texts(some), pa.binary()).cast(pa.string())], schema=_ASKED)
 
     return chunk_documents(docs, *columns, then=run, schema="ref long, unit string")
 
 
-def _streams(docs: DataFrame, common: CommonUnits, *columns) -> DataFrame:
+def _streams(docs: DataFrame, common: CommonUnits, joints: np.ndarray, *columns) -> DataFrame:
     """Each chunk's documents as numbers of units, those of the common ones before its own, and its units to be folded here."""
 
     def run(batches):
@@ -454,11 +480,11 @@ def _streams(docs: DataFrame, common: CommonUnits, *columns) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, texts = open_chunk(row)
-                units = ChunkUnits(texts)
-                every = units.texts()
-                number = np.fromiter((numbers.get(u, common.n + k) for k, u in enumerate(every)), np.int32, len(every))
-                own = [x for k, u in enumerate(every) if _local(u) for x in (str(k).encode(), u)]
-                data = [row["chunk_id"], pack(ids), pack(units.counts), _pack_planes(number[units.number]), len(every), own]
+                units = ChunkUnits(texts, joints)
+                n, own = len(units.first), np.flatnonzero(units.local())
+                number = np.fromiter(map(numbers.get, units.texts(), range(common.n, common.n + n)), np.int32, n)
+                folded_here = [x for k, u in zip(own.tolist(), units.texts(own)) for x in (str(k).encode(), u)]
+                data = [row["chunk_id"], pack(ids), pack(units.counts), _pack_planes(number[units.number]), n, folded_here]
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(data, _STREAM)], schema=_STREAM)
 
     return chunk_documents(docs, *columns, then=run, schema="chunk_id long, doc_ids binary, counts binary, stream binary, n_units int, own_units array<binary>")
@@ -508,7 +534,7 @@ def encode(docs: DataFrame, table: PieceTable, id_col: str = "doc_id", text_col:
     gives every text back, byte for byte: what no piece has, a literal U+2581 too, is written as bytes. An
     empty table gives an empty table. Documents are read three times, to count units, to ask and to answer.
     """
-    columns = id_col, text_col, chunk_bytes
+    columns = table.joints(), id_col, text_col, chunk_bytes
     common = CommonUnits.of(_count(docs, *columns), table, most_common)
     asked = _ask(docs, common, *columns).filter("unit is not null").repartition("unit")
     # units and what asks for them are dealt once: filters that never fail make both sides of the join read one exchange
@@ -580,13 +606,19 @@ DIGESTS = "doc_id long, n_tokens long, ids_crc32 long, text_sha256 string"
 
 def digest(table: PieceTable):
     """Maps a batch of doc_id and ids to doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) and text_sha256 of the decoded text."""
-    text_of = _decoder(table)
+    texts = table.texts()
+    by_id = pa.array([texts.get(i) for i in range(max(texts) + 1)], pa.binary())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values, offsets = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
-        own = [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in own]
-        columns = [batch.column(0), pa.array(map(len, own), pa.int64()), pa.array(sums, pa.int64()), pa.array([hashlib.sha256(text_of(x)).hexdigest() for x in own], pa.string())]
+        ids, offsets = batch.column(1).values, batch.column(1).offsets.to_numpy()
+        values, written = ids.to_numpy().astype("<u4"), by_id.take(ids)
+        if written.null_count:
+            raise KeyError("an id that is no piece's")
+        cuts = np.frombuffer(written.buffers()[1], np.int32)[offsets].tolist() if len(ids) else [0] * len(offsets)
+        raw = memoryview(written.buffers()[2] or b"")
+        own = [raw[a + (raw[a:b][:1] == b" ") : b] for a, b in zip(cuts[:-1], cuts[1:])]
+        sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        columns = [batch.column(0), pa.array(np.diff(offsets), pa.int64()), pa.array(sums, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in own], pa.string())]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "text_sha256"])
 
     return run
