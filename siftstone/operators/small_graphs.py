@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -49,6 +50,9 @@ def through_tasks(rows: DataFrame, graph: Sequence[str], work: Work, fields: dic
 
     A task holds one Arrow batch and at most WHOLE rows before it. work(g, table) gets whole graphs, numbered from 0, and
     returns the numbers of the rows that it keeps and for each of these the fields (long or array<long>).
+
+    Rows are counted by a window (it spills those of a large graph), as Spark keeps the rows of a window in one task. A repartition
+    by graph is no such promise: it is left out over a union of tables that lie by graph already, and each of these is then coalesced on its own.
     """
     fields, whole = fields or {}, WHOLE
     names = [*rows.columns, *fields, "large"]
@@ -60,37 +64,30 @@ def through_tasks(rows: DataFrame, graph: Sequence[str], work: Work, fields: dic
         yield from pa.table([*table.columns, *more, pa.array(np.full(n, made is None))], names=names).combine_chunks().to_batches()
 
     def finish(table: pa.Table, g: np.ndarray) -> Iterator[pa.RecordBatch]:
-        over = np.bincount(g)[g] > whole
-        if over.any():
-            yield from give(table.filter(pa.array(over)), None)
-            table, g = table.filter(pa.array(~over)), np.unique(g[~over], return_inverse=True)[1]
-        if len(g):
-            at, made = work(g, table)
-            yield from give(table.take(pa.array(at)), made)
+        at, made = work(g, table)
+        yield from give(table.take(pa.array(at)), made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, large = None, False  # the last graph so far; of a large one only its last row, the others are given already
+        kept = None  # the last graph so far
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([kept, table]) if kept is not None else table
+            large = pc.greater(table.column("__size"), whole)
+            table = table.drop_columns(["__size"])
+            yield from give(table.filter(large), None)
+            table = table.filter(pc.invert(large))
             if not table.num_rows:
                 continue
+            table = pa.concat_tables([kept, table]) if kept is not None else table
             g = _numbers(table.select(list(graph)))
-            first, last = int(np.searchsorted(g, 1)), int(np.searchsorted(g, g[-1]))
-            if large and last:
-                yield from give(table.slice(0, first), None)
-                large = False
-                table, g, last = table.slice(first), g[first:] - 1, last - first
+            last = int(np.searchsorted(g, g[-1]))
             if last:
                 yield from finish(table.slice(0, last), g[:last])
             kept = table.slice(last)
-            if large or kept.num_rows > whole:
-                yield from give(kept.slice(0, kept.num_rows - 1), None)
-                kept, large = kept.slice(kept.num_rows - 1), True
         if kept is not None:
-            yield from give(kept, None) if large else finish(kept, _numbers(kept.select(list(graph))))
+            yield from finish(kept, _numbers(kept.select(list(graph))))
 
-    done = shared_checkpoint(rows.repartition(*graph).sortWithinPartitions(*graph).mapInArrow(run, ", ".join(columns)))
+    sized = rows.withColumn("__size", F.count("*").over(Window.partitionBy(*graph))).sortWithinPartitions(*graph)
+    done = shared_checkpoint(sized.mapInArrow(run, ", ".join(columns)))
     rest = done.filter("large").select(*rows.columns)
     return done.filter("NOT large").select(*rows.columns, *fields), None if rest.isEmpty() else rest
 
