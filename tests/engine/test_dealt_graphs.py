@@ -25,7 +25,7 @@ def coalesced(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["atom_surroundings", "ring_counts"])
+@pytest.mark.parametrize("name", ["atom_surroundings", "ring_counts", "scaffold_groups"])
 def test_atoms_and_bonds_meet(name, coalesced, sf_dir):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf_dir}/lineitem.parquet'")
